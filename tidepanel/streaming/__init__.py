@@ -1,0 +1,5 @@
+"""No streaming operators: panels are refreshed by re-ingest or by vintages.
+
+See ``operators.nowcast.apply_vintage`` and ``operators.nowcast.news`` for the
+way fresh data enters a fitted model.
+"""
