@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 
 def normalize_name(c: Column) -> Column:
@@ -24,7 +25,7 @@ def normalize_punct(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, WIDE_MARKS, ASCII_MARKS), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(names: pd.Series) -> pd.Series:
     """NFKC form; call it on the distinct names of a dimension only."""
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel.functions.calendar import bin_label, bin_next, period_label
 from tidepanel.functions.scalars import safe_div
-from tidepanel.operators.panel import SERIES, lag_at, panel_bounds, with_position
+from tidepanel.operators.panel import SERIES, lag_at, panel_bounds, running_back, with_position
 
 WEEKLY_OFFSETS = {"w1": 7, "w4": 28, "w52": 364}
 DAILY_OFFSETS = {"d1": 1, "d7": 7, "d30": 30, "d365": 365}
@@ -245,9 +245,9 @@ def seasonal_band(df: DataFrame, slot: str, current_year: int | None = None,
     if slot != "day":
         return out
     back = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy("slot").rowsBetween(0, Window.unboundedFollowing)
+    ahead = running_back(keys, "slot")
     return out.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(back),
-                                          F.first(c, ignorenulls=True).over(ahead)) for c in names[:3]})
+                                          F.last(c, ignorenulls=True).over(ahead)) for c in names[:3]})
 
 
 def status_counts(log: DataFrame, skipped: Sequence[str] = ()) -> DataFrame:

@@ -23,6 +23,12 @@ def series_window(keys: Sequence[str] = SERIES, order: str = "ts") -> WindowSpec
     return Window.partitionBy(*keys).orderBy(order)
 
 
+def running_back(keys: Sequence[str] = SERIES, order: str = "ts") -> WindowSpec:
+    """From the current row to the end of the series, read backwards: a growing
+    frame costs one pass, a shrinking one would be rebuilt for every row."""
+    return Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def contract(df: DataFrame, seq: str | None = None, zero_missing: bool = False,
              keys: Sequence[str] = SERIES, keep: str = "last") -> DataFrame:
     """Clean values and keep one row per (series, ts): last or first by ``seq``."""
