@@ -201,16 +201,16 @@ _ISL = {"isl": "SELECT series, ts, value, count(value) OVER (PARTITION BY series
 
 
 @query("c19_drop_long_gaps", oracle("""SELECT series, 'daily_consecutive_nan' AS reason, longest_run_after_first AS longest_run
-  FROM prof WHERE longest_run_after_first >= 6""", "brand_day", dense=("brand_day", "D"), ctes=_ISL))
+  FROM prof WHERE longest_run_after_first >= 8""", "brand_day", dense=("brand_day", "D"), ctes=_ISL))
 def c19(spark, sf):
-    _, log = c.drop_long_gaps(p.densify(b.brand_day(spark, sf), "D"), 6, "daily")
+    _, log = c.drop_long_gaps(p.densify(b.brand_day(spark, sf), "D"), 8, "daily")
     return log
 
 
 @query("c19_kept_after_gaps", oracle("""SELECT series, ts, value FROM dense WHERE series NOT IN
-  (SELECT series FROM prof WHERE longest_run_after_first >= 6)""", "brand_day", dense=("brand_day", "D"), ctes=_ISL))
+  (SELECT series FROM prof WHERE longest_run_after_first >= 8)""", "brand_day", dense=("brand_day", "D"), ctes=_ISL))
 def c19k(spark, sf):
-    kept, _ = c.drop_long_gaps(p.densify(b.brand_day(spark, sf), "D"), 6, "daily")
+    kept, _ = c.drop_long_gaps(p.densify(b.brand_day(spark, sf), "D"), 8, "daily")
     return kept
 
 
