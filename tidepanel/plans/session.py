@@ -29,20 +29,24 @@ def local_session(cores: str = "8", shuffle: int = 8, app: str = "tidepanel") ->
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to the shared folder of the cluster, so that a lost
-    executor never costs the iterations before it.
-
-    The folder is ``spark.checkpoint.dir``; only a local session without one
-    gets a temporary folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, the folder all executors share; only a local
+    session without one gets a temporary folder."""
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="tidepanel-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` to the shared folder, so that a lost executor never
+    costs the iterations before it and later passes read a small table."""
+    sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="tidepanel-checkpoint-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
