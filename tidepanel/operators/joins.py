@@ -111,7 +111,7 @@ def lookup(df: DataFrame, dim: DataFrame, column: str = "industry", default: str
 def weekly_with_monthly_target(nowcast: DataFrame, target: DataFrame) -> DataFrame:
     """Weekly rows beside their month's target and the target of the previous
     month present: ``nowcast(ts, value)``, ``target(ts, value)``."""
-    m = target.filter(F.col("value").isNotNull()).groupBy(F.trunc("ts", "MM").alias("month")).agg(F.min_by("value", "ts").alias("target"))
+    m = target.filter(F.col("value").isNotNull()).groupBy(F.trunc("ts", "MM").alias("month")).agg(F.max_by("value", "ts").alias("target"))
     prev = F.lag("target").over(Window.partitionBy(F.lit(1)).orderBy("month"))  # one row per month
     m = m.withColumn("previous_target", prev)
     n = nowcast.filter(F.col("value").isNotNull()).select("ts", F.col("value").alias("nowcast"), F.trunc("ts", "MM").alias("month"))
