@@ -5,3 +5,16 @@ Every operator takes and returns lazy DataFrames over the long panel contract
 """
 
 __version__ = "0.1.0"
+
+
+def _travel_by_value() -> None:
+    """Functions of this package reach the Python workers by value, so executors
+    need no copy of it."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_travel_by_value()

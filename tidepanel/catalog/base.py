@@ -28,8 +28,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def exact_sum(col) -> F.Column:
-    """Sum of two-decimal amounts, exact and independent of row order."""
-    return F.sum(F.col(col).cast("decimal(18,2)")).cast("double")
+    """Sum of two-decimal amounts in whole cents: exact, independent of row order,
+    and cheaper than decimals."""
+    return F.sum(F.rint(F.col(col) * 100).cast("long")) / 100
 
 
 # ---------------------------------------------------------------- panels

@@ -242,12 +242,13 @@ def auto_datetime(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return df
 
 
-def shift_month_sheets(df: DataFrame, pattern: str, sheet: str = "sheet") -> DataFrame:
+def shift_month_sheets(df: DataFrame, pattern: str, sheet: str = "sheet", only: Column | None = None) -> DataFrame:
     """Sheets with a series matching ``pattern`` move, as a whole, to the end of
-    the previous month."""
-    hit = (df.groupBy(sheet).agg(F.bool_or(F.col("series").contains(pattern)).alias("_hit"))
-           .filter("_hit").select(sheet, "_hit"))
-    moved = F.when(F.col("_hit"), F.last_day(F.add_months("ts", -1))).otherwise(F.col("ts"))
+    the previous month; ``only`` limits this to some rows. The second pass reads
+    sheet and series names only."""
+    only = F.lit(True) if only is None else only
+    hit = (df.filter(only & F.col("series").contains(pattern)).select(sheet).distinct().withColumn("_hit", F.lit(True)))
+    moved = F.when(F.col("_hit") & only, F.last_day(F.add_months("ts", -1))).otherwise(F.col("ts"))
     return df.join(hit, sheet, "left").withColumn("ts", moved).drop("_hit")
 
 

@@ -389,6 +389,7 @@ def evaluate_models(obs: DataFrame, target: str, k: int, train_end: str, oos_sta
     nowcast and score every panel at once."""
     from tidepanel.operators.nowcast import nowcast_metrics
 
+    obs = cut_lineage(obs)
     cut = obs.filter(F.col("ts") <= F.lit(fit_end or oos_end).cast("date"))
     w = Window.partitionBy("panel", "series")
     d = cut.withColumns({"_m": F.avg("value").over(w), "_s": F.stddev_samp("value").over(w)}).filter(F.col("_s") > 0)

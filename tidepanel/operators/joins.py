@@ -78,10 +78,11 @@ def concat_panels(panels: Sequence[DataFrame]) -> DataFrame:
 
 
 def first_source_wins(df: DataFrame, prio: str, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Keep the rows of the lowest ``prio`` per series. The winners are one small
-    row per series, so the facts meet them in a broadcast-sized join."""
-    best = df.groupBy(*keys).agg(F.min(prio).alias("_best"))
-    return df.join(best, list(keys)).filter(F.col(prio) == F.col("_best")).drop("_best")
+    """Keep the rows of the lowest ``prio`` per series, in one pass: a series is a
+    calendar per source, and the window needs the shuffle on the series that
+    later steps use anyway."""
+    best = F.min(prio).over(Window.partitionBy(*keys))
+    return df.withColumn("_best", best).filter(F.col(prio) == F.col("_best")).drop("_best")
 
 
 def append(top: DataFrame, bottom: DataFrame) -> DataFrame:
@@ -161,36 +162,44 @@ def compare_datasets(obs: DataFrame, order: Sequence[str], kinds: DataFrame | No
 
     Per series common to all datasets: first different raw lengths, then
     different types (``kinds(dataset, series, kind)``), then the first dataset
-    whose non-missing values differ in number or content.
+    whose non-missing values differ in number or content. The datasets meet in
+    one aggregate on (series, ts) and a second one on the series.
     """
-    rank = F.array_position(F.array(*[F.lit(d) for d in order]), F.col("dataset")).cast("int")
-    o = obs.filter(F.col("dataset").isin(list(order))).join(common_series(obs.filter(F.col("dataset").isin(list(order)))), "series", "left_semi")
-    o = o.withColumn("_r", rank)
-    size = o.groupBy("series", "_r").agg(F.count(F.lit(1)).alias("n")).groupBy("series").agg((F.min("n") != F.max("n")).alias("lengths_differ"))
-    live = o.filter(F.col("value").isNotNull())
-    ref = live.filter("_r = 1").select("series", "ts", F.col("value").alias("ref"))
-    others = F.sequence(F.lit(2), F.lit(len(order)))
-    base = ref.select("series", "ts", "ref", F.explode(others).alias("_r")) if len(order) > 1 else ref.withColumn("_r", F.lit(2)).limit(0)
-    pair = base.join(live.filter("_r > 1").select("series", "ts", "_r", "value"), ["series", "ts", "_r"], "full_outer")
-    changed = ~F.col("ref").eqNullSafe(F.col("value"))
-    per = pair.groupBy("series", "_r").agg((F.count("ref") != F.count("value")).alias("len_differs"), F.count_if(changed).alias("n_diff"))
-    first = per.filter("len_differs or n_diff > 0").groupBy("series").agg(F.min(F.struct("_r", "len_differs", "n_diff")).alias("f"))
-    s = size.join(first, "series", "left")
+    last = len(order) - 1
+    is_in = [F.col("dataset") == d for d in order]
+    rows = obs.filter(F.col("dataset").isin(list(order))).groupBy("series", "ts").agg(
+        *[F.max(F.when(c, F.col("value"))).alias(f"v{i}") for i, c in enumerate(is_in)],
+        *[F.count_if(c).alias(f"n{i}") for i, c in enumerate(is_in)])
+    differs = [~F.col("v0").eqNullSafe(F.col(f"v{i}")) for i in range(1, last + 1)]
+    per = rows.groupBy("series").agg(
+        *[F.sum(f"n{i}").alias(f"n{i}") for i in range(last + 1)], *[F.count(f"v{i}").alias(f"c{i}") for i in range(last + 1)],
+        *[F.count_if(d).alias(f"d{i}") for i, d in enumerate(differs, 1)])
+    counts = [F.col(f"n{i}") for i in range(last + 1)]
+    common = F.least(*counts) > 0 if last else counts[0] > 0
+    per = per.filter(common)
     if kinds is not None:
-        t = kinds.filter(F.col("dataset").isin(list(order))).groupBy("series").agg((F.count_distinct("kind") > 1).alias("types_differ"))
-        s = s.join(t, "series", "left")
+        t = kinds.filter(F.col("dataset").isin(list(order))).groupBy("series").agg((F.count_distinct("kind") > 1).alias("_types"))
+        per = per.join(t, "series", "left")
     else:
-        s = s.withColumn("types_differ", F.lit(False))
-    status = (F.when(F.col("lengths_differ"), "original_length_mismatch").when(F.col("types_differ"), "type_mismatch")
-              .when(F.col("f.len_differs"), "length_mismatch").when(F.col("f").isNotNull(), "different_values").otherwise("identical"))
+        per = per.withColumn("_types", F.lit(False))
+    first = F.lit(None).cast("struct<i:int,len:boolean,n:bigint>")
+    for i in range(last, 0, -1):
+        len_differs = F.col("c0") != F.col(f"c{i}")
+        hit = F.struct(F.lit(i).alias("i"), len_differs.alias("len"), F.col(f"d{i}").alias("n"))
+        first = F.when(len_differs | (F.col(f"d{i}") > 0), hit).otherwise(first)
+    per = per.withColumn("_f", first)
+    lengths = F.least(*counts) != F.greatest(*counts) if last else F.lit(False)
+    status = (F.when(lengths, "original_length_mismatch").when(F.col("_types"), "type_mismatch").when(F.col("_f.len"), "length_mismatch")
+              .when(F.col("_f").isNotNull(), "different_values").otherwise("identical"))
     names = F.array(*[F.lit(d) for d in order])
-    s = s.withColumn("status", status)
+    per = per.withColumn("status", status)
     late = F.col("status").isin("length_mismatch", "different_values")
-    out = s.select("series", "status", F.when(late, F.element_at(names, F.col("f._r"))).alias("dataset"),
-                   F.when(F.col("status") == "different_values", F.col("f.n_diff")).otherwise(0).alias("n_different"))
-    rows = (pair.filter(changed).join(s.filter(late).select("series", F.col("f._r").alias("_r")), ["series", "_r"])
-            .select("series", F.element_at(names, F.col("_r")).alias("dataset"), "ts", "ref", "value"))
-    return out, rows
+    out = per.select("series", "status", F.when(late, F.element_at(names, F.col("_f.i") + 1)).alias("dataset"),
+                     F.when(F.col("status") == "different_values", F.col("_f.n")).otherwise(0).alias("n_different"))
+    side = F.element_at(F.array(*[F.col(f"v{i}") for i in range(last + 1)]), F.col("_i") + 1)
+    diff = (rows.join(per.filter(late).select("series", F.col("_f.i").alias("_i")), "series").withColumn("value", side)
+            .filter(~F.col("v0").eqNullSafe(F.col("value"))))
+    return out, diff.select("series", F.element_at(names, F.col("_i") + 1).alias("dataset"), "ts", F.col("v0").alias("ref"), "value")
 
 
 def same_values_other_name(df: DataFrame) -> DataFrame:

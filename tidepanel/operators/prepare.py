@@ -43,7 +43,7 @@ def mixed_freq_panel(inputs: Mapping[str, DataFrame], start=None, end=None, max_
             if max_gap["monthly"]:
                 d, log = drop_long_gaps(d, max_gap["monthly"], "monthly")
                 removed.append(log.select("series", "reason"))
-            d, log = ensure_stationary(cut_lineage(d), alpha)
+            d, log = ensure_stationary(d, alpha)
             logs.append(log.withColumn("role", F.lit(role)))
             removed.append(_skipped(log))
             d = align_month_last_friday(d)
@@ -67,7 +67,6 @@ def mixed_freq_panel(inputs: Mapping[str, DataFrame], start=None, end=None, max_
     _, empty = drop_all_null_series(every.select("series").distinct().join(inside.select("series", "value"), "series", "left").select("series", "value"))
     removed.append(empty.select("series", "reason"))
     fixed = owner.filter(~F.col("role").isin("daily", "weekly")).select("series")
-    dense = cut_lineage(dense)
     panel, log = ensure_stationary(dense, alpha, skip=fixed)
     logs.append(log.join(owner, "series"))
     removed.append(_skipped(log))

@@ -12,6 +12,7 @@ from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, StructField,
 from tidepanel.functions.scalars import corr_guarded
 from tidepanel.functions.unitroot import KPSS_TREND, adf
 from tidepanel.operators.panel import SERIES, series_window
+from tidepanel.plans.session import cut_lineage
 
 # ---------------------------------------------------------------- stationarity
 
@@ -43,19 +44,23 @@ def _difference(df: DataFrame, log: bool, order: int, keys: Sequence[str]) -> Da
 def adf_screen(df: DataFrame, alpha: float = 0.05, method: str = "keep", order: int = 1,
                keys: Sequence[str] = SERIES) -> tuple[DataFrame, DataFrame]:
     """(summary, panel): trend ADF per series; non-stationary ones are differenced
-    (``diff`` or ``log_diff``) and join the panel only when that helped."""
+    (``diff`` or ``log_diff``) and join the panel only when that helped.
+
+    The panel is read several times, so it is written once at the start."""
+    df = cut_lineage(df)
     first = _adf_table(df, "ct", keys).select(
         *keys, F.col("p_value").alias("p_original"), (F.col("p_value") < alpha).alias("stationary_original"))
     if method == "keep":
         s = first.select("*", F.when(~F.col("stationary_original"), "kept_nonstationary").otherwise("original").alias("method"),
                          F.lit(None).cast("double").alias("p_processed"), F.col("stationary_original").alias("stationary"))
         return s, df
+    first = cut_lineage(first)
     todo = first.filter(~F.col("stationary_original"))
     if method == "log_diff":
         low = df.groupBy(*keys).agg(F.min("value").alias("_low"))
         todo = todo.join(low.filter(F.col("_low") > 0).select(*keys), list(keys), "left_semi")
     changed = _difference(df.join(todo.select(*keys), list(keys), "left_semi"), method == "log_diff", order, keys)
-    second = _adf_table(changed, "ct", keys).select(*keys, F.col("p_value").alias("p_processed"))
+    second = cut_lineage(_adf_table(changed, "ct", keys).select(*keys, F.col("p_value").alias("p_processed")))
     s = first.join(second, list(keys), "left")
     done = F.col("p_processed").isNotNull()
     s = s.select("*", F.when(done, f"{method}{order}").when(~F.col("stationary_original"), f"{method}{order}_not_applicable")
@@ -70,8 +75,12 @@ def ensure_stationary(df: DataFrame, alpha: float = 0.05, skip: DataFrame | None
                       keys: Sequence[str] = SERIES) -> tuple[DataFrame, DataFrame]:
     """(panel, log): keep the level when ADF (constant) rejects the unit root,
     else log-difference (all values positive) or difference; empty and constant
-    series leave with a reason. Series listed in ``skip`` pass unchanged."""
+    series leave with a reason. Series listed in ``skip`` pass unchanged.
+
+    The panel and the test results are read several times, so both are written
+    once."""
     on = list(keys)
+    df = cut_lineage(df)
     shape = df.groupBy(*on).agg(F.count("value").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     if skip is not None:
         shape = shape.join(skip.select("series").distinct().withColumn("_skip", F.lit(True)), "series", "left")
@@ -85,6 +94,7 @@ def ensure_stationary(df: DataFrame, alpha: float = 0.05, skip: DataFrame | None
     plan = shape.join(level, on, "left").withColumn(
         "_kind", F.when(F.col("_pre").isNotNull() | F.col("p_level").isNull() | (F.col("p_level") < alpha), "level")
         .when(F.col("_lo") > 0, "log_diff").otherwise("diff"))
+    plan = cut_lineage(plan)
     w = series_window(keys)
     v = F.col("value")
     logs = F.when(v > 0, F.ln(v))
@@ -102,7 +112,7 @@ def ensure_stationary(df: DataFrame, alpha: float = 0.05, skip: DataFrame | None
               .when(F.col("_a") == F.col("_z"), F.concat(F.lit("skipped_"), kind, F.lit("_constant")))
               .when(F.col("p_transformed").isNull(), F.concat(kind, F.lit("_test_error")))
               .when(F.col("p_transformed") < alpha, kind).otherwise(F.concat(kind, F.lit("_still_nonstat"))))
-    log = log.select(*on, status.alias("status"), "p_level", "p_transformed")
+    log = cut_lineage(log.select(*on, status.alias("status"), "p_level", "p_transformed"))
     gone = log.filter(F.col("status").startswith("skipped_") & (F.col("status") != "skipped_by_request")).select(*on)
     return out.select(*on, "ts", "value").join(gone, on, "left_anti"), log
 
@@ -192,27 +202,29 @@ def batch_lag_correlation(df: DataFrame, target: str, max_lag: int, convention:
                       F.when(enough, "ok").otherwise("too_few_points").alias("note"))
 
 
-def _kl(pairs: DataFrame, bins: int, alpha: float = 1e-9) -> DataFrame:
-    """D(target || candidate) per (series, offset) over common equal-width bins."""
+def _measures(pairs: DataFrame, bins: int, alpha: float = 1e-9) -> DataFrame:
+    """Correlation and D(target || candidate) over common equal-width bins per
+    (series, offset), from rows (series, offset, a, x)."""
     on = ["series", "offset"]
-    pairs = pairs.filter(F.col("a").isNotNull() & F.col("x").isNotNull())
+    both = F.col("a").isNotNull() & F.col("x").isNotNull()
+    a, x = F.when(both, F.col("a")), F.when(both, F.col("x"))
     span = Window.partitionBy(*on)
-    p = pairs.withColumns({"lo": F.least(F.min("a").over(span), F.min("x").over(span)),
-                           "hi": F.greatest(F.max("a").over(span), F.max("x").over(span))})
+    p = pairs.withColumns({"a": a, "x": x}).withColumns({
+        "lo": F.least(F.min("a").over(span), F.min("x").over(span)), "hi": F.greatest(F.max("a").over(span), F.max("x").over(span))})
 
     def bucket(v):
         i = F.floor(F.try_divide((F.col(v) - F.col("lo")) * bins, F.col("hi") - F.col("lo"))).cast("int")
-        return F.least(F.coalesce(i, F.lit(0)), F.lit(bins - 1))
-    counts = p.select(*on, bucket("a").alias("_ba"), bucket("x").alias("_bx"), "lo", "hi")
+        return F.when(F.col(v).isNotNull(), F.least(F.coalesce(i, F.lit(0)), F.lit(bins - 1)))
+    p = p.withColumns({"_ba": bucket("a"), "_bx": bucket("x")})
     per_bin = [F.struct(F.count_if(F.col("_ba") == i).alias("p"), F.count_if(F.col("_bx") == i).alias("q")) for i in range(bins)]
-    g = counts.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("hi") - F.col("lo")).alias("_spread"),
-                                F.array(*per_bin).alias("_h"))
+    g = p.groupBy(*on).agg(corr_guarded(F.col("a"), F.col("x")).alias("corr"), F.count("a").alias("n"),
+                           F.max(F.col("hi") - F.col("lo")).alias("_spread"), F.array(*per_bin).alias("_h"))
     n, norm = F.col("n"), 1.0 + bins * alpha
     terms = F.transform("_h", lambda h: F.when(h["p"] > 0, F.try_divide(h["p"].cast("double"), n) * (
         F.ln(F.try_divide(h["p"].cast("double"), n)) - F.ln((F.try_divide(h["q"].cast("double"), n) + alpha) / norm))).otherwise(0.0))
     kl = F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x))
     kl = F.when(F.col("n") < max(bins + 1, 3), None).when((F.col("_spread") == 0) & F.lit(bins > 1), float("inf")).otherwise(kl)
-    return g.select(*on, "n", kl.alias("kl"))
+    return g.select(*on, "corr", "n", kl.alias("kl"))
 
 
 def histogram_distribution(df: DataFrame, a: str, b: str, bins: int) -> DataFrame:
@@ -250,17 +262,23 @@ def overlap(dense: DataFrame, target: str, lag: int) -> DataFrame:
 
 
 def lead_lag(dense: DataFrame, target: str, max_lag: int, bins: int) -> DataFrame:
-    """Correlation and divergence per candidate with the best offset of each."""
-    live = dense.groupBy("series").agg(F.count("value").alias("n")).filter(F.col("n") >= max_lag + 2).select("series")
-    usable = dense.join(live, "series", "left_semi")
-    pairs = _offset_pairs(_with_target(usable, target), max_lag)
-    cor = pairs.groupBy("series", "offset").agg(corr_guarded(F.col("a"), F.col("x")).alias("corr"))
-    both = cor.join(_kl(pairs, bins), ["series", "offset"], "left")
+    """Correlation and divergence per candidate with the best offset of each.
+
+    A candidate (or target) with fewer than ``max_lag + 2`` values gets a note.
+    Everything after the meeting with the target runs on one shuffle by series."""
+    d = _with_target(dense, target)
+    own = Window.partitionBy("series")
+    d = d.withColumn("_ok", F.least(F.count("x").over(own), F.count("a").over(own)) >= max_lag + 2)
+    w = series_window()
+    cells = [F.struct(F.lit(o).alias("offset"), (F.lag("a", o) if o >= 0 else F.lead("a", -o)).over(w).alias("a"))
+             for o in range(-max_lag, max_lag + 1)]
+    pairs = d.withColumn("_c", F.array(*cells)).select("series", "_ok", "x", F.explode("_c").alias("c"))
+    pairs = pairs.select("series", F.col("c.offset").alias("offset"), F.when(F.col("_ok"), F.col("c.a")).alias("a"), "x")
+    both = _measures(pairs, bins)
     best = both.groupBy("series").agg(
         F.max(F.when(F.col("corr").isNotNull(), F.struct(F.abs("corr").alias("c"), (-F.col("offset")).alias("k"), F.col("corr").alias("r")))).alias("c"),
         F.min(F.when(F.col("kl").isNotNull(), F.struct("kl", (-F.col("offset")).alias("k")))).alias("d"))
-    names = dense.filter(F.col("series") != target).select("series").distinct()
-    return names.join(best, "series", "left").select(
+    return best.select(
         F.lit(target).alias("target"), "series", (-F.col("c.k")).alias("corr_offset"), F.col("c.r").alias("corr"),
         (-F.col("d.k")).alias("kl_offset"), F.col("d.kl").alias("kl"),
         F.when(F.col("c").isNull() & F.col("d").isNull(), "insufficient_data").otherwise("ok").alias("note"))

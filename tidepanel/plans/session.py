@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,10 +44,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to the shared folder, so that a lost executor never
-    costs the iterations before it and later passes read a small table."""
-    sc = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from there.
+
+    A lost executor then never costs the steps before it, the plan stays short
+    across iterations, and several passes read a small table. (A Dataset
+    checkpoint would compute its input twice, once to count and once to write.)
+    """
+    path = f"{shared_folder(df.sparkSession)}/tidepanel-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

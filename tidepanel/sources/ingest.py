@@ -7,10 +7,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidepanel.functions.calendar import bin_label
 from tidepanel.functions.names import match_key, normalize_name
 from tidepanel.functions.scalars import clean_float, zero_is_missing
 from tidepanel.operators.clean import shift_month_sheets
-from tidepanel.operators.frequency import infer_frequency, resample
+from tidepanel.operators.frequency import infer_frequency
 from tidepanel.operators.joins import first_source_wins
 from tidepanel.operators.panel import keep_one
 
@@ -116,16 +117,23 @@ def load_panel(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     value = zero_is_missing(clean_float(F.col("raw").cast("string").try_cast("double")))
     d = d.select("file", "sheet", "source_ord", "freq", F.col("series"), F.col("ts").cast("date").alias("ts"), value.alias("value"), "seq")
     d = keep_one(d, ["file", "sheet", "source_ord", "freq", "series", "ts"], "seq").drop("seq")
-    monthly = shift_month_sheets(d.filter("freq = 'monthly'").withColumn("_sheet", F.struct("file", "sheet")), IP_PATTERN, "_sheet").drop("_sheet")
-    keys = ("file", "sheet", "source_ord", "freq", "series")
-    week = resample(d.filter("freq = 'weekly'"), "W-FRI", "last", dense=False, keys=keys)
-    daily = d.filter("freq = 'daily'")
-    day_week = resample(daily, "W-FRI", "mean", dense=False, keys=keys).withColumn("freq", F.lit("weekly"))
-    cols = [*keys, "ts", "value"]
-    every = monthly.select(cols).unionByName(week.select(cols)).unionByName(daily.select(cols)).unionByName(day_week.select(cols))
-    every = every.withColumn("series", normalize_name(F.col("series")))
+    # one pass: every row goes to the bin of its frequency, a daily one also to its week
+    d = d.withColumn("_sheet", F.struct("file", "sheet"))
+    d = shift_month_sheets(d, IP_PATTERN, "_sheet", F.col("freq") == "monthly").drop("_sheet")
+    week = bin_label(F.col("ts"), "W-FRI")
+    goal = lambda freq, ts, mean: F.struct(F.lit(freq).alias("freq"), ts.alias("bin"), F.lit(mean).alias("mean"))
+    goals = (F.when(F.col("freq") == "daily", F.array(goal("daily", F.col("ts"), False), goal("weekly", week, True)))
+             .when(F.col("freq") == "weekly", F.array(goal("weekly", week, False)))
+             .otherwise(F.array(goal("monthly", F.col("ts"), False))))
+    d = d.withColumn("g", F.explode(goals)).withColumn("series", normalize_name(F.col("series")))
+    live = F.when(F.col("value").isNotNull(), F.col("ts"))
+    every = d.groupBy("file", "sheet", "source_ord", "g.freq", "series", "g.bin", "g.mean").agg(
+        F.avg("value").alias("_avg"), F.max_by("value", live).alias("_last"))
+    every = every.select("file", "sheet", "source_ord", "freq", "series", F.col("bin").alias("ts"),
+                         F.when(F.col("mean"), F.col("_avg")).otherwise(F.col("_last")).alias("value"))
     panel = first_source_wins(every, "source_ord", ("freq", "series"))
-    source = (every.groupBy("series").agg(F.min(F.struct("source_ord", F.concat_ws("|", "file", "sheet").alias("s"))).alias("m"))
+    names = raw.filter(sheet_frequency(F.col("sheet")).isNotNull()).select("file", "sheet", "source_ord", normalize_name(F.col("series")).alias("series"))
+    source = (names.groupBy("series").agg(F.min(F.struct("source_ord", F.concat_ws("|", "file", "sheet").alias("s"))).alias("m"))
               .select("series", F.col("m.s").alias("source")))
     return panel.select("freq", "series", "ts", "value"), source
 
