@@ -11,6 +11,7 @@ from tidepanel.functions.calendar import (
 )
 from tidepanel.functions.names import nfkc, normalize_name
 from tidepanel.functions.scalars import corr_guarded
+from tidepanel.operators.quantile import exact_quantile
 from tidepanel.operators import clean, frequency as fr, growth, joins, panel as pn, properties as pr, transforms as tr
 
 
@@ -247,3 +248,15 @@ def test_hot_series_collapses_before_the_shuffle(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") >= 2 and "partial_max" in plan
     assert out.filter("series = 'hot'").first().value == 29997.0  # largest multiple of three
+
+
+def test_exact_quantile_of_skewed_groups(spark):
+    """Outliers push nearly all values into one bucket; ties and even sizes."""
+    import statistics
+
+    data = {"flat": [1.0] * 9, "even": [1.0, 2.0, 4.0, 9.0], "tail": [float(i % 97) for i in range(500)] + [1e12], "one": [3.0], "none": [None]}
+    d = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "series string, value double")
+    got = {r.series: r.quantile for r in exact_quantile(d, ["series"]).collect()}
+    assert got == {k: statistics.median(v) for k, v in data.items() if k != "none"}
+    q = {r.series: r.quantile for r in exact_quantile(d, ["series"], q=0.25).collect()}
+    assert q["even"] == 1.75

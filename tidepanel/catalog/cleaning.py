@@ -93,11 +93,10 @@ _HEAD = {"h": "SELECT DISTINCT CASE WHEN p_size = 1 THEN p_name ELSE p_name || '
            CASE WHEN regexp_full_match(name, '(.+)\.(\d+)') THEN CAST(regexp_extract(name, '^(.+)\.(\d+)$', 2) AS BIGINT) ELSE -1 END AS suffix FROM h"""}
 
 
-@query("c7_duplicate_names", oracle("""SELECT base, n_names, names FROM (SELECT lower(trim(base)) AS base, count(*) AS n_names,
-  string_agg(name, '|' ORDER BY name) AS names FROM hp GROUP BY 1) WHERE n_names > 1""", ctes=_HEAD))
+@query("c7_duplicate_names", oracle("""SELECT base, n_names, name FROM (SELECT lower(trim(base)) AS base, name,
+  count(*) OVER (PARTITION BY lower(trim(base))) AS n_names FROM hp) WHERE n_names > 1""", ctes=_HEAD))
 def c7(spark, sf):
-    d = c.duplicate_names(_headers(spark, sf))
-    return d.withColumn("names", F.concat_ws("|", "names"))
+    return c.duplicate_names(_headers(spark, sf))
 
 
 @query("c8_drop_duplicate_columns", oracle("""SELECT name, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY suffix) = 1 THEN 'kept' ELSE 'removed' END AS status

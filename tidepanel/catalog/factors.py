@@ -335,11 +335,11 @@ def n25m(spark, sf):
     return rnd(n.loading_stability(_loads(d, s), _loads(train, s))[1])
 
 
-@query("n26_variable_blocks", oracle("""SELECT coalesce(CASE WHEN industry <> 'ASIA' THEN left(industry, 1) END, industry, '其他') AS block, string_agg(series, '|' ORDER BY series) AS members
-  FROM nation_industry GROUP BY 1""", "nation_industry"))
+@query("n26_variable_blocks", oracle("""SELECT coalesce(CASE WHEN industry <> 'ASIA' THEN left(industry, 1) END, industry, '其他') AS block, series
+  FROM nation_industry""", "nation_industry"))
 def n26(spark, sf):
     dim = _types(spark, sf).withColumn("type", F.when(F.col("industry") != "ASIA", F.col("type")))
-    return n.block_members(n.variable_blocks(dim)[0]).withColumn("members", F.concat_ws("|", "members"))
+    return n.block_members(n.variable_blocks(dim)[0])
 
 
 @query("n26_factor_count_hint", oracle("""SELECT greatest(count(DISTINCT industry), count(DISTINCT coalesce(CASE WHEN industry <> 'ASIA' THEN left(industry, 1) END, industry))) + 1 AS k FROM nation_industry""", "nation_industry"))

@@ -189,8 +189,7 @@ def j15(spark, sf):
                              brands.filter("name not like '%3'"), log)
 
 
-@query("j16_indicators_by_industry", oracle("""SELECT industry, string_agg(series, '|' ORDER BY series) AS indicators FROM nation_industry
-  WHERE series IN (SELECT series FROM nation_week) GROUP BY 1""", "nation_industry", "nation_week"))
+@query("j16_indicators_by_industry", oracle("""SELECT industry, series FROM nation_industry
+  WHERE series IN (SELECT series FROM nation_week)""", "nation_industry", "nation_week"))
 def j16(spark, sf):
-    d = j.indicators_by_industry(b.nation_industry(spark, sf), b.nation_week(spark, sf))
-    return d.withColumn("indicators", F.concat_ws("|", "indicators"))
+    return j.indicators_by_industry(b.nation_industry(spark, sf), b.nation_week(spark, sf))

@@ -78,11 +78,11 @@ def rename_collisions(names: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def duplicate_names(names: DataFrame) -> DataFrame:
-    """Groups of names equal after dropping ``.N``, trimming and lower-casing."""
-    base = F.lower(F.trim(strip_suffix(F.col("name"))))
-    return (names.groupBy(base.alias("base")).agg(F.count(F.lit(1)).alias("n_names"),
-                                                  F.sort_array(F.collect_list("name")).alias("names"))
-            .filter(F.col("n_names") > 1))
+    """(base, n_names, name): names equal after dropping ``.N``, trimming and
+    lower-casing, one row per member of a group of two or more."""
+    d = names.select("name", F.lower(F.trim(strip_suffix(F.col("name")))).alias("base"))
+    groups = d.groupBy("base").agg(F.count(F.lit(1)).alias("n_names")).filter("n_names > 1")
+    return d.join(groups, "base").select("base", "n_names", "name")
 
 
 def _name_parts(names: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from tidepanel.functions.calendar import (
     snap_month_day, snap_weekday, to_business_day,
 )
 from tidepanel.operators.panel import SERIES, densify, panel_bounds, series_window
+from tidepanel.operators.quantile import exact_quantile
 
 # ---------------------------------------------------------------- inference
 
@@ -183,6 +184,12 @@ def resample(df: DataFrame, rule: str, agg: str = "last", dense: bool = True, st
 
 def _binned(df: DataFrame, rule: str, agg: str, keys: Sequence[str]) -> DataFrame:
     label = bin_label(F.col("ts"), rule)
+    if agg == "median":  # raw bins may be huge
+        d = df.withColumn("_bin", label)
+        out = exact_quantile(d, [*keys, "_bin"], name="value")
+        empty = d.groupBy(*keys, "_bin").agg(F.count("value").alias("_n")).filter("_n = 0")
+        out = out.unionByName(empty.select(*keys, "_bin", F.lit(None).cast("double").alias("value")))
+        return out.select(*keys, F.col("_bin").alias("ts"), "value")
     return df.withColumn("_bin", label).groupBy(*keys, "_bin").agg(_bin_agg(agg).alias("value")) \
              .select(*keys, F.col("_bin").alias("ts"), "value")
 
@@ -286,6 +293,8 @@ def snap_dates(df: DataFrame, freq: str, day: int | None, how: str = "last", key
     """Weekly: move to weekday ``day`` (0=Monday) of the same week; monthly: to
     day ``day`` (clamped), None = last day. Collisions resolve by ``how``."""
     to = snap_weekday(F.col("ts"), day) if freq == "week" else snap_month_day(F.col("ts"), day)
+    if how == "median":
+        return exact_quantile(df.withColumn("_to", to), [*keys, "_to"], name="value").withColumnRenamed("_to", "ts")
     return (df.withColumn("_to", to).groupBy(*keys, "_to").agg(_bin_agg(how).alias("value"))
             .select(*keys, F.col("_to").alias("ts"), "value"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidepanel.functions.calendar import bin_label, bin_next, period_label
 from tidepanel.functions.scalars import safe_div
 from tidepanel.operators.panel import SERIES, lag_at, panel_bounds, running_back, with_position
+from tidepanel.operators.quantile import exact_quantile
 
 WEEKLY_OFFSETS = {"w1": 7, "w4": 28, "w52": 364}
 DAILY_OFFSETS = {"d1": 1, "d7": 7, "d30": 30, "d365": 365}
@@ -195,10 +196,11 @@ def growth_heatmap(df: DataFrame, dim: DataFrame, freq: str = "weekly", kind: st
     """Change over the last few periods: long rows with the column number
     ``period`` (1 = newest) and the rank of the series inside its industry."""
     n_periods = n_periods or HEATMAP_PERIODS[freq]
-    d = pct_change(with_position(df, rule), CHANGE_PERIODS[freq][kind], keys)
+    rows = with_position(df, rule)
+    last_pos = rows.agg(F.max("pos")).scalar()
+    d = pct_change(rows, CHANGE_PERIODS[freq][kind], keys)
     if native is not None:
         d = d.join(native.select("series").distinct(), "series", "left_semi")
-    last_pos = d.agg(F.max("pos")).scalar()
     d = (d.select("*", (last_pos - F.col("pos") + 1).alias("period")).filter(F.col("period") <= n_periods)
          .join(dim.select("series", "industry"), "series", "left")
          .withColumn("industry", F.coalesce("industry", F.lit("未分类"))))
@@ -261,7 +263,7 @@ def status_counts(log: DataFrame, skipped: Sequence[str] = ()) -> DataFrame:
 
 AGGREGATES = {
     "sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max,
-    "std": F.stddev_samp, "var": F.var_samp, "median": F.median,
+    "std": F.stddev_samp, "var": F.var_samp, "median": None,
 }
 
 
@@ -269,13 +271,26 @@ def _aggs(values: Sequence[str], aggs: Sequence[str]) -> list[Column]:
     return [AGGREGATES[a](F.col(v)).alias(f"{v}_{a}") for v in values for a in aggs]
 
 
+def _grouped(d: DataFrame, keys: Sequence[str], values: Sequence[str], aggs: Sequence[str]) -> DataFrame:
+    """Aggregates per key. Medians are exact for groups of any size and join the
+    other aggregates on the key."""
+    order = [f"{v}_{a}" for v in values for a in aggs]
+    plain = [a for a in aggs if a != "median"]
+    out = d.groupBy(*keys).agg(*_aggs(values, plain), F.count(F.lit(1)).alias("_rows"))
+    for v in values if "median" in aggs else []:
+        m = exact_quantile(d, keys, v, name=f"{v}_median").select(*[F.col(k).alias(f"_q{i}") for i, k in enumerate(keys)], f"{v}_median")
+        cond = [F.col(k).eqNullSafe(F.col(f"_q{i}")) for i, k in enumerate(keys)]
+        out = out.join(m, cond, "left").drop(*[f"_q{i}" for i in range(len(keys))])
+    return out.select(*keys, *order)
+
+
 def pivot_single(df: DataFrame, value: str, key: str | None = None, period: str | None = None,
                  aggs: Sequence[str] = ("sum",), ts: str = "ts") -> DataFrame:
     """Group one value column by a category or by the year, quarter, month or
     week (``A Q M W``) of its stamp."""
     bins = {"Y": "A", "A": "A", "Q": "Q", "M": "M", "W": "W-SUN"}
     k = F.col(key) if period is None else bin_label(F.col(ts), bins[period])
-    return df.groupBy(k.alias("key")).agg(*_aggs([value], aggs))
+    return _grouped(df.withColumn("key", k), ["key"], [value], aggs)
 
 
 def pivot_multi(df: DataFrame, values: Sequence[str], index: Sequence[str], column: str,
@@ -288,6 +303,10 @@ def pivot_multi(df: DataFrame, values: Sequence[str], index: Sequence[str], colu
         d = d.filter(F.col(ts) >= F.lit(start).cast("date"))
     if end is not None:
         d = d.filter(F.col(ts) < F.date_add(F.lit(end).cast("date"), 1))
+    if "median" in aggs:
+        d = _grouped(d, [*index, column], values, aggs)
+        firsts = [F.first(f"{v}_{a}").alias(f"{v}_{a}") for v in values for a in aggs]
+        return d.groupBy(*index).pivot(column, list(column_values)).agg(*firsts)
     return d.groupBy(*index).pivot(column, list(column_values)).agg(*_aggs(values, aggs))
 
 

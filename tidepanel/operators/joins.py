@@ -256,10 +256,10 @@ def coverage_report(wanted: DataFrame, loaded: DataFrame, final: DataFrame, remo
 
 
 def indicators_by_industry(dim: DataFrame, obs: DataFrame) -> DataFrame:
-    """Industry with the sorted list of its indicators that exist in the data."""
+    """Industry and its indicators that exist in the data, in order, one row per
+    indicator: an industry of any size stays distributed."""
     have = obs.select("series").distinct()
-    return (dim.join(have, "series", "left_semi").groupBy("industry")
-            .agg(F.sort_array(F.collect_set("series")).alias("indicators")))
+    return dim.select("industry", "series").distinct().join(have, "series", "left_semi").orderBy("industry", "series")
 
 
 def dedupe_by_time(df: DataFrame, seq: str, keep: str = "last", keys: Sequence[str] = SERIES) -> DataFrame:

@@ -391,4 +391,5 @@ def variable_blocks(dim: DataFrame, default: str = "其他") -> tuple[DataFrame,
 
 
 def block_members(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("block").agg(F.sort_array(F.collect_list("series")).alias("members"))
+    """Members of each block in order, one row per member."""
+    return blocks.select("block", "series").distinct().orderBy("block", "series")
