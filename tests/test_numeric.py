@@ -247,4 +247,18 @@ def test_backward_select_removes_noise(spark):
     d = spark.createDataFrame([(s, day(i), float(v)) for s, x in cols.items() for i, v in enumerate(x)], "series string, ts date, value double")
     keep, steps = fa.backward_select(d, "target", ["good", "fair", "junk"], 1, "2022-06-24", "2022-07-01", "2023-06-30", n_iter=1, max_rounds=1)
     assert len(keep) in (2, 3) and len(steps) == 3 - len(keep)
-    assert all(len(s) == 3 for s in steps)
+    assert all(len(s) == 4 and s[3] == 1 for s in steps)
+
+
+def test_fit_end_keeps_later_data_out_of_the_fit(toy):
+    """Parameters of an earlier fit window do not change with later values."""
+    obs, y, day = toy
+    cut, end = str(day[25]), str(day[-1])
+    later = obs.withColumn("value", F.when(F.col("ts") > F.lit(cut).cast("date"), F.col("value") * 2).otherwise(F.col("value")))
+    go = lambda d, **kw: fa.evaluate_models(d, "s00", 2, cut, str(day[26]), end, n_iter=1, **kw)
+    loads = lambda m: {r.series: r.l for r in m["loadings"].collect()}
+    a, b = loads(go(obs, fit_end=cut)[1]), loads(go(later, fit_end=cut)[1])
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+    c = loads(go(later)[1])
+    assert not all(np.allclose(a[k], c[k]) for k in a)
+    assert go(obs, fit_end=cut)[0].first().oos_rmse is not None

@@ -55,7 +55,7 @@ def _grid(spark, sf):
              "steel": [T("钢联数据", None, None), T("指标名称", "余额", "国家"), T("频度", "日", "日"), T("指标描述", "x", "y")],
              "oldid": [T("指标名称", "余额", "国家"), T("S0012345", "a", "b")],
              "plain": [T("指标名称", "余额", "国家")]}
-    first = c.limit(1)
+    first = c.agg(F.max("c_custkey"))  # one row
     for sheet, rows in heads.items():
         data = c.select((F.col("c_custkey") + len(rows)).alias("row_no"), cells.alias("cells"))
         head = first.select(F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("row_no"), x.cast("array<string>").alias("cells")) for i, x in enumerate(rows)])).alias("h")).select("h.*")

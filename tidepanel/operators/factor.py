@@ -112,7 +112,7 @@ def _eigen(gram: DataFrame, k: int | None) -> DataFrame:
 def pca_variance(obs: DataFrame, n_components: int = FACTOR_CAP, rule: str = "W-FRI") -> DataFrame:
     """Explained and cumulative variance (percent) and eigenvalues of the
     standardised panel, missing values at the mean."""
-    m = model_panel(obs, rule)
+    m = cut_lineage(model_panel(cut_lineage(obs), rule))
     eig = _eigen(time_gram(m), None)
     size = m.groupBy("panel").agg(F.max("n_t").alias("n_t"), F.count_distinct("series").alias("n_series"))
     d = eig.filter("t = -1").join(size, "panel")
@@ -327,7 +327,7 @@ def fit_dfm(obs: DataFrame, k: int, n_iter: int = DEFAULT_ITERATIONS, rule: str
     mean, std)``, ``state(panel, n_t, a, q, x0, p0)``, ``smoothed(panel, ts, t,
     f)`` of the last E-step and ``filtered(panel, ts, t, x, x_minus, p)`` with
     the final parameters."""
-    m = cut_lineage(model_panel(obs, rule))
+    m = cut_lineage(model_panel(cut_lineage(obs), rule))
     _, load, state = init_factors(m, k)
     load = cut_lineage(load)
     scan = None
@@ -386,18 +386,29 @@ def evaluate_models(obs: DataFrame, target: str, k: int, train_end: str, oos_sta
                     n_iter: int = DEFAULT_ITERATIONS, fit_end: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(metrics per panel, model): standardise on the data up to ``fit_end``
     (default: end of validation), hide the target in January and February, fit,
-    nowcast and score every panel at once."""
+    nowcast and score every panel at once. With an earlier ``fit_end`` the later
+    data only pass the filter with fixed parameters."""
     from tidepanel.operators.nowcast import nowcast_metrics
 
     obs = cut_lineage(obs)
-    cut = obs.filter(F.col("ts") <= F.lit(fit_end or oos_end).cast("date"))
-    w = Window.partitionBy("panel", "series")
-    d = cut.withColumns({"_m": F.avg("value").over(w), "_s": F.stddev_samp("value").over(w)}).filter(F.col("_s") > 0)
-    scale = d.filter(F.col("series") == target).groupBy("panel").agg(F.first("_m").alias("_m"), F.first("_s").alias("_s"))
-    z = d.withColumn("value", (F.col("value") - F.col("_m")) / F.col("_s")).select("panel", "series", "ts", "value")
-    model = fit_dfm(mask_months(z, target), k, n_iter)
+    upto = lambda day: F.col("ts") <= F.lit(day).cast("date")
+    scale = (obs.filter(upto(fit_end or oos_end)).groupBy("panel", "series")
+             .agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s")).filter(F.col("_s") > 0))
+    z = obs.filter(upto(oos_end)).join(scale, ["panel", "series"])
+    z = z.withColumn("value", (F.col("value") - F.col("_m")) / F.col("_s")).select("panel", "series", "ts", "value")
+    z = cut_lineage(mask_months(z, target).filter(F.col("value").isNotNull()))
+    model = fit_dfm(z if fit_end is None else z.filter(upto(fit_end)), k, n_iter)
+    smooth = model["smoothed"]
+    if fit_end is not None:
+        m = model_panel(z).drop("mean", "std", "y", "z").join(model["loadings"].select("panel", "series", "mean"), ["panel", "series"])
+        m = cut_lineage(m.withColumn("y", F.col("value") - F.col("mean")))
+        size = m.groupBy("panel").agg(F.max("n_t").alias("n_t"))
+        state = model["state"].drop("n_t").join(size, "panel").select("panel", "n_t", "a", "q", "x0", "p0")
+        scan = cut_lineage(kalman_smoother(m, model["loadings"], state, k))
+        smooth = scan.filter("t >= 0").select("panel", "t", F.col("xs").alias("f")).join(_stamps(m, "W-FRI"), ["panel", "t"])
     l = model["loadings"].filter((F.col("series") == target) & F.col("l").isNotNull()).select("panel", "l")
-    now = (model["smoothed"].join(l, "panel").join(scale, "panel")
+    own = scale.filter(F.col("series") == target).select("panel", "_m", "_s")
+    now = (smooth.join(l, "panel").join(own, "panel")
            .select("panel", "ts", (dot(F.col("f"), F.col("l")) * F.col("_s") + F.col("_m")).alias("value")))
     goal = obs.filter(F.col("series") == target).select("panel", "ts", "value")
     return nowcast_metrics(now, goal, train_end, oos_start, oos_end), model
@@ -414,23 +425,35 @@ def _scores(metrics: DataFrame) -> dict[str, tuple[float, float]]:
     return out
 
 
-def backward_select(obs: DataFrame, target: str, predictors: Sequence[str], k: int, train_end: str, oos_start: str, oos_end: str,
-                    n_iter: int = DEFAULT_ITERATIONS, max_rounds: int | None = None) -> tuple[list[str], list[tuple[str, float, float]]]:
-    """Greedy removal of predictors by (hit rate, -RMSE). A round fits all
-    candidate models in one job: the candidate is the ``panel`` key. Returns the
-    kept predictors and the removals with their scores.
+def backward_select(obs: DataFrame, target: str, predictors: Sequence[str], k: int | Sequence[int], train_end: str, oos_start: str,
+                    oos_end: str, n_iter: int = DEFAULT_ITERATIONS, max_rounds: int | None = None, only: Sequence[str] | None = None,
+                    ) -> tuple[list[str], list[tuple]]:
+    """Greedy removal of predictors by (hit rate, -RMSE), with several factor
+    counts ``k`` by (hit rate, -RMSE, -k). A round fits all candidate models of a
+    factor count in one job: the candidate is the ``panel`` key. Returns the kept
+    predictors and the removals with score and factor count; ``only`` limits what
+    may go.
 
     ``obs(series, ts, value)``; only names and scores reach the driver."""
+    obs = cut_lineage(obs.filter(F.col("series").isin([target, *predictors])))
     keep, steps = sorted(predictors), []
+    grid = [k] if isinstance(k, int) else sorted(k)
 
-    def score(sets: dict[str, list[str]]) -> dict[str, tuple[float, float]]:
-        out = [F.struct(F.lit(p).alias("panel"), F.array(*[F.lit(x) for x in [target, *v]]).alias("names")) for p, v in sets.items()]
-        d = obs.select("series", "ts", "value", F.explode(F.array(*out)).alias("c"))
-        d = d.filter(F.array_contains("c.names", F.col("series"))).select(F.col("c.panel").alias("panel"), "series", "ts", "value")
-        return _scores(evaluate_models(d, target, k, train_end, oos_start, oos_end, n_iter)[0])
+    def score(sets: dict[str, list[str]]) -> dict[str, tuple]:
+        found: dict[str, tuple] = {}
+        for kk in grid:
+            fits = {p: v for p, v in sets.items() if kk < len(v) + 1}
+            if not fits:
+                continue
+            out = [F.struct(F.lit(p).alias("panel"), F.array(*[F.lit(x) for x in [target, *v]]).alias("names")) for p, v in fits.items()]
+            d = obs.select("series", "ts", "value", F.explode(F.array(*out)).alias("c"))
+            d = d.filter(F.array_contains("c.names", F.col("series"))).select(F.col("c.panel").alias("panel"), "series", "ts", "value")
+            for p, (hit, rmse) in _scores(evaluate_models(d, target, kk, train_end, oos_start, oos_end, n_iter)[0]).items():
+                found[p] = max(found.get(p, (-float("inf"),)), (hit, rmse, -kk))
+        return found
     best = score({"base": keep}).get("base")
     while best is not None and len(keep) > 1 and (max_rounds is None or len(steps) < max_rounds):
-        trials = {v: [x for x in keep if x != v] for v in keep if k < len(keep)}
+        trials = {v: [x for x in keep if x != v] for v in keep if only is None or v in only}
         got = score(trials) if trials else {}
         if not got:
             break
@@ -439,5 +462,19 @@ def backward_select(obs: DataFrame, target: str, predictors: Sequence[str], k: i
             break
         keep.remove(gone)
         best = got[gone]
-        steps.append((gone, best[0], -best[1]))
+        steps.append((gone, best[0], -best[1], -best[2]))
     return keep, steps
+
+
+def backward_select_blocks(obs: DataFrame, target: str, blocks: dict[str, Sequence[str]], k: int | Sequence[int], train_end: str,
+                           oos_start: str, oos_end: str, n_iter: int = DEFAULT_ITERATIONS,
+                           max_rounds: int | None = None) -> tuple[list[str], dict[str, list]]:
+    """Backward selection block after block, each against all predictors still
+    in; returns the kept predictors and the removals per block."""
+    keep = sorted({v for members in blocks.values() for v in members})
+    log = {}
+    for block in sorted(blocks):
+        members = [v for v in blocks[block] if v in keep]
+        if members:
+            keep, log[block] = backward_select(obs, target, keep, k, train_end, oos_start, oos_end, n_iter, max_rounds, members)
+    return keep, log

@@ -135,6 +135,11 @@ def power_table(state: DataFrame, k: int, steps: int) -> DataFrame:
     return d.select("panel", "h", _powers(k)("a", "h").alias("ah"))
 
 
+def _one_state(model: dict[str, DataFrame]) -> DataFrame:
+    """The parameters all panels of one fitted model share, as one row."""
+    return model["state"].agg(F.first(F.struct("panel", "a")).alias("s")).select("s.*")
+
+
 def matvec(a: Column, x: Column, k: int) -> Column:
     """Flat k-by-k matrix times vector."""
     return F.array(*[dot(F.slice(a, i * k + 1, k), x) for i in range(k)])
@@ -183,9 +188,10 @@ def apply_vintage(model: dict[str, DataFrame], data: DataFrame, k: int, interpol
     ts, value)``, the panel being the vintage; parameters are those of the one
     fitted panel of ``model``, centring included."""
     keys = ("panel", "series")
+    data = cut_lineage(data)
     d = densify(data, rule, keys) if interpolate else data
     d = interpolate_linear(d, keys) if interpolate else d
-    m = model_panel(d.filter(F.col("value").isNotNull()), rule).drop("mean", "std", "y", "z")
+    m = model_panel(cut_lineage(d.filter(F.col("value").isNotNull())), rule).drop("mean", "std", "y", "z")
     par = model["loadings"].filter(F.col("l").isNotNull()).select("series", "l", "r", "mean", "std")
     m = cut_lineage(m.join(par.select("series", "mean", "std"), "series").withColumn("y", F.col("value") - F.col("mean")))
     panels = m.groupBy("panel").agg(F.max("n_t").alias("n_t"))
@@ -217,7 +223,7 @@ def news(now: dict[str, DataFrame], previous: dict[str, DataFrame], target: str,
     items = a.join(b, ["series", "ts"], "left").filter(~F.col("y_now").eqNullSafe(F.col("y_prev")))
     # predicted states of the previous vintage, continued past its last date
     end = previous["smoothed"].agg(F.struct(F.max("ts").alias("ts"), F.max_by("f", "ts").alias("f")).alias("e")).scalar()
-    state = now["state"].limit(1)
+    state = _one_state(now)
     ah = power_table(state, k, max_steps).select("h", "ah")
     pred = previous["filtered"].select("ts", "x_minus")
     days = items.select("ts").distinct().join(pred, "ts", "left").select("ts", "x_minus", end.alias("e"))
@@ -246,7 +252,7 @@ def news_by_industry(model: dict[str, DataFrame], target: str, target_std: float
     obs = model["panel"].filter(_month() == m).select("series", "ts", "y")
     par = model["loadings"].filter(F.col("l").isNotNull()).select("series", "l", "r").dropDuplicates(["series"])
     l_t = par.filter(F.col("series") == target).agg(F.first("l")).scalar()
-    ah = power_table(model["state"].limit(1), k, 5).select("h", "ah")
+    ah = power_table(_one_state(model), k, 5).select("h", "ah")
     last = F.max("ts").over(Window.partitionBy(F.trunc("ts", "MM")))  # at most five Fridays
     fri = model["filtered"].filter((_month() == m) & (F.weekday("ts") == 4)).select("ts", "x_minus", "p").withColumn("_last", last)
     fri = fri.withColumn("h", F.floor(F.datediff("_last", "ts") / F.lit(7)).cast("int")).join(ah, "h")

@@ -11,7 +11,7 @@ from tidepanel.operators.clean import drop_all_null_series, drop_long_gaps, time
 from tidepanel.operators.frequency import (
     align_month_last_friday, align_nearest_friday, target_bounds, to_weekly_friday,
 )
-from tidepanel.operators.joins import concat_panels
+from tidepanel.operators.joins import first_source_wins
 from tidepanel.operators.panel import densify
 from tidepanel.operators.properties import ensure_stationary
 from tidepanel.plans.session import cut_lineage
@@ -39,7 +39,7 @@ def mixed_freq_panel(inputs: Mapping[str, DataFrame], start=None, end=None, max_
         if role in ("target", "target_sheet"):
             d = align_nearest_friday(d)
         elif role == "monthly":
-            d = densify(_month_end(d), "M")
+            d = densify(cut_lineage(_month_end(d)), "M")
             if max_gap["monthly"]:
                 d, log = drop_long_gaps(d, max_gap["monthly"], "monthly")
                 removed.append(log.select("series", "reason"))
@@ -50,16 +50,17 @@ def mixed_freq_panel(inputs: Mapping[str, DataFrame], start=None, end=None, max_
         else:
             d = to_weekly_friday(d, role, dense=False)
             if max_gap["weekly"]:
+                d = cut_lineage(d)
                 d, log = drop_long_gaps(densify(d, "W-FRI"), max_gap["weekly"], "weekly")
                 removed.append(log.select("series", "reason"))
         parts.append(d.select("series", "ts", "value").withColumn("role", F.lit(role)))
     # the pieces meet once; everything after reads this table
-    roles = None
+    tagged = None
     for i, p in enumerate(parts):
-        q = p.select("series", "role", F.lit(i).alias("prio")).distinct()
-        roles = q if roles is None else roles.unionByName(q)
-    owner = roles.groupBy("series").agg(F.min(F.struct("prio", "role")).getField("role").alias("role"))
-    every = cut_lineage(concat_panels(parts).join(owner, "series").filter(F.col("value").isNotNull()))
+        q = p.withColumn("prio", F.lit(i))
+        tagged = q if tagged is None else tagged.unionByName(q)
+    every = cut_lineage(first_source_wins(tagged, "prio").filter(F.col("value").isNotNull()).drop("prio"))
+    owner = every.select("series", "role").distinct()
     span = every.agg(F.struct(F.min("ts").alias("lo"), F.max("ts").alias("hi")).alias("s")).scalar()
     lo, hi = target_bounds(span.getField("lo"), span.getField("hi"), start, end)
     inside = every.select("*", lo.alias("_lo"), hi.alias("_hi")).filter(F.col("ts").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
