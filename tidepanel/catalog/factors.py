@@ -370,3 +370,153 @@ def n28(spark, sf):
 def g15(spark, sf):
     _, log = pp.ensure_stationary(b.nation_week(spark, sf))
     return g.status_counts(log)
+
+
+@query("g15_status_counts_by_rule", oracle("""SELECT CASE WHEN status LIKE 'skipped%' THEN 'skipped' ELSE 'checked' END AS stage, status, count(*) AS n_series FROM (
+  SELECT series, CASE WHEN count(*) < 0.8 * max(count(*)) OVER () THEN 'skipped_short' WHEN stddev_samp(value) > avg(value) / 2 THEN 'log_diff' ELSE 'level' END AS status
+  FROM brand_flag_week GROUP BY 1) GROUP BY 2""", "brand_flag_week"))
+def g15r(spark, sf):
+    s = b.brand_flag_week(spark, sf).groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+    most = s.agg(F.max("n")).scalar()
+    status = F.when(F.col("n") < most * 0.8, "skipped_short").when(F.col("s") > F.col("m") / 2, "log_diff").otherwise("level")
+    return g.status_counts(s.select("series", status.alias("status")))
+
+
+# ---------------------------------------------------------------- one factor, fixed parameters
+# With one factor and given parameters the filter is a recursion that SQL can
+# follow: A = 0.6, Q = 1, x0 = 0, P0 = 1; a loading is the series' standard
+# deviation and its noise half its variance.
+
+_A = 0.6
+
+
+def _fixed_loadings(obs):
+    d = obs.groupBy("series").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.var_samp("value").alias("v"))
+    return d.select("series", F.array("std").alias("l"), (F.col("v") / 2).alias("r"), "mean", "std")
+
+
+def _fixed_model(spark, sf):
+    obs = _obs(spark, sf)
+    m = fa.model_panel(obs)
+    load = _fixed_loadings(obs).withColumn("panel", F.lit("all"))
+    state = m.groupBy("panel").agg(F.max("n_t").alias("n_t")).select(
+        "panel", "n_t", F.array(F.lit(_A)).alias("a"), F.array(F.lit(1.0)).alias("q"), F.array(F.lit(0.0)).alias("x0"), F.array(F.lit(1.0)).alias("p0"))
+    model = {"panel": m, "loadings": load, "state": state}
+    stamps = fa._stamps(m, "W-FRI")
+    scan = fa.kalman_smoother(m, load, state, 1).filter("t >= 0").join(stamps, ["panel", "t"])
+    model["filtered"] = scan.select("panel", "t", "ts", F.col("xf").alias("x"), F.col("xm").alias("x_minus"), "p")
+    model["smoothed"] = scan.select("panel", "t", "ts", F.col("xs").alias("f"))
+    return model
+
+
+def _scan_sql(src, x=""):
+    """CTEs of the forward and backward recursion over ``src(series, ts, value)``."""
+    return {
+        f"m{x}": f"SELECT series, ts, CAST((ts - (SELECT min(ts) FROM {src})) / 7 AS INTEGER) AS t, value - mean AS y, l, r FROM {src} JOIN par USING (series)",
+        f"info{x}": f"SELECT t, sum(l * l / (r + 1e-4)) AS j, sum(l * y / (r + 1e-4)) AS h FROM m{x} GROUP BY 1",
+        f"days{x}": f"SELECT CAST(q AS INTEGER) AS t, j, h, CAST((SELECT min(ts) FROM {src}) + CAST(q * 7 AS INTEGER) AS DATE) AS ts FROM generate_series(0, (SELECT max(t) FROM m{x})) g(q) LEFT JOIN info{x} i ON i.t = q",
+        f"fwd{x}": f"""SELECT 0 AS t, 0.0::DOUBLE AS xm, 1.0::DOUBLE AS pm, 0.0::DOUBLE AS x, 1.0::DOUBLE AS p
+          UNION ALL SELECT t, xm, pm, CASE WHEN j IS NULL THEN xm ELSE xm + pm / (1 + pm * j) * (h - j * xm) END, CASE WHEN j IS NULL THEN pm ELSE pm / (1 + pm * j) END
+          FROM (SELECT d.t, {_A} * f.x AS xm, {_A * _A} * f.p + 1 + 1e-6 AS pm, d.j, d.h FROM fwd{x} f JOIN days{x} d ON d.t = f.t + 1)""",
+        f"st{x}": f"SELECT f.*, d.ts FROM fwd{x} f JOIN days{x} d USING (t)",
+        f"bwd{x}": f"""SELECT t, x AS xs FROM st{x} WHERE t = (SELECT max(t) FROM st{x})
+          UNION ALL SELECT c.t, c.x + c.p * {_A} / n.pm * (b.xs - n.xm) FROM bwd{x} b JOIN st{x} n ON n.t = b.t JOIN st{x} c ON c.t = b.t - 1""",
+    }
+
+
+_PAR = {"par": "SELECT series, avg(value) AS mean, stddev_samp(value) AS l, var_samp(value) / 2 AS r FROM nation_week GROUP BY 1"}
+
+
+def _recursive(body, *panels, ctes):
+    return oracle(body, *panels, ctes=ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("n4_kalman_fixed_parameters", _recursive("""SELECT ts, round(x, 6) AS filtered, round(xm, 6) AS predicted, round(p, 6) AS variance, round(xs, 6) AS smoothed
+  FROM st JOIN bwd USING (t)""", "nation_week", ctes={**_PAR, **_scan_sql("nation_week")}))
+def n4_fixed(spark, sf):
+    m = _fixed_model(spark, sf)
+    one = lambda c: F.get(c, F.lit(0))
+    d = m["filtered"].join(m["smoothed"].select("t", "f"), "t")
+    return rnd(d.select("ts", one("x").alias("filtered"), one("x_minus").alias("predicted"), one("p").alias("variance"), one("f").alias("smoothed")))
+
+
+@query("n12_month_end_fixed_parameters", _recursive(f"""SELECT st.ts, tt AS target_ts, CAST((tt - st.ts) // 7 AS INTEGER) AS h, round(l * pow({_A}, (tt - st.ts) // 7) * x + mean, 2) AS nowcast
+  FROM (SELECT *, greatest(ts, CAST(last_day(ts) - CAST((isodow(last_day(ts)) + 2) % 7 AS INTEGER) AS DATE)) AS tt FROM st) st CROSS JOIN (SELECT * FROM par WHERE series = 'NATION_0')""",
+  "nation_week", ctes={**_PAR, **_scan_sql("nation_week")}))
+def n12_fixed(spark, sf):
+    d = n.forecast_to_month_end(_fixed_model(spark, sf), TARGET, 1)
+    return rnd(d.select("ts", "target_ts", "h", "nowcast"), 2)
+
+
+@query("n13_state_forecast_fixed_parameters", _recursive(f"""SELECT CAST(k AS INTEGER) AS h, CAST(ts + CAST(7 * k AS INTEGER) AS DATE) AS ts, round(pow({_A}, k) * x, 6) AS state,
+  round(pow({_A}, 2 * k) * p + (1 - pow({_A}, 2 * k)) / (1 - {_A * _A}), 6) AS variance FROM (SELECT * FROM st ORDER BY t DESC LIMIT 1) CROSS JOIN generate_series(1, 8) g(k)""",
+  "nation_week", ctes={**_PAR, **_scan_sql("nation_week")}))
+def n13_fixed(spark, sf):
+    d = n.state_forecast(_fixed_model(spark, sf), 1, 8)
+    return rnd(d.select("h", "ts", F.get("x", F.lit(0)).alias("state"), F.get("p", F.lit(0)).alias("variance")))
+
+
+@query("n16_evolution_fixed_parameters", _recursive(f"""SELECT ts, CAST((tt - ts) // 7 AS INTEGER) AS horizon_weeks, round(l * pow({_A}, (tt - ts) // 7) * x, 2) AS nowcast_std
+  FROM st CROSS JOIN (SELECT DATE '2001-10-26' AS tt) CROSS JOIN (SELECT l FROM par WHERE series = 'NATION_0') WHERE date_trunc('month', ts) = DATE '2001-10-01'""",
+  "nation_week", ctes={**_PAR, **_scan_sql("nation_week")}))
+def n16_fixed(spark, sf):
+    d = n.nowcast_evolution(n.forecast_to_month_end(_fixed_model(spark, sf), TARGET, 1), "2001-10")
+    return rnd(d.select("ts", "horizon_weeks", "nowcast_std"), 2)
+
+
+_CONTRIB = {**_PAR, **_scan_sql("nation_week"),
+            "c": f"""SELECT m.ts, industry, lt * pow({_A}, (DATE '2001-10-26' - m.ts) // 7) * p * m.l / (m.r + 1e-4) * (y - m.l * xm) AS c FROM m JOIN st ON st.t = m.t
+              JOIN nation_industry USING (series) CROSS JOIN (SELECT l AS lt FROM par WHERE series = 'NATION_0') WHERE date_trunc('month', m.ts) = DATE '2001-10-01'"""}
+
+
+@query("n17_news_by_industry_fixed_parameters", _recursive("SELECT ts, " + ", ".join(
+  f"round(coalesce(sum(c) FILTER (industry = '{i}' AND abs(c) > 1e-6), 0), 3) AS \"{i}\"" for i in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) +
+  ", 0.0::DOUBLE AS \"其他未分类\" FROM c GROUP BY 1", "nation_week", "nation_industry", ctes=_CONTRIB))
+def n17_fixed(spark, sf):
+    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    return rnd(n.news_by_industry(_fixed_model(spark, sf), TARGET, 1.0, "2001-10", b.nation_industry(spark, sf), names, 1), 3)
+
+
+_VINT = {**_PAR, "oldv": "SELECT series, ts, CASE WHEN ts = DATE '2001-09-21' THEN value * 0.9 ELSE value END AS value FROM nation_week WHERE ts <= DATE '2001-09-28'",
+         **_scan_sql("nation_week"), **_scan_sql("oldv", "o"),
+         "e": "SELECT t AS te, x AS xe FROM sto ORDER BY t DESC LIMIT 1",
+         "it": f"""SELECT m.ts, m.t, m.series, m.y, m.l, m.r, coalesce(sto.xm, pow({_A}, m.t - te) * xe) AS xp FROM m LEFT JOIN mo ON mo.series = m.series AND mo.ts = m.ts
+           LEFT JOIN sto ON sto.t = m.t CROSS JOIN e WHERE m.ts <= DATE '2001-11-09' AND m.y IS DISTINCT FROM mo.y"""}
+
+
+@query("n15_news_fixed_parameters", _recursive(f"""SELECT it.ts, it.series, round(y + mean, 2) AS observed, round(it.l * xp + mean, 2) AS forecast, round(y - it.l * xp, 2) AS news,
+  round(lt * pow({_A}, (DATE '2001-11-09' - it.ts) // 7) * p * it.l / (it.r + 1e-4), 6) AS weight,
+  round(lt * pow({_A}, (DATE '2001-11-09' - it.ts) // 7) * p * it.l / (it.r + 1e-4) * (y - it.l * xp), 2) AS impact
+  FROM it JOIN st ON st.t = it.t JOIN par ON par.series = it.series CROSS JOIN (SELECT l AS lt FROM par WHERE series = 'NATION_0')""", "nation_week", ctes=_VINT))
+def n15_fixed(spark, sf):
+    new, old = _vintages(spark, sf)
+    m = _fixed_model(spark, sf)
+    now, before = n.apply_vintage(m, new, 1, interpolate=False), n.apply_vintage(m, old, 1, interpolate=False)
+    return rnd(n.news(now, before, TARGET, "2001-11-09", 1), 2, weight=6)
+
+
+_MSTEP = {**_SC, "w2": "SELECT ts, max(score) FILTER (factor = 1) AS a, max(score) FILTER (factor = 2) AS c FROM sc GROUP BY 1 HAVING a IS NOT NULL AND c IS NOT NULL",
+          "yy": "SELECT series, ts, value / 1000 - avg(value / 1000) OVER (PARTITION BY series) AS y, avg(value / 1000) OVER (PARTITION BY series) AS mean FROM nation_week",
+          "ss": "SELECT series, count(*) AS n, sum(a * a) AS aa, sum(c * c) AS cc, sum(a * c) AS ac, sum(a * y) AS ay, sum(c * y) AS cy FROM yy JOIN w2 USING (ts) GROUP BY 1 HAVING count(*) > 2",
+          "ll": "SELECT series, (ay * cc - cy * ac) / (aa * cc - ac * ac) AS l1, (cy * aa - ay * ac) / (aa * cc - ac * ac) AS l2 FROM ss"}
+
+
+def _two_factor_loadings(spark, sf):
+    data, f = _two(spark, sf)
+    w = F.avg("value").over(p.Window.partitionBy("series"))
+    m = data.withColumn("mean", w).withColumn("y", F.col("value") - F.col("mean"))
+    return fa.solve_loadings(fa.factor_products(m, f, 2), 2), f
+
+
+@query("n5_loadings_step", oracle("""SELECT series, round(l1, 6) AS l1, round(l2, 6) AS l2, round(greatest(var_pop(y - l1 * a - l2 * c), 1e-7), 4) AS r
+  FROM yy JOIN w2 USING (ts) JOIN ll USING (series) GROUP BY series, l1, l2""", "nation_week", ctes=_MSTEP))
+def n5_step(spark, sf):
+    load, _ = _two_factor_loadings(spark, sf)
+    return rnd(load.select("series", F.get("l", F.lit(0)).alias("l1"), F.get("l", F.lit(1)).alias("l2"), "r"), r=4)
+
+
+@query("n6_reconstruct_two_factors", oracle("""SELECT series, w2.ts, round(l1 * a + l2 * c + mean, 4) AS value FROM ll CROSS JOIN w2 JOIN (SELECT DISTINCT series, mean FROM yy) USING (series)""", "nation_week", ctes=_MSTEP))
+def n6_two(spark, sf):
+    load, f = _two_factor_loadings(spark, sf)
+    day = F.date_add(F.lit("1970-01-09").cast("date"), F.col("t") * 7)  # Friday of week t
+    return rnd(fa.reconstruct(f.withColumn("ts", day), load).select("series", "ts", "value"), 4)
