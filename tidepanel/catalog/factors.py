@@ -12,6 +12,7 @@ from tidepanel.operators import nowcast as n
 from tidepanel.operators import panel as p
 from tidepanel.operators import prepare as pr
 from tidepanel.operators import properties as pp
+from tidepanel.plans.session import cut_lineage
 
 TARGET, K = "NATION_0", 2
 DAYS = {"train_end": "1999-12-31", "oos_start": "2000-01-01", "oos_end": "2001-06-29"}
@@ -74,7 +75,7 @@ def n1(spark, sf):
 
 @query("n2_select_k")
 def n2(spark, sf):
-    pca = fa.pca_variance(_obs(spark, sf), 25)
+    pca = cut_lineage(fa.pca_variance(_obs(spark, sf), 25))
     out = None
     for how in ("cumulative", "elbow", "kaiser", "bai_ng"):
         d = fa.select_k(pca, how).select(F.lit(how).alias("method"), F.col("k").cast("int").alias("k"))

@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tidepanel.functions.calendar import bin_ordinal
 from tidepanel.operators.transforms import mask_months
-from tidepanel.plans.session import cut_lineage
+from tidepanel.plans.session import cut_lineage, spread
 
 # Numeric guards of the estimation.
 STATE_JITTER = 1e-6
@@ -62,7 +62,7 @@ def time_gram(m: DataFrame, flush: int = 64_000_000) -> DataFrame:
     panel. Partitions hold whole series and add up their own dates-by-dates
     block (written out early when it grows); rows of equal number are summed
     afterwards. Nothing has the size of the series dimension."""
-    vec = m.groupBy("panel", "series").agg(F.max("n_t").alias("n_t"), F.collect_list("t").alias("t"), F.collect_list("z").alias("z"))
+    vec = spread(m, "panel", "series").groupBy("panel", "series").agg(F.max("n_t").alias("n_t"), F.collect_list("t").alias("t"), F.collect_list("z").alias("z"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
@@ -84,10 +84,14 @@ def time_gram(m: DataFrame, flush: int = 64_000_000) -> DataFrame:
         yield from out()
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum(np.vstack(pdf["row"].to_list()), axis=0)
-        return pd.DataFrame({"panel": [pdf["panel"].iloc[0]], "i": [pdf["i"].iloc[0]], "row": [total]})
+        rows, at = np.unique(pdf["i"].to_numpy(), return_inverse=True)
+        total = np.zeros((len(rows), len(pdf["row"].iloc[0])))
+        np.add.at(total, at, np.vstack(pdf["row"].to_list()))
+        return pd.DataFrame({"panel": pdf["panel"].iloc[0], "i": rows, "row": list(total)})
     schema = f"panel string, i long, row {VEC}"
-    return vec.select("panel", "n_t", "t", "z").mapInPandas(partial, schema).groupBy("panel", "i").applyInPandas(add, schema)
+    parts = vec.select("panel", "n_t", "t", "z").mapInPandas(partial, schema)
+    # sixteen neighbouring rows per group: few Python calls, small groups
+    return parts.groupBy("panel", F.floor(F.col("i") / 16)).applyInPandas(add, schema)
 
 
 def _eigen(gram: DataFrame, k: int | None) -> DataFrame:
@@ -230,7 +234,7 @@ def kalman_smoother(m: DataFrame, loadings: DataFrame, state: DataFrame, k: int)
     filtered covariance per date; row t = -1 holds the next A, Q, x0, P0."""
     info = information(m, loadings, k)
     own = state.select(*[F.col(c).alias(c) for c in state.columns])  # fresh names: both sides may stem from m
-    return info.groupBy("panel").cogroup(own.groupBy("panel")).applyInPandas(_scan_panel(k), _SCAN)
+    return spread(info, "panel").groupBy("panel").cogroup(spread(own, "panel").groupBy("panel")).applyInPandas(_scan_panel(k), _SCAN)
 
 
 # ---------------------------------------------------------------- loadings

@@ -12,7 +12,7 @@ from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, StructField,
 from tidepanel.functions.scalars import corr_guarded
 from tidepanel.functions.unitroot import KPSS_TREND, adf
 from tidepanel.operators.panel import SERIES, series_window
-from tidepanel.plans.session import cut_lineage
+from tidepanel.plans.session import cut_lineage, spread
 
 # ---------------------------------------------------------------- stationarity
 
@@ -30,7 +30,7 @@ def _adf_table(df: DataFrame, trend: str, keys: Sequence[str] = SERIES) -> DataF
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["n int", "tau double", "lags int", "p_value double"])
     live = df.filter(F.col("value").isNotNull()).select(*keys, "ts", "value")
-    return live.groupBy(*keys).applyInPandas(one, schema)
+    return spread(live, *keys).groupBy(*keys).applyInPandas(one, schema)
 
 
 def _difference(df: DataFrame, log: bool, order: int, keys: Sequence[str]) -> DataFrame:
@@ -346,7 +346,7 @@ def dtw_batch(df: DataFrame, pairs: DataFrame, metric: str = "abs", radius: int
             yield pd.DataFrame(rows, columns=["distance", "path_i", "path_j"])
     d = (pairs.join(vec.select(F.col("series").alias("target"), F.col("v").alias("_a")), "target", "left")
          .join(vec.select(F.col("series").alias("candidate"), F.col("v").alias("_b")), "candidate", "left"))
-    out = d.withColumn("r", solve("_a", "_b"))
+    out = spread(d, "target", "candidate").withColumn("r", solve("_a", "_b"))
     return (out.select("target", "candidate", F.col("r.distance").alias("distance"), F.col("r.path_i").alias("path_i"),
                        F.col("r.path_j").alias("path_j"),
                        F.when(F.col("r.distance").isNull(), "empty_series").otherwise("ok").alias("note"))
