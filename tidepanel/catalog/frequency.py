@@ -112,7 +112,11 @@ def r1_business(spark, sf):
     return f.resample(b.brand_day(spark, sf), "B", "first")
 
 
-@query("r1_resample_quarter_mean", oracle(f"SELECT series, {_QEND} AS ts, round(avg(value), 6) AS value FROM brand_day GROUP BY 1, 2", "brand_day"))
+@query("r1_resample_quarter_mean", oracle("""SELECT s.series, c.ts, round(p.value, 6) AS value FROM (SELECT DISTINCT series FROM brand_day) s CROSS JOIN cal c
+  LEFT JOIN q p ON p.series = s.series AND p.ts = c.ts""", "brand_day", ctes={
+    "q": f"SELECT series, qe AS ts, avg(value) AS value FROM (SELECT *, {_QEND} AS qe FROM brand_day) GROUP BY 1, 2",
+    "cal": """SELECT CAST(g + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS ts FROM (SELECT date_trunc('quarter', min(ts)) AS lo, date_trunc('quarter', max(ts)) AS hi FROM brand_day),
+      generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 3 MONTH) t(g)"""}))
 def r1_quarter(spark, sf):
     return rnd(f.resample(b.brand_day(spark, sf), "Q", "mean"))
 

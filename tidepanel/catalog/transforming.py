@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.catalog import base as b
 from tidepanel.catalog.base import oracle, query, rnd
+from tidepanel.catalog.frequency import _ALL as PANELS_OF_ALL_FREQUENCIES, _CODES as INFERENCE_SQL, _many as many
 from tidepanel.operators import frequency as f
 from tidepanel.operators import panel as p
 from tidepanel.operators import transforms as t
@@ -70,15 +71,11 @@ def t8(spark, sf):
     return rnd(t.transform(_dense(spark, sf), "growth_rate", periods=52))
 
 
-@query("t9_growth_periods", oracle("""SELECT panel, series, yoy FROM (SELECT 'brand_week' AS panel, series, 52 AS yoy FROM brand_week GROUP BY 2
-  UNION ALL SELECT 'segment_month', series, 12 FROM segment_month GROUP BY 2 UNION ALL SELECT 'flag_day', series, 365 FROM event_day GROUP BY 2)""",
-  "brand_week", "segment_month", "event_day"))
+@query("t9_growth_periods", oracle("""SELECT series, CASE WHEN freq_code LIKE 'Q%' THEN 4 WHEN freq_code LIKE 'M%' THEN 12 WHEN freq_code LIKE 'W%' THEN 52
+  WHEN freq_code LIKE 'D%' OR freq_code LIKE 'B%' THEN 365 ELSE 1 END AS yoy, 1 AS pop FROM inf""", *PANELS_OF_ALL_FREQUENCIES, ctes=INFERENCE_SQL))
 def t9(spark, sf):
-    out = None
-    for name, d in (("brand_week", b.brand_week(spark, sf)), ("segment_month", b.segment_month(spark, sf)), ("flag_day", b.event_day(spark, sf))):
-        q = f.infer_frequency(d).select(F.lit(name).alias("panel"), "series", t.growth_periods(F.col("freq_code")).alias("yoy"))
-        out = q if out is None else out.unionByName(q)
-    return out
+    d = f.infer_frequency(many(spark, sf))
+    return d.select("series", t.growth_periods(F.col("freq_code")).alias("yoy"), t.growth_periods(F.col("freq_code"), False).alias("pop"))
 
 
 @query("t10_constant", oracle("""SELECT series, ts, value + 3 AS plus, value - 3 AS minus, value * 2.5 AS times, round(value / 7.0, 6) AS over,

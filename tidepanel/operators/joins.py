@@ -77,12 +77,17 @@ def concat_panels(panels: Sequence[DataFrame]) -> DataFrame:
     return first_source_wins(out, "_prio").drop("_prio")
 
 
-def first_source_wins(df: DataFrame, prio: str, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Keep the rows of the lowest ``prio`` per series, in one pass: a series is a
-    calendar per source, and the window needs the shuffle on the series that
-    later steps use anyway."""
-    best = F.min(prio).over(Window.partitionBy(*keys))
-    return df.withColumn("_best", best).filter(F.col(prio) == F.col("_best")).drop("_best")
+def first_source_wins(df: DataFrame, prio: str, keys: Sequence[str] = SERIES, ts: str = "ts") -> DataFrame:
+    """Keep the rows of the lowest ``prio`` per series.
+
+    First the best source per (series, stamp), an aggregate that combines before
+    the shuffle however many sources repeat a name; the rest is one calendar per
+    series, where the series' best source is a window away. One pass."""
+    rest = [c for c in df.columns if c not in (*keys, ts, prio)]
+    best = df.groupBy(*keys, ts).agg(F.min(F.struct(prio, *rest)).alias("_b"))
+    top = F.min(F.col(f"_b.{prio}")).over(Window.partitionBy(*keys))
+    kept = best.withColumn("_top", top).filter(F.col(f"_b.{prio}") == F.col("_top"))
+    return kept.select(*[F.col(c) if c in (*keys, ts) else F.col(f"_b.{c}").alias(c) for c in df.columns])
 
 
 def append(top: DataFrame, bottom: DataFrame) -> DataFrame:
