@@ -68,6 +68,11 @@ def f5(spark, sf):
     return f.gap_profile(_many(spark, sf))
 
 
+@query("f5_median_gap", oracle("SELECT CAST(median(gap) AS DOUBLE) AS median_gap FROM g WHERE gap IS NOT NULL", *_ALL, ctes=_MANY))
+def f5m(spark, sf):
+    return f.median_gap(_many(spark, sf))
+
+
 # ---------------------------------------------------------------- resampling
 
 _MEND = "last_day(ts)"

@@ -132,6 +132,12 @@ def gap_profile(df: DataFrame, top: int = 3, keys: Sequence[str] = SERIES) -> Da
     return gaps.orderBy(F.col("n").desc(), "gap").limit(top)
 
 
+def median_gap(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+    """Median gap in days over all series."""
+    gaps = _gaps(df, keys).select(F.lit("all").alias("scope"), F.col("gap").cast("double").alias("value"))
+    return exact_quantile(gaps, ["scope"], name="median_gap").select("median_gap")
+
+
 def _gaps(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     d = df.select(*keys, "ts").distinct()
     return d.select(*keys, F.datediff("ts", F.lag("ts").over(series_window(keys))).alias("gap")).filter("gap is not null")
