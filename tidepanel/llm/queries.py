@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepanel.llm import mixing, packing, quality_rules
+from tidepanel.llm import exact_topk, hmm_lm, language_id, mixing, packing, quality_classifier, quality_rules, toxicity, warc
 from tidepanel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,26 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# ---------------------------------------------------------------- 1 quality classifier
+
+@query("op1_quality_classifier")
+def op1(spark, sf):
+    return quality_classifier.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+# ---------------------------------------------------------------- 2 exact top-k
+
+@query("op2_exact_topk", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5""")
+def op2(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return exact_topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 # ---------------------------------------------------------------- 3 packing
 
 @query("op3_best_fit_packing")
@@ -61,6 +81,69 @@ def op4(spark, sf):
     return out.select("doc_id", *quality_rules.MEASURES[:5], "base_failed", "kept")
 
 
+# ---------------------------------------------------------------- 5 LM scoring
+
+@query("op5_hmm_lm")
+def op5(spark, sf):
+    return hmm_lm.score(table(spark, sf, "documents"))
+
+
+# ---------------------------------------------------------------- 6 language identification
+
+@query("op6_language_id")
+def op6(spark, sf):
+    pages = table(spark, sf, "pages")
+    host = language_id.host_of("url")
+    seen = pages.select("page_id", warc.plain_text(F.coalesce("html", F.lit(""))).alias("text"), host.alias("host"),
+                        F.regexp_extract("html", warc.LANGUAGE, 1).alias("lang"))
+    out = language_id.identify(seen.withColumn("lang", F.when(F.col("lang") != "", F.col("lang"))), declared="lang",
+                               suffix=language_id.suffix_of(F.col("host")), host=F.when(F.col("host") != "", F.col("host")), keep=("page_id", "host"))
+    return out.select("page_id", "host", "declared", "language", "text_language", F.round("confidence", 9).alias("confidence"))
+
+
+# ---------------------------------------------------------------- 7 WARC derivatives
+
+def _sql_text(c: str) -> str:
+    for p in warc.DROP:
+        c = f"regexp_replace({c}, '{p}', ' ', 'g')"
+    c = f"regexp_replace(regexp_replace({c}, '{warc.BREAK}', chr(10), 'g'), '{warc.TAG}', '', 'g')"
+    for name, char in warc.ENTITIES:
+        c = f"replace({c}, '{name}', '{char.replace("'", "''")}')"
+    c = f"regexp_replace({c}, '[\\t\\x0b\\f\\r ]+', ' ', 'g')"
+    return f"regexp_replace(regexp_replace({c}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+def _sql_id(*parts: str) -> str:
+    return f"regexp_replace(md5(concat_ws('|', {', '.join(parts)})), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '<urn:uuid:\\1-\\2-\\3-\\4-\\5>')"
+
+
+_LINE = "chr(13) || chr(10)"
+_WARC_SQL = f"""WITH r AS (SELECT page_id, {_sql_id("'response'", "CAST(page_id AS VARCHAR)", "url")} AS refers_to, url AS target_uri, '{warc.DATE}' AS date,
+  coalesce(html, '') AS payload FROM pages),
+f AS (SELECT *, trim(regexp_replace(regexp_extract(payload, '{warc.TITLE}', 1), '\\s+', ' ', 'g')) AS title,
+  regexp_extract(payload, '{warc.LANGUAGE.replace("'", "''")}', 1) AS lang, regexp_extract_all(payload, '{warc.LINK}', 1) AS links FROM r),
+d AS (SELECT page_id, refers_to, target_uri, date, 'sha256:' || sha256(payload) AS source_digest, unnest([
+  {{'record_type': 'metadata', 'content_type': 'application/warc-fields', 'block': 'source-content-type: text/html; charset=utf-8' || {_LINE}
+    || CASE WHEN title <> '' THEN 'title: ' || title || {_LINE} ELSE '' END || CASE WHEN lang <> '' THEN 'language: ' || lang || {_LINE} ELSE '' END
+    || 'outlinks: ' || len(links) || {_LINE} || coalesce(array_to_string(list_transform(links, lambda x: 'outlink: ' || x || {_LINE}), ''), '')}},
+  {{'record_type': 'conversion', 'content_type': 'text/plain; charset=utf-8', 'block': {_sql_text("payload")}}}]) AS k FROM f)
+SELECT page_id, k.record_type AS record_type, {_sql_id("k.record_type", "refers_to")} AS record_id, refers_to,
+  CASE WHEN k.record_type = 'conversion' THEN {_sql_id("'metadata'", "refers_to")} END AS concurrent_to, target_uri, date, k.content_type AS content_type,
+  CAST(strlen(k.block) AS BIGINT) AS content_length, source_digest, 'sha256:' || sha256(k.block) AS block_digest, k.block AS block FROM d"""
+
+
+@query("op7_warc_derivatives", _WARC_SQL)
+def op7(spark, sf):
+    return warc.derive(warc.responses(table(spark, sf, "pages")))
+
+
+# ---------------------------------------------------------------- 8 toxicity
+
+@query("op8_toxicity")
+def op8(spark, sf):
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 # ---------------------------------------------------------------- 10 mixing
 
 @query("op10_source_mixing")
