@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepanel.plans.session import cut_lineage
 
-__all__ = ["cut_lineage", "fold", "rows_of", "table", "text_bytes", "text_total", "by_bytes", "word_hash", "mix64"]
+__all__ = ["cut_lineage", "fold", "join_checked", "rows_of", "table", "text_bytes", "text_total", "by_bytes", "word_hash", "mix64"]
 
 
 def table(spark, sf: str, name: str) -> DataFrame:
@@ -47,6 +47,13 @@ def by_bytes(total: int, per: int, least: int = 1) -> int:
     return max(least, math.ceil(total / per))
 
 
+def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = 1_000_000) -> DataFrame:
+    """Join with a side that is written, counted, and broadcast only up to ``rows`` rows;
+    beyond that Spark shuffles both sides."""
+    small = cut_lineage(small)
+    return big.join(F.broadcast(small) if small.count() <= rows else small, on, how)
+
+
 _M1, _M2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 

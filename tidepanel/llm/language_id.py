@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidepanel.llm.common import cut_lineage, rows_of, text_bytes
+from tidepanel.llm.common import cut_lineage, join_checked, rows_of, text_bytes
 
 LANGUAGES = ("en", "de", "fr", "es")
 BUCKETS = 1 << 14
@@ -37,6 +37,7 @@ DAMP = 3.0
 KAPPA = 20.0
 ALPHA = 0.5
 CONFIDENCE = 0.6
+HOSTS = 200_000  # rows of host counts that are still broadcast
 
 
 def trigrams(text: bytes, buckets: int = BUCKETS) -> np.ndarray:
@@ -123,8 +124,8 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
         return df.select(*(F.col(c).alias(f"_of{c}") for c in df.columns if c in ("_host", "_suffix")), *(F.col(f"v{i}").alias(f"{mark}{i}") for i in range(n)))
 
     s, h = renamed(by_suffix, "s"), renamed(by_host, "h").withColumnRenamed("_of_suffix", "_host_suffix")
-    joined = (seen.join(s, F.col("_suffix") == F.col("_of_suffix"), "left")
-              .join(h, (F.col("_host") == F.col("_of_host")) & F.col("_suffix").eqNullSafe(F.col("_host_suffix")), "left"))
+    joined = join_checked(seen, s, F.col("_suffix") == F.col("_of_suffix"), "left", HOSTS)
+    joined = join_checked(joined, h, (F.col("_host") == F.col("_of_host")) & F.col("_suffix").eqNullSafe(F.col("_host_suffix")), "left", HOSTS)
     less = lambda mark, i: F.greatest(F.coalesce(F.col(f"{mark}{i}"), F.lit(0)) - own(i), F.lit(0)).cast("double")
     sn, hn = reduce(Column.__add__, [less("s", i) for i in range(n)]), reduce(Column.__add__, [less("h", i) for i in range(n)])
     at_suffix = [(less("s", i) + F.lit(KAPPA * prior[i])) / (sn + KAPPA) for i in range(n)]

@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepanel.llm.common import cut_lineage, text_bytes
+from tidepanel.llm.common import cut_lineage, join_checked, text_bytes
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -180,3 +180,17 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text"
         level = flown.filter(open_).withColumn("_block", F.floor(F.col("_block") / fan).cast("long"))
         keys = ("source", "_block")
     return done.withColumn("copies", F.col("_whole") + F.col("_x").cast("int")).drop("_whole", "_x", "_block")
+
+
+def take(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, with its own columns.
+
+    The mix is decided on ids, sizes and row hashes; texts meet the result in one join, a
+    broadcast while the decisions are few. Equal rows share a hash and their copies add up."""
+    unit = F.xxhash64("doc_id", "source", text)
+    taken = (mix(docs, text=text, **options).groupBy("unit").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+             .filter("copies > 0").select(F.col("unit").alias("_unit"), F.struct("copies", "rows").alias("_take")))
+    found = join_checked(docs.withColumn("_unit", unit), taken, "_unit")
+    if not taken.filter("_take.rows > 1").isEmpty():
+        found = found.filter("_take.rows = 1").unionByName(found.filter("_take.rows > 1").dropDuplicates(["_unit"]))
+    return found.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_take.copies").cast("int")))).select(*docs.columns)
