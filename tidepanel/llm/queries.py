@@ -92,6 +92,15 @@ def op5(spark, sf):
 
 @query("op6_language_id")
 def op6(spark, sf):
+    """Documents: the declared language is their ``lang``, the host their ``source``."""
+    out = language_id.identify(table(spark, sf, "documents"), host=F.col("source"))
+    kept = F.col("language").isin(*language_id.LANGUAGES) & (F.col("confidence") >= language_id.CONFIDENCE)
+    return out.select("doc_id", "declared", "language", "text_language", F.round("confidence", 9).alias("confidence"), kept.alias("kept"))
+
+
+@query("pages_language_id")
+def pages_language(spark, sf):
+    """The same operator with all its evidence: markup language, address suffix and host."""
     pages = table(spark, sf, "pages")
     host = language_id.host_of("url")
     seen = pages.select("page_id", warc.plain_text(F.coalesce("html", F.lit(""))).alias("text"), host.alias("host"),
