@@ -127,7 +127,9 @@ def test_pca_and_factor_count(toy):
     ic = [np.log(e[k:].sum() * t / (n * t)) + k * (n + t) / (n * t) * np.log(min(n, t)) for k in range(1, n)]
     best = int(np.argmin(ic)) + 1
     assert fa.select_k(pca, "bai_ng", cap=None).first().k == best
-    assert fa.select_k(pca, "bai_ng").first().k == min(best, 10)  # first-stage cap
+    assert fa.select_k(pca, "bai_ng").first().k == best  # no limit unless asked for
+    first = fa.select_k(pca, "bai_ng", cap=fa.FIRST_STAGE_CAP).first()
+    assert first.k == min(best, fa.FIRST_STAGE_CAP) and first.capped == (best > fa.FIRST_STAGE_CAP)
     assert fa.select_k(pca, "kaiser").first().k == max(1, int((e > 1).sum()))
     share = np.cumsum(e) / e.sum()
     assert fa.select_k(pca, "cumulative", cap=None).first().k == int(np.argmax(share >= 0.9)) + 1

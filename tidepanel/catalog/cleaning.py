@@ -206,8 +206,9 @@ def c19(spark, sf):
     return log
 
 
-@query("c19_kept_after_gaps", oracle("""SELECT series, ts, value FROM dense WHERE series NOT IN
-  (SELECT series FROM prof WHERE longest_run_after_first >= 8)""", "brand_day", dense=("brand_day", "D"), ctes=_ISL))
+@query("c19_kept_after_gaps", oracle("""SELECT series, ts, value FROM dense d WHERE NOT EXISTS
+  (SELECT 1 FROM prof p WHERE p.series = d.series AND longest_run_after_first >= 8)""", "brand_day", dense=("brand_day", "D"), ctes=_ISL)
+  .replace("dense AS (", "dense AS MATERIALIZED (", 1).replace("prof AS (", "prof AS MATERIALIZED (", 1))
 def c19k(spark, sf):
     kept, _ = c.drop_long_gaps(p.densify(b.brand_day(spark, sf), "D"), 8, "daily")
     return kept

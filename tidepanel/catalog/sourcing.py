@@ -46,7 +46,11 @@ def _grid(spark, sf):
     """One grid sheet per market segment and layout: customers are the data rows.
     Row numbers come from the customer key, so no ordering pass is needed."""
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
-    day = F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("c_custkey") % 3000).cast("int")), "yyyy-MM-dd")
+    on = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("c_custkey") % 3000).cast("int"))
+    day = F.lit(None).cast("string")  # the formats vendors mix, and a serial number
+    for i, f in enumerate(("yyyy-MM-dd", "yyyy/M/d", "yyyy年M月d日", "yyyyMMdd", "d-MMM-yyyy")):
+        day = F.when(F.col("c_custkey") % 6 == i, F.date_format(on, f)).otherwise(day)
+    day = F.coalesce(day, F.datediff(on, F.lit("1899-12-30").cast("date")).cast("string"))
     cells = F.array(day, F.format_string("%.2f", F.col("c_acctbal")), F.col("c_nationkey").cast("string"))
     out = None
     T = lambda *x: F.array(*[F.lit(v) for v in x])
@@ -77,6 +81,16 @@ def s2i(spark, sf):
     return s.vendor_grid_ingest(_grid(spark, sf)).drop("file")
 
 
+@query("s2_dropped_rows", """SELECT sheet, layout, count(*) AS n_rows, count(*) FILTER (c_custkey % 11 = 0) AS n_dropped FROM customer
+  CROSS JOIN (VALUES ('ths', 'tonghuashun_new'), ('wind', 'wind_new'), ('steel', 'mysteel_new'), ('oldid', 'old_with_id'), ('plain', 'old_direct')) t(sheet, layout) GROUP BY 1, 2""")
+def s2d(spark, sf):
+    grid = _grid(spark, sf)
+    heads = F.element_at(F.create_map(*[F.lit(x) for kv in (("ths", 5), ("wind", 2), ("steel", 4), ("oldid", 2), ("plain", 1)) for x in kv]), F.col("sheet"))
+    key = F.col("row_no") - heads
+    odd = F.when((key >= 0) & (key % 11 == 0), F.array(F.lit("合计"), F.get("cells", F.lit(1)))).otherwise(F.col("cells"))
+    return s.dropped_rows(grid.withColumn("cells", odd)).drop("file")
+
+
 @query("s3_sheet_info", """SELECT sheet, false AS is_target, c_mktsegment AS industry, 'weekly' AS freq_type, 'Wind_' || c_nationkey AS source
   FROM (SELECT DISTINCT c_mktsegment || '_周度_Wind_' || c_nationkey AS sheet, c_mktsegment, c_nationkey FROM customer)
   UNION ALL SELECT DISTINCT c_mktsegment || '-月度', true, c_mktsegment, 'target', NULL FROM customer WHERE c_mktsegment = 'BUILDING'

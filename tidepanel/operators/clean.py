@@ -103,18 +103,21 @@ def dedupe_column_names(names: DataFrame) -> DataFrame:
     """(name, new_name): members of a duplicated base become ``base_v1..n``,
     skipping numbers already taken by other names."""
     parts = _name_parts(names.select("name").distinct())
+    base = Window.partitionBy("base")
+    parts = parts.withColumns({"i": F.row_number().over(base.orderBy("suffix", "name")), "n": F.count(F.lit(1)).over(base)})
     taken = (names.select(F.regexp_extract("name", r"^(.+)_v(\d+)$", 1).alias("base"),
                           F.regexp_extract("name", r"^(.+)_v(\d+)$", 2).alias("_v"))
-             .filter(F.col("_v") != "").groupBy("base")
-             .agg(F.collect_set(F.col("_v").cast("int")).alias("taken")))
-    groups = parts.groupBy("base").agg(F.sort_array(F.collect_list(F.struct("suffix", "name"))).alias("m"))
-    d = groups.join(taken, "base", "left")
-    blocked = F.coalesce("taken", F.array().cast("array<int>"))
-    free = F.array_except(F.sequence(F.lit(1), (F.size("m") + F.size(blocked)).cast("int")), blocked)
-    d = d.select("base", free.alias("free"), F.size("m").alias("n"), F.posexplode("m").alias("i", "e"))
-    needs = (F.col("n") > 1) | (F.col("e.suffix") >= 0)
-    renamed = F.concat("base", F.lit("_v"), F.element_at("free", F.col("i") + 1).cast("string"))
-    return d.select(F.col("e.name").alias("name"), F.when(needs, renamed).otherwise(F.col("e.name")).alias("new_name"))
+             .filter(F.col("_v") != "").select("base", F.col("_v").cast("long").alias("v")).filter("v > 0").distinct())
+    # The i-th free number is i plus the taken numbers v_1 < v_2 < ... with v_r - r < i:
+    # one running count over both kinds of rows, no list of a base's names anywhere.
+    taken = taken.withColumn("at", F.col("v") - F.row_number().over(base.orderBy("v"))).select("base", "at", F.lit(1).alias("taken"))
+    both = (parts.select("base", F.col("i").cast("long").alias("at"), F.lit(0).alias("taken"), "name", "suffix", "n")
+            .unionByName(taken, allowMissingColumns=True))
+    skip = F.sum("taken").over(base.orderBy("at", "taken").rowsBetween(Window.unboundedPreceding, 0))
+    d = both.withColumn("number", F.col("at") + skip).filter("taken = 0")
+    needs = (F.col("n") > 1) | (F.col("suffix") >= 0)
+    renamed = F.concat("base", F.lit("_v"), F.col("number").cast("string"))
+    return d.select("name", F.when(needs, renamed).otherwise(F.col("name")).alias("new_name"))
 
 
 # ---------------------------------------------------------------- values
@@ -242,12 +245,14 @@ def auto_datetime(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return df
 
 
-def shift_month_sheets(df: DataFrame, pattern: str, sheet: str = "sheet", only: Column | None = None) -> DataFrame:
+def shift_month_sheets(df: DataFrame, pattern: str, sheet: str = "sheet", only: Column | None = None, names: DataFrame | None = None) -> DataFrame:
     """Sheets with a series matching ``pattern`` move, as a whole, to the end of
-    the previous month; ``only`` limits this to some rows. The second pass reads
-    sheet and series names only."""
+    the previous month; ``only`` limits this to some rows. The sheets are looked up
+    in ``names`` (default: ``df``), a second read of sheet and series names; give the
+    rows before any aggregate there, or the aggregate runs twice."""
     only = F.lit(True) if only is None else only
-    hit = (df.filter(only & F.col("series").contains(pattern)).select(sheet).distinct().withColumn("_hit", F.lit(True)))
+    source = df if names is None else names
+    hit = (source.filter(only & F.col("series").contains(pattern)).select(sheet).distinct().withColumn("_hit", F.lit(True)))
     moved = F.when(F.col("_hit") & only, F.last_day(F.add_months("ts", -1))).otherwise(F.col("ts"))
     return df.join(hit, sheet, "left").withColumn("ts", moved).drop("_hit")
 

@@ -11,6 +11,11 @@ iteration has two aggregates:
 What is left per panel is a scan over dates with k-by-k matrices, k being the
 number of factors and the dates one calendar, so a group is small by
 construction.
+
+:func:`fit_dfm` gathers each series once as arrays over its dates. An iteration
+then reads these rows where they lie: the factors (dates by k, small enough for
+Spark to broadcast) meet a row, give its loadings, and the row's share of J and h
+is added up inside the task. What is shuffled is one row per task and date.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tidepanel.functions.calendar import bin_ordinal
 from tidepanel.operators.transforms import mask_months
-from tidepanel.plans.session import cut_lineage, spread
+from tidepanel.plans.session import cut_lineage, discard, spread
 
 # Numeric guards of the estimation.
 STATE_JITTER = 1e-6
@@ -32,7 +37,7 @@ INNOVATION_JITTER = 1e-4
 RIDGE = 1e-7
 NOISE_FLOOR = 1e-7
 INITIAL_FLOOR = 1e-6
-FACTOR_CAP = 10
+FIRST_STAGE_CAP = 10  # what the first estimate of a two-stage tuning allows, see select_k
 DEFAULT_ITERATIONS = 30
 
 VEC = "array<double>"
@@ -113,16 +118,17 @@ def _eigen(gram: DataFrame, k: int | None) -> DataFrame:
     return gram.groupBy("panel").applyInPandas(one, f"panel string, t int, f {VEC}")
 
 
-def pca_variance(obs: DataFrame, n_components: int = FACTOR_CAP, rule: str = "W-FRI") -> DataFrame:
+def pca_variance(obs: DataFrame, n_components: int | None = None, rule: str = "W-FRI") -> DataFrame:
     """Explained and cumulative variance (percent) and eigenvalues of the
-    standardised panel, missing values at the mean."""
+    standardised panel, missing values at the mean; all components unless
+    ``n_components`` asks for the first ones."""
     m = cut_lineage(model_panel(cut_lineage(obs), rule))
     eig = _eigen(time_gram(m), None)
     size = m.groupBy("panel").agg(F.max("n_t").alias("n_t"), F.count_distinct("series").alias("n_series"))
     d = eig.filter("t = -1").join(size, "panel")
     total = F.aggregate("f", F.lit(0.0), lambda a, x: a + x)
     d = d.select("panel", "n_series", "n_t", total.alias("_total"), F.posexplode("f").alias("_i", "_v"))
-    d = d.filter(F.col("_i") < F.least(F.col("n_series"), F.col("n_t"), F.lit(n_components)))
+    d = d.filter(F.col("_i") < F.least(F.col("n_series"), F.col("n_t"), *([] if n_components is None else [F.lit(n_components)])))
     w = Window.partitionBy("panel").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     share = F.try_divide(F.col("_v") * 100.0, F.col("_total"))
     return d.select("panel", (F.col("_i") + 1).alias("k"), share.alias("explained_pct"), F.sum(share).over(w).alias("cumulative_pct"),
@@ -131,10 +137,12 @@ def pca_variance(obs: DataFrame, n_components: int = FACTOR_CAP, rule: str = "W-
 
 
 def select_k(pca: DataFrame, method: str = "bai_ng", threshold: float | None = None, loadings: DataFrame | None = None,
-             target: str | None = None, cap: int | None = FACTOR_CAP) -> DataFrame:
+             target: str | None = None, cap: int | None = None) -> DataFrame:
     """Number of factors per panel: ``cumulative`` (share reached), ``elbow``
     (relative drop below), ``kaiser`` (eigenvalue above one), ``common`` (share of
-    the target's squared loadings reached) or ``bai_ng``."""
+    the target's squared loadings reached) or ``bai_ng``. With ``cap`` (the first
+    stage of a tuning uses ``FIRST_STAGE_CAP``) a column ``capped`` says where the
+    limit took effect."""
     by_k = Window.partitionBy("panel").orderBy("k")
     d = pca
     if method == "common":
@@ -158,7 +166,7 @@ def select_k(pca: DataFrame, method: str = "bai_ng", threshold: float | None = N
         out = d.groupBy("panel").agg(F.coalesce(F.min(F.when(F.col("_ic").isNotNull(), F.struct("_ic", "k"))).getField("k"), F.lit(1)).alias("k"))
     else:
         out = d.groupBy("panel").agg(F.coalesce(F.min(F.when(F.col("_ok"), F.col("k"))), F.max("k")).alias("k"))
-    return out if cap is None else out.select("panel", F.least("k", F.lit(cap)).alias("k"))
+    return out if cap is None else out.select("panel", F.least("k", F.lit(cap)).alias("k"), (F.col("k") > cap).alias("capped"))
 
 
 # ---------------------------------------------------------------- per-panel scan
@@ -232,7 +240,10 @@ def information(m: DataFrame, loadings: DataFrame, k: int) -> DataFrame:
 def kalman_smoother(m: DataFrame, loadings: DataFrame, state: DataFrame, k: int) -> DataFrame:
     """(panel, t, xs, xf, xm, p): smoothed, filtered and predicted states and the
     filtered covariance per date; row t = -1 holds the next A, Q, x0, P0."""
-    info = information(m, loadings, k)
+    return _scan(information(m, loadings, k), state, k)
+
+
+def _scan(info: DataFrame, state: DataFrame, k: int) -> DataFrame:
     own = state.select(*[F.col(c).alias(c) for c in state.columns])  # fresh names: both sides may stem from m
     return spread(info, "panel").groupBy("panel").cogroup(spread(own, "panel").groupBy("panel")).applyInPandas(_scan_panel(k), _SCAN)
 
@@ -242,19 +253,24 @@ def kalman_smoother(m: DataFrame, loadings: DataFrame, state: DataFrame, k: int)
 _LOADING = StructType([StructField("l", ArrayType(DoubleType())), StructField("r", DoubleType())])
 
 
+def _regress(n: int, s: np.ndarray, b: np.ndarray, f: np.ndarray, y: float, yy: float) -> tuple:
+    """Loading and noise of one series from its cross-products with the factors;
+    at most k points give nothing."""
+    if n <= len(b):
+        return None, None
+    l = np.linalg.pinv(s, hermitian=True) @ b
+    e = (y - l @ f) / n
+    var = (yy - 2 * l @ b + l @ s @ l) / n - e * e
+    return l, float(max(var, NOISE_FLOOR))
+
+
 def _loading_solver(k: int):
     @F.pandas_udf(_LOADING)
     def solve(n: pd.Series, ff: pd.Series, fy: pd.Series, f: pd.Series, y: pd.Series, yy: pd.Series) -> pd.DataFrame:
         rows = []
         for n_, ff_, fy_, f_, y_, yy_ in zip(n, ff, fy, f, y, yy):
-            if n_ <= k:
-                rows.append((None, None))
-                continue
-            s, b = _upper(ff_, k), np.asarray(fy_, dtype=float)
-            l = np.linalg.pinv(s, hermitian=True) @ b
-            e = (y_ - l @ np.asarray(f_, dtype=float)) / n_
-            var = (yy_ - 2 * l @ b + l @ s @ l) / n_ - e * e
-            rows.append((l.tolist(), float(max(var, NOISE_FLOOR))))
+            l, r = _regress(n_, _upper(ff_, k), np.asarray(fy_, dtype=float), np.asarray(f_, dtype=float), y_, yy_)
+            rows.append((None if l is None else l.tolist(), r))
         return pd.DataFrame(rows, columns=["l", "r"])
     return solve
 
@@ -315,29 +331,96 @@ def next_state(scan: DataFrame) -> DataFrame:
     return s.select("panel", "n_t", F.col("xs").alias("a"), F.col("xf").alias("q"), F.col("xm").alias("x0"), F.col("p").alias("p0"))
 
 
-def em_step(m: DataFrame, loadings: DataFrame, state: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(loadings, state, scan) after one iteration. Both results are written to
-    the checkpoint folder, so the plan never grows with the iterations."""
-    scan = cut_lineage(kalman_smoother(m, loadings, state, k))
-    factors = scan.filter("t >= 0").select("panel", "t", F.col("xs").alias("f"))
-    new = cut_lineage(solve_loadings(factor_products(m, factors, k), k))
-    return new, next_state(scan), scan
+def series_rows(m: DataFrame) -> DataFrame:
+    """(panel, series, mean, std, n_t, t, y): one row per series, its observations
+    as arrays by date; a series is never longer than the calendar."""
+    obs = F.array_sort(F.collect_list(F.struct("t", "y")))
+    d = m.groupBy("panel", "series").agg(F.first("mean").alias("mean"), F.first("std").alias("std"), F.first("n_t").alias("n_t"), obs.alias("o"))
+    return d.select("panel", "series", "mean", "std", "n_t", F.col("o.t").alias("t"), F.col("o.y").alias("y"))
+
+
+def _factor_rows(scan: DataFrame) -> DataFrame:
+    """(panel, f): the smoothed factors of a panel, dates by k in one array."""
+    return (scan.filter("t >= 0").groupBy("panel").agg(F.array_sort(F.collect_list(F.struct("t", "xs"))).alias("s"))
+            .select("panel", F.flatten(F.col("s.xs")).alias("f")))
+
+
+def _loading_of(t, y, f, k: int) -> tuple:
+    x, y = np.asarray(f, dtype=float).reshape(-1, k)[np.asarray(t, dtype=int)], np.asarray(y, dtype=float)
+    return _regress(len(y), x.T @ x, x.T @ y, x.sum(axis=0), y.sum(), y @ y)
+
+
+def rows_loadings(rows: DataFrame, scan: DataFrame, k: int) -> DataFrame:
+    """M step: (panel, series, mean, std, l, r) from gathered series and a scan."""
+    @F.pandas_udf(_LOADING)
+    def solve(t: pd.Series, y: pd.Series, f: pd.Series) -> pd.DataFrame:
+        got = [_loading_of(*x, k) for x in zip(t, y, f)]
+        return pd.DataFrame([(None if l is None else l.tolist(), r) for l, r in got], columns=["l", "r"])
+    d = rows.join(_factor_rows(scan), "panel").withColumn("_s", solve("t", "y", "f"))
+    return d.select("panel", "series", "mean", "std", F.col("_s.l").alias("l"), F.col("_s.r").alias("r"))
+
+
+def rows_information(rows: DataFrame, k: int, scan: DataFrame | None = None, loadings: DataFrame | None = None, flush: int = 4_000_000) -> DataFrame:
+    """(panel, t, j, h) from gathered series: with given ``loadings``, or with those
+    that the factors of ``scan`` imply. Tasks add up their own series first."""
+    if scan is not None:
+        d = rows.join(_factor_rows(scan), "panel").select("panel", "n_t", "t", "y", "f", F.lit(None).cast(VEC).alias("l"), F.lit(None).cast("double").alias("r"))
+    else:
+        d = rows.join(loadings.select("panel", "series", "l", "r"), ["panel", "series"]).select("panel", "n_t", "t", "y", F.lit(None).cast(VEC).alias("f"), "l", "r")
+    iu = np.triu_indices(k)
+    width = len(iu[0]) + k
+    names = [f"c{i}" for i in range(width)]
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out() -> Iterator[pd.DataFrame]:
+            for panel, (total, seen) in sums.items():
+                at = np.flatnonzero(seen)
+                yield pd.DataFrame(total[at], columns=names).assign(panel=panel, t=at.astype(np.int32))[["panel", "t", *names]]
+            sums.clear()
+        for pdf in batches:
+            for panel, n_t, t, y, f, l, r in pdf.itertuples(index=False):
+                l, r = (None if l is None else np.asarray(l, dtype=float), r) if f is None else _loading_of(t, y, f, k)
+                if l is None:
+                    continue
+                if panel not in sums:
+                    sums[panel] = np.zeros((int(n_t), width)), np.zeros(int(n_t), bool)
+                total, seen = sums[panel]
+                t, y, w = np.asarray(t, dtype=int), np.asarray(y, dtype=float), r + INNOVATION_JITTER
+                total[t, :len(iu[0])] += np.outer(l, l)[iu] / w
+                total[t, len(iu[0]):] += y[:, None] * (l / w)
+                seen[t] = True
+            if sum(x.size for x, _ in sums.values()) > flush:
+                yield from out()
+        yield from out()
+    part = d.mapInPandas(add_up, "panel string, t int, " + ", ".join(f"{c} double" for c in names))
+    cols = [F.sum(c) for c in names]
+    return part.groupBy("panel", "t").agg(F.array(*cols[:len(iu[0])]).alias("j"), F.array(*cols[len(iu[0]):]).alias("h"))
 
 
 def fit_dfm(obs: DataFrame, k: int, n_iter: int = DEFAULT_ITERATIONS, rule: str = "W-FRI") -> dict[str, DataFrame]:
-    """Fit every panel of ``obs(panel, series, ts, value)``.
+    """Fit every panel of ``obs(panel, series, ts, value)``; runs one job per
+    iteration when called.
 
     Returns ``panel`` (the model observations), ``loadings(panel, series, l, r,
     mean, std)``, ``state(panel, n_t, a, q, x0, p0)``, ``smoothed(panel, ts, t,
     f)`` of the last E-step and ``filtered(panel, ts, t, x, x_minus, p)`` with
-    the final parameters."""
+    the final parameters. An iteration writes its scan and then removes the one
+    before it."""
     m = cut_lineage(model_panel(cut_lineage(obs), rule))
     _, load, state = init_factors(m, k)
-    load = cut_lineage(load)
+    load, rows = cut_lineage(load), cut_lineage(series_rows(m))
     scan = None
-    for _ in range(n_iter):
-        load, state, scan = em_step(m, load, state, k)
-    last = cut_lineage(kalman_smoother(m, load, state, k))
+    for i in range(n_iter):
+        info = rows_information(rows, k, loadings=load) if scan is None else rows_information(rows, k, scan=scan)
+        new = cut_lineage(_scan(info, state, k))
+        if scan is not None:
+            discard(scan)
+        scan, state = new, next_state(new)
+    if scan is not None:
+        load = cut_lineage(rows_loadings(rows, scan, k))
+    last = cut_lineage(_scan(rows_information(rows, k, loadings=load), state, k))
     stamps = _stamps(m, rule)
     smooth = (scan if scan is not None else last).filter("t >= 0").select("panel", "t", F.col("xs").alias("f")).join(stamps, ["panel", "t"])
     filt = last.filter("t >= 0").select("panel", "t", F.col("xf").alias("x"), F.col("xm").alias("x_minus"), "p").join(stamps, ["panel", "t"])
@@ -370,9 +453,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def reconstruct(factors: DataFrame, loadings: DataFrame, rescaled: bool = True) -> DataFrame:
-    """(panel, series, ts, value): factors times loadings plus the series' mean."""
-    d = factors.join(loadings.filter(F.col("l").isNotNull()), "panel")
+def reconstruct(factors: DataFrame, loadings: DataFrame, rescaled: bool = True, buckets: int = 64) -> DataFrame:
+    """(panel, series, ts, value): factors times loadings plus the series' mean.
+    The factors are repeated per bucket of series, so one panel's series spread
+    over ``buckets`` keys."""
+    load = loadings.filter(F.col("l").isNotNull()).withColumn("_b", F.pmod(F.xxhash64("series"), F.lit(buckets)).cast("int"))
+    d = factors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).join(load, ["panel", "_b"])
     fit = dot(F.col("f"), F.col("l"))
     return d.select("panel", "series", "ts", (fit + F.col("mean") if rescaled else fit).alias("value"))
 
@@ -439,7 +525,7 @@ def backward_select(obs: DataFrame, target: str, predictors: Sequence[str], k: i
     may go.
 
     ``obs(series, ts, value)``; only names and scores reach the driver."""
-    obs = cut_lineage(obs.filter(F.col("series").isin([target, *predictors])))
+    obs = cut_lineage(obs)
     keep, steps = sorted(predictors), []
     grid = [k] if isinstance(k, int) else sorted(k)
 
@@ -449,13 +535,13 @@ def backward_select(obs: DataFrame, target: str, predictors: Sequence[str], k: i
             fits = {p: v for p, v in sets.items() if kk < len(v) + 1}
             if not fits:
                 continue
-            out = [F.struct(F.lit(p).alias("panel"), F.array(*[F.lit(x) for x in [target, *v]]).alias("names")) for p, v in fits.items()]
-            d = obs.select("series", "ts", "value", F.explode(F.array(*out)).alias("c"))
-            d = d.filter(F.array_contains("c.names", F.col("series"))).select(F.col("c.panel").alias("panel"), "series", "ts", "value")
+            # N names and N candidates; the candidate's own series leaves its panel
+            members = obs.filter(F.col("series").isin([target, *keep])).select("series", "ts", "value")
+            d = members.withColumn("panel", F.explode(F.array(*map(F.lit, fits)))).filter("panel <> series")
             for p, (hit, rmse) in _scores(evaluate_models(d, target, kk, train_end, oos_start, oos_end, n_iter)[0]).items():
                 found[p] = max(found.get(p, (-float("inf"),)), (hit, rmse, -kk))
         return found
-    best = score({"base": keep}).get("base")
+    best = score({"": keep}).get("")
     while best is not None and len(keep) > 1 and (max_rounds is None or len(steps) < max_rounds):
         trials = {v: [x for x in keep if x != v] for v in keep if only is None or v in only}
         got = score(trials) if trials else {}

@@ -134,8 +134,8 @@ def gap_profile(df: DataFrame, top: int = 3, keys: Sequence[str] = SERIES) -> Da
 
 def median_gap(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Median gap in days over all series."""
-    gaps = _gaps(df, keys).select(F.lit("all").alias("scope"), F.col("gap").cast("double").alias("value"))
-    return exact_quantile(gaps, ["scope"], name="median_gap").select("median_gap")
+    gaps = _gaps(df, keys).select(F.col("gap").cast("double").alias("value"))
+    return exact_quantile(gaps, [], name="median_gap")
 
 
 def _gaps(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -64,7 +64,8 @@ def merge_as_daily(left: DataFrame, right: DataFrame, how: str = "outer") -> tup
     keep = {"inner": F.col("l") & F.col("r"), "left": F.col("l"), "right": F.col("r"), "outer": F.lit(True)}[how]
     dates = per_date.filter(keep).select("ts")
     merged = both.join(dates, "ts", "left_semi")
-    freq = robust_infer(dates.withColumns({"series": F.lit("merged"), "value": F.lit(1.0)}))
+    # The key comes from a column: a literal one would leave joins without a key in the plan.
+    freq = robust_infer(dates.withColumns({"series": F.date_format("ts", "'merged'"), "value": F.lit(1.0)}))
     return merged.orderBy(F.col("ts").desc(), "side", "series"), freq
 
 

@@ -135,6 +135,12 @@ def power_table(state: DataFrame, k: int, steps: int) -> DataFrame:
     return d.select("panel", "h", _powers(k)("a", "h").alias("ah"))
 
 
+def _powers_for(model: dict[str, DataFrame], steps: DataFrame, k: int) -> DataFrame:
+    """(h, ah) for the distinct ``h`` of ``steps``, whatever their size."""
+    a = _one_state(model).agg(F.first("a")).scalar()
+    return steps.select("h").distinct().select("h", _powers(k)(a, "h").alias("ah"))
+
+
 def _one_state(model: dict[str, DataFrame]) -> DataFrame:
     """The parameters all panels of one fitted model share, as one row."""
     return model["state"].agg(F.first(F.struct("panel", "a")).alias("s")).select("s.*")
@@ -145,8 +151,12 @@ def matvec(a: Column, x: Column, k: int) -> Column:
     return F.array(*[dot(F.slice(a, i * k + 1, k), x) for i in range(k)])
 
 
-def forecast_to_month_end(model: dict[str, DataFrame], target: str, k: int, mean: float | None = None, std: float | None = None) -> DataFrame:
-    """From every date's filtered state to the last Friday of its month."""
+def forecast_to_month_end(model: dict[str, DataFrame], target: str, k: int, mean: float | None = None, std: float | None = None,
+                          rule: str = "W-FRI") -> DataFrame:
+    """From every date's filtered state to the last Friday of its month; the steps
+    are weeks, so only weekly models have this forecast."""
+    if not rule.startswith("W"):
+        raise ValueError(f"steps to the month's last Friday are weeks; the model's rule is {rule}")
     x = model["filtered"].withColumn("target_ts", F.greatest(month_last_friday(F.col("ts")), F.col("ts")))
     x = x.withColumn("h", F.floor(F.datediff("target_ts", "ts") / F.lit(7)).cast("int"))
     l = model["loadings"].filter((F.col("series") == target) & F.col("l").isNotNull()).select("panel", "l", "mean")
@@ -162,9 +172,11 @@ def nowcast_evolution(forecast: DataFrame, month: str) -> DataFrame:
     return forecast.filter((_month() == m) & (F.weekday("ts") == 4)).select("panel", "ts", "target_ts", F.col("h").alias("horizon_weeks"), "nowcast_std", "nowcast")
 
 
-def state_forecast(model: dict[str, DataFrame], k: int, steps: int) -> DataFrame:
-    """(panel, h, ts, x, p): states ``steps`` weeks past the last date, with
-    covariance P <- A P A' + Q."""
+def state_forecast(model: dict[str, DataFrame], k: int, steps: int, rule: str = "W-FRI") -> DataFrame:
+    """(panel, h, ts, x, p): states ``steps`` calendar steps of ``rule`` past the
+    last date, with covariance P <- A P A' + Q."""
+    from tidepanel.operators.factor import _shift
+
     last = model["filtered"].groupBy("panel").agg(F.max("ts").alias("ts"), F.max_by("x", "ts").alias("x"), F.max_by("p", "ts").alias("p"))
     d = last.join(model["state"].select("panel", "a", "q"), "panel")
 
@@ -178,7 +190,7 @@ def state_forecast(model: dict[str, DataFrame], k: int, steps: int) -> DataFrame
                     rows.append((panel, h, ts, x.tolist(), p.ravel().tolist()))
             yield pd.DataFrame(rows, columns=["panel", "h", "ts", "x", "p"])
     out = d.mapInPandas(ahead, "panel string, h int, ts date, x array<double>, p array<double>")
-    return out.withColumn("ts", F.date_add("ts", F.col("h") * 7))
+    return out.withColumn("ts", _shift(F.col("ts"), rule, F.col("h")))
 
 
 # ---------------------------------------------------------------- vintages and news
@@ -208,7 +220,7 @@ def apply_vintage(model: dict[str, DataFrame], data: DataFrame, k: int, interpol
 
 
 def news(now: dict[str, DataFrame], previous: dict[str, DataFrame], target: str, impact_ts: str, k: int,
-         rule: str = "W-FRI", flip: bool = False, max_steps: int = 520) -> DataFrame:
+         rule: str = "W-FRI", flip: bool = False) -> DataFrame:
     """New or revised values between two vintages and their effect on the target
     at ``impact_ts``.
 
@@ -220,20 +232,21 @@ def news(now: dict[str, DataFrame], previous: dict[str, DataFrame], target: str,
     par = now["loadings"].select("series", "l", "r", "mean").dropDuplicates(["series"])
     a = now["panel"].filter(F.col("ts") <= F.lit(impact_ts).cast("date")).select("series", "ts", F.col("y").alias("y_now"))
     b = previous["panel"].select("series", "ts", F.col("y").alias("y_prev"))
-    items = a.join(b, ["series", "ts"], "left").filter(~F.col("y_now").eqNullSafe(F.col("y_prev")))
+    items = cut_lineage(a.join(b, ["series", "ts"], "left").filter(~F.col("y_now").eqNullSafe(F.col("y_prev"))))
     # predicted states of the previous vintage, continued past its last date
     end = previous["smoothed"].agg(F.struct(F.max("ts").alias("ts"), F.max_by("f", "ts").alias("f")).alias("e")).scalar()
-    state = _one_state(now)
-    ah = power_table(state, k, max_steps).select("h", "ah")
     pred = previous["filtered"].select("ts", "x_minus")
     days = items.select("ts").distinct().join(pred, "ts", "left").select("ts", "x_minus", end.alias("e"))
     ahead = bin_ordinal(F.col("ts"), rule) - bin_ordinal(F.col("e.ts"), rule)
-    days = days.withColumn("h", F.when(F.col("x_minus").isNull(), F.greatest(ahead, F.lit(1)))).join(ah, "h", "left")
+    days = cut_lineage(days.withColumn("h", F.when(F.col("x_minus").isNull(), F.greatest(ahead, F.lit(1))).cast("int")))
+    days = days.join(_powers_for(now, days.filter("h is not null"), k), "h", "left")
     days = days.select("ts", F.coalesce("x_minus", matvec(F.col("ah"), F.col("e.f"), k)).alias("x_minus"))
     gain = now["filtered"].select("ts", "p")
     l_t = par.filter(F.col("series") == target).agg(F.first("l")).scalar()
     d = items.join(days, "ts").join(gain, "ts").join(par, "series")
-    d = d.select("*", l_t.alias("_lt"), (bin_ordinal(F.lit(impact_ts).cast("date"), rule) - bin_ordinal(F.col("ts"), rule)).alias("h")).join(ah, "h")
+    to_go = (bin_ordinal(F.lit(impact_ts).cast("date"), rule) - bin_ordinal(F.col("ts"), rule)).cast("int")
+    ah = _powers_for(now, items.select(to_go.alias("h")), k)
+    d = d.select("*", l_t.alias("_lt"), to_go.alias("h")).join(ah, "h")
     forecast = dot(F.col("l"), F.col("x_minus"))
     column = F.transform(matvec(F.col("p"), F.col("l"), k), lambda v: F.try_divide(v, F.col("r") + INNOVATION_JITTER))
     weight = dot(F.col("_lt"), matvec(F.col("ah"), column, k))
@@ -247,7 +260,8 @@ def news(now: dict[str, DataFrame], previous: dict[str, DataFrame], target: str,
 def news_by_industry(model: dict[str, DataFrame], target: str, target_std: float, month: str, dim: DataFrame,
                      industries: Sequence[str], k: int, default: str = "其他未分类", flip: bool = False, min_size: float = 1e-6) -> DataFrame:
     """Contribution of each industry's innovations to the nowcast of the month's
-    last Friday, one row per Friday of the month and one column per industry."""
+    last Friday, one row per Friday of the month and one column per industry;
+    industries that are not listed count under ``default``."""
     m = F.lit(f"{month}-01").cast("date")
     obs = model["panel"].filter(_month() == m).select("series", "ts", "y")
     par = model["loadings"].filter(F.col("l").isNotNull()).select("series", "l", "r").dropDuplicates(["series"])
@@ -262,7 +276,7 @@ def news_by_industry(model: dict[str, DataFrame], target: str, target_std: float
     c = dot(F.col("_lt"), matvec(F.col("ah"), column, k)) * (-innovation if flip else innovation) * F.lit(float(target_std))
     d = d.withColumn("c", c).filter(F.abs("c") > min_size).join(dim.select("series", "industry"), "series", "left")
     names = list(dict.fromkeys([*industries, default]))
-    wide = (d.withColumn("industry", F.coalesce("industry", F.lit(default))).groupBy("ts").pivot("industry", names).agg(F.sum("c")))
+    wide = (d.withColumn("industry", F.when(F.col("industry").isin(names), F.col("industry")).otherwise(F.lit(default))).groupBy("ts").pivot("industry", names).agg(F.sum("c")))
     out = fri.select("ts").join(wide, "ts", "left")
     return out.select("ts", *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(n) for n in names])
 
@@ -373,21 +387,37 @@ def loading_groups(loadings: DataFrame, n_groups: int, seed: int = 7) -> DataFra
 
 def loading_stability(full: DataFrame, train: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cross correlations, matches) of two sets of ``(series, factor, loading)``:
-    factors pair greedily by absolute correlation; a negative one flips the sign.
-
-    The number of factors is capped, so the greedy loop runs over at most that
-    many rounds of a tiny table, all inside one plan."""
+    the one-to-one matching with the largest sum of signed correlations; a negative
+    one flips the sign. Factors are few, so the matching works on one k-by-k table."""
     a = full.select("series", F.col("factor").alias("factor_full"), F.col("loading").alias("x"))
     b = train.select("series", F.col("factor").alias("factor_train"), F.col("loading").alias("y"))
     corr = a.join(b, "series").groupBy("factor_full", "factor_train").agg(corr_guarded(F.col("x"), F.col("y")).alias("corr"))
-    pairs = F.array_sort(F.collect_list(F.struct((-F.abs(F.coalesce("corr", F.lit(0.0)))).alias("o"), "factor_full", "factor_train", "corr")))
-    take = lambda acc, p: F.when(
-        F.exists(acc, lambda q: (q["factor_full"] == p["factor_full"]) | (q["factor_train"] == p["factor_train"])), acc).otherwise(F.concat(acc, F.array(p)))
-    got = corr.agg(pairs.alias("p")).select(F.explode(F.aggregate("p", F.filter("p", lambda x: F.lit(False)), take)).alias("m"))
-    match = got.select("m.factor_full", "m.factor_train", "m.corr", (F.col("m.corr") < 0).alias("flip"))
+    kind = corr.schema["factor_full"].dataType.simpleString()
+    match = corr.groupBy().applyInPandas(_assign, f"factor_full {kind}, factor_train {kind}, corr double, flip boolean")
     return corr, match
 
 
+def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Best one-to-one matching by dynamic programming over sets of used columns."""
+    grid = pdf.pivot(index="factor_full", columns="factor_train", values="corr").sort_index().sort_index(axis=1)
+    gain = grid.fillna(0.0).to_numpy()
+    wide = gain if gain.shape[0] <= gain.shape[1] else gain.T
+    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
+    for row in wide:
+        step: dict[int, tuple[float, tuple[int, ...]]] = {}
+        for used, (total, picks) in best.items():
+            for j, v in enumerate(row):
+                if not used >> j & 1:
+                    got = (total + v, (*picks, j))
+                    if used | 1 << j not in step or got[0] > step[used | 1 << j][0] + 1e-12:
+                        step[used | 1 << j] = got
+        best = step
+    picks = max(best.values(), key=lambda b: b[0])[1] if best else ()
+    pairs = [(i, j) if wide is gain else (j, i) for i, j in enumerate(picks)]
+    rows = [(grid.index[i], grid.columns[j], grid.iloc[i, j], bool(grid.iloc[i, j] < 0)) for i, j in pairs]
+    return pd.DataFrame(rows, columns=["factor_full", "factor_train", "corr", "flip"])
+
+
 def variable_blocks(dim: DataFrame, default: str = "其他") -> tuple[DataFrame, DataFrame]:
     """(series, block) with block = type, else industry, else the default; and
     the first guess for the number of factors."""

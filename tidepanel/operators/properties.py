@@ -300,26 +300,38 @@ def interpret_lead_lag(df: DataFrame, corr_threshold: float = 0.3, tolerance: in
 # ---------------------------------------------------------------- DTW
 
 def _dtw(a: np.ndarray, b: np.ndarray, squared: bool, radius: int | None):
-    """Exact DTW, or within a Sakoe-Chiba band: (distance, i path, j path).
-    The cost table is filled along anti-diagonals."""
+    """Exact DTW, or within a Sakoe-Chiba band: (distance, i path, j path). Works along
+    anti-diagonals with two of them in memory; of each cell only its step (one byte)
+    is kept, and only inside the band."""
     n, m = len(a), len(b)
-    gap = np.abs(a[:, None] - b[None, :])
-    cost = gap * gap if squared else gap
-    if radius is not None:
-        i, j = np.indices((n, m))
-        cost[np.abs(i - j) > max(radius, abs(n - m))] = np.inf
-    acc = np.full((n + 1, m + 1), np.inf)
-    acc[0, 0] = 0.0
+    width = n + m if radius is None else max(radius, abs(n - m))
+    steps: list[tuple[int, np.ndarray]] = []
+    before, last = (0, np.full(0, np.inf)), (0, np.full(0, np.inf))  # first i and costs of the two diagonals before
+
+    def at(diagonal: tuple[int, np.ndarray], i: np.ndarray) -> np.ndarray:
+        lo, costs = diagonal
+        inside = (i >= lo) & (i < lo + len(costs))
+        out = np.full(len(i), np.inf)
+        out[inside] = costs[i[inside] - lo]
+        return out
     for k in range(n + m - 1):
-        i = np.arange(max(0, k - m + 1), min(n, k + 1))
-        j = k - i
-        acc[i + 1, j + 1] = cost[i, j] + np.minimum(acc[i, j], np.minimum(acc[i, j + 1], acc[i + 1, j]))
-    i, j, path = n, m, []
-    while i > 0 and j > 0:
-        path.append((i - 1, j - 1))
-        step = int(np.argmin((acc[i - 1, j - 1], acc[i - 1, j], acc[i, j - 1])))
-        i, j = (i - 1, j - 1) if step == 0 else (i - 1, j) if step == 1 else (i, j - 1)
-    return float(acc[n, m]), [p[0] for p in path[::-1]], [p[1] for p in path[::-1]]
+        i = np.arange(max(0, k - m + 1, -(-(k - width) // 2)), min(n, k + 1, (k + width) // 2 + 1))
+        gap = np.abs(a[i] - b[k - i])
+        come = np.stack([at(before, i - 1), at(last, i - 1), at(last, i)])
+        if k == 0:
+            come[:, 0] = 0.0
+        step = np.argmin(come, axis=0).astype(np.int8)
+        before, last = last, (int(i[0]) if len(i) else 0, (gap * gap if squared else gap) + come[step, np.arange(len(i))])
+        steps.append((int(i[0]) if len(i) else 0, step))
+    i, j, path = n - 1, m - 1, []
+    while True:
+        path.append((i, j))
+        if i == 0 and j == 0:
+            break
+        lo, step = steps[i + j]
+        move = int(step[i - lo])
+        i, j = (i - 1, j - 1) if move == 0 else (i - 1, j) if move == 1 else (i, j - 1)
+    return float(last[1][n - 1 - last[0]]), [p[0] for p in path[::-1]], [p[1] for p in path[::-1]]
 
 
 _DTW_RESULT = StructType([StructField("distance", DoubleType()), StructField("path_i", ArrayType(IntegerType())),

@@ -6,31 +6,40 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-BUCKETS = 1024
+from tidepanel.plans.session import cut_lineage
+
+BUCKETS = 256
+SKETCH = 10_000
 
 
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str = "value", q: float = 0.5, name: str = "quantile") -> DataFrame:
-    """Linear-interpolated quantile per group, one row per group with values.
+    """Linear-interpolated quantile per group, one row per group with values; without
+    ``keys`` all rows are one group.
 
     The built-in percentile keeps all distinct values of a group in one buffer;
     a group with a large part of all rows would not fit. Here equal values
-    combine before the shuffle, a histogram of at most 1024 order-keeping
-    buckets finds the buckets that hold the two wanted ranks, and only the
+    combine before the shuffle, an approximate percentile sketch per group (of
+    bounded size) gives bucket edges of about equal depth wherever the values lie,
+    a histogram finds the buckets that hold the two wanted ranks, and only the
     values of those buckets are ordered.
     """
     on = list(keys)
     live = df.filter(F.col(value).isNotNull()).select(*on, F.col(value).cast("double").alias("_v"))
-    span = live.groupBy(*on).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    counts = live.groupBy(*on, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    same = [counts[k].eqNullSafe(span[k]) for k in on]
-    cond = same[0] if len(same) == 1 else None
-    if cond is None:
-        cond = same[0]
-        for c in same[1:]:
-            cond = cond & c
-    width = F.try_divide(F.col("_hi") - F.col("_lo"), F.lit(float(BUCKETS)))
-    bucket = F.least(F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width)), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
-    d = counts.join(span, cond).select(*[counts[k] for k in on], "_v", "_c", "_n", bucket.alias("_b"))
+    counts = cut_lineage(live.groupBy(*on, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    # Edges by values alone: equal values are one row, so a frequent value cannot fill a bucket with others.
+    shares = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    span = counts.groupBy(*on).agg(F.array_distinct(F.percentile_approx("_v", shares, SKETCH)).alias("_edges"), F.sum("_c").alias("_n"))
+    spans = [F.col(k).alias(f"_s{i}") for i, k in enumerate(on)]
+    span = span.select(*spans, "_edges", "_n")
+    same = F.lit(True)
+    for i, k in enumerate(on):
+        same = same & F.col(k).eqNullSafe(F.col(f"_s{i}"))
+    if on:
+        d = counts.join(span, same)
+    else:  # one row: a scalar, no join
+        one = span.agg(F.first(F.struct("_edges", "_n"))).scalar()
+        d = counts.withColumn("_one", one).select("_v", "_c", F.col("_one._edges").alias("_edges"), F.col("_one._n").alias("_n"))
+    d = d.select(*on, "_v", "_c", "_n", F.size(F.filter("_edges", lambda e: e < F.col("_v"))).alias("_b"))
     hist = d.groupBy(*on, "_b").agg(F.sum("_c").alias("_m"), F.max("_n").alias("_n"))
     before = F.sum("_m").over(Window.partitionBy(*on).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     pos = (F.col("_n") - 1) * F.lit(float(q))
@@ -48,3 +57,4 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str = "value", q:
     out = few.groupBy(*on).agg(F.max(F.when(holds(low), F.col("_v"))).alias("_a"), F.max(F.when(holds(high), F.col("_v"))).alias("_z"), F.max("_n").alias("_n"))
     frac = pos - F.floor(pos)
     return out.select(*on, (F.col("_a") + (F.col("_z") - F.col("_a")) * frac).alias(name))
+

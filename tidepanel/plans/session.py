@@ -52,7 +52,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/tidepanel-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`cut_lineage` wrote, once nothing reads it any more;
+    iterative jobs keep one round on disk this way."""
+    path = getattr(df, "_scratch_path", None)
+    if path is not None:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

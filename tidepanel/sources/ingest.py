@@ -24,6 +24,7 @@ NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null", "none",
 )
+# Sheets that describe others.
 META_SHEETS = ("指标体系", "mapping", "meta", "info")
 
 
@@ -88,15 +89,33 @@ def vendor_layout(grid: DataFrame) -> DataFrame:
     return g.select("file", "sheet", pick.alias("p")).select("file", "sheet", "p.*")
 
 
+# Date formats of grid cells, tried in order; a serial number comes after them.
+CELL_DATES = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/M/d", "yyyy/M/d HH:mm:ss", "yyyy.M.d", "yyyy年M月d日", "yyyyMMdd", "yyyy-M-d", "M/d/yyyy",
+              "yyyy年M月", "yyyy-M", "yyyy/M", "yyyyMM", "d-MMM-yyyy", "d MMM yyyy")
+
+
+def cell_date(cell: Column) -> Column:
+    """Date of a text cell by the first format that fits, or by its serial number."""
+    text = F.trim(cell)
+    serial = F.when(text.rlike(r"^\d{5}(\.\d+)?$"), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(text.try_cast("double")).cast("int")))
+    return F.coalesce(serial, *(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in CELL_DATES), text.try_cast("date"))
+
+
+def dropped_rows(grid: DataFrame) -> DataFrame:
+    """Per sheet: data rows, and those that :func:`vendor_grid_ingest` leaves out because
+    their first cell holds no date."""
+    rows = grid.join(vendor_layout(grid), ["file", "sheet"]).filter(F.col("row_no") >= F.col("data_row"))
+    return rows.groupBy("file", "sheet", "layout").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(cell_date(F.get("cells", F.lit(0))).isNull()).alias("n_dropped"))
+
+
 def vendor_grid_ingest(grid: DataFrame) -> DataFrame:
-    """Raw grids to long rows (file, sheet, layout, series, ts, raw, seq)."""
+    """Raw grids to long rows (file, sheet, layout, series, ts, raw, seq). Rows without a
+    date in the first cell go; :func:`dropped_rows` counts them per sheet."""
     lay = vendor_layout(grid)
     head = grid.filter(F.col("row_no") <= 1).join(lay, ["file", "sheet"]).filter(F.col("row_no") == F.col("header_row"))
     head = head.select("file", "sheet", "layout", "data_row", F.col("cells").alias("names"))
     rows = grid.join(head, ["file", "sheet"]).filter(F.col("row_no") >= F.col("data_row"))
-    stamp = F.coalesce(F.get("cells", F.lit(0)).try_cast("date"),
-                       F.when(F.get("cells", F.lit(0)).rlike(r"^\d{5}(\.0)?$"),
-                              F.date_add(F.lit("1899-12-30").cast("date"), F.get("cells", F.lit(0)).try_cast("double").cast("int"))))
+    stamp = cell_date(F.get("cells", F.lit(0)))
     pairs = F.arrays_zip(F.col("names").alias("name"), F.col("cells").alias("cell"))
     out = rows.select("file", "sheet", "layout", stamp.alias("ts"), F.col("row_no").alias("seq"),
                       F.explode(F.slice(pairs, F.lit(2), F.greatest(F.size("names") - 1, F.lit(0)))).alias("p"))
@@ -116,10 +135,11 @@ def load_panel(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = raw.withColumn("freq", sheet_frequency(F.col("sheet"))).filter(F.col("freq").isNotNull() & F.col("ts").isNotNull())
     value = zero_is_missing(clean_float(F.col("raw").cast("string").try_cast("double")))
     d = d.select("file", "sheet", "source_ord", "freq", F.col("series"), F.col("ts").cast("date").alias("ts"), value.alias("value"), "seq")
+    names = d.select(F.struct("file", "sheet").alias("_sheet"), "freq", "series")
     d = keep_one(d, ["file", "sheet", "source_ord", "freq", "series", "ts"], "seq").drop("seq")
     # one pass: every row goes to the bin of its frequency, a daily one also to its week
     d = d.withColumn("_sheet", F.struct("file", "sheet"))
-    d = shift_month_sheets(d, IP_PATTERN, "_sheet", F.col("freq") == "monthly").drop("_sheet")
+    d = shift_month_sheets(d, IP_PATTERN, "_sheet", F.col("freq") == "monthly", names).drop("_sheet")
     week = bin_label(F.col("ts"), "W-FRI")
     goal = lambda freq, ts, mean: F.struct(F.lit(freq).alias("freq"), ts.alias("bin"), F.lit(mean).alias("mean"))
     goals = (F.when(F.col("freq") == "daily", F.array(goal("daily", F.col("ts"), False), goal("weekly", week, True)))
