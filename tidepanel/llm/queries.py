@@ -113,12 +113,11 @@ def pages_language(spark, sf):
 # ---------------------------------------------------------------- 7 WARC derivatives
 
 def _sql_text(c: str) -> str:
-    for p in warc.DROP:
-        c = f"regexp_replace({c}, '{p}', ' ', 'g')"
+    c = f"regexp_replace({c}, '{warc.DROP}', ' ', 'g')"
     c = f"regexp_replace(regexp_replace({c}, '{warc.BREAK}', chr(10), 'g'), '{warc.TAG}', '', 'g')"
     for name, char in warc.ENTITIES:
         c = f"replace({c}, '{name}', '{char.replace("'", "''")}')"
-    c = f"regexp_replace({c}, '[\\t\\x0b\\f\\r ]+', ' ', 'g')"
+    c = f"regexp_replace({c}, '{warc.SPACES}', ' ', 'g')"
     return f"regexp_replace(regexp_replace({c}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
 
 

@@ -18,12 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Patterns of the text conversion, in order, understood alike by Java and RE2.
-DROP = (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is)<head\b.*?</head\s*>")
+DROP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
 BREAK = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|footer|header|body|html|title|blockquote|pre)\b[^>]*>"
 TAG = r"<[^>]*>"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 LANGUAGE = r"""(?is)<html[^>]*\slang\s*=\s*["']?([A-Za-z-]+)"""
+SPACES = r"[\t\x0b\f\r ]{2,}|[\t\x0b\f\r]"
 LINK = r"""(?i)<a\s[^>]*href="([^"]*)["]"""
 DATE = "2024-01-01T00:00:00Z"
 
@@ -31,14 +32,12 @@ DATE = "2024-01-01T00:00:00Z"
 def plain_text(html: Column) -> Column:
     """Visible text: scripts, styles, head and comments dropped, block tags as line breaks,
     a line per block without blank ones."""
-    out = html
-    for p in DROP:
-        out = F.regexp_replace(out, F.lit(p), F.lit(" "))
+    out = F.regexp_replace(html, F.lit(DROP), F.lit(" "))
     out = F.regexp_replace(out, F.lit(BREAK), F.lit("\n"))
     out = F.regexp_replace(out, F.lit(TAG), F.lit(""))
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
-    out = F.regexp_replace(out, F.lit(r"[\t\x0b\f\r ]+"), F.lit(" "))
+    out = F.regexp_replace(out, F.lit(SPACES), F.lit(" "))
     return F.regexp_replace(F.regexp_replace(out, F.lit(r" ?\n[ \n]*"), F.lit("\n")), F.lit(r"^[ \n]+|[ \n]+$"), F.lit(""))
 
 
