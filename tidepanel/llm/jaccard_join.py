@@ -12,7 +12,9 @@ connected components of the links.
    that must contain a shared subset. *Heavy sets*: inverted lists over the rarest keys,
    scanned. With ``o`` the least overlap of a set of n keys, ``n - o + SUBSET`` (light) or
    ``n - o + 1`` (heavy) rarest keys are enough. Sets whose partners may be heavy take part
-   in both. The boundary is where the sum of both costs is least, from counts by set size.
+   in both. The boundary is where the sum of both costs is least, from counts by set size: a
+   row of a subset costs 1, a row of a list 1 + ``SCAN`` because one shared key leads to a
+   comparison more often than two.
 3. *Scan.* Members of a list (a subset or a key) are compared with one hub of it, chosen by
    hash, each with its most frequent hub. Groups of near copies become components in a few
    such rounds, without their pairs.
@@ -46,6 +48,7 @@ BLOCK_BYTES = 16 << 20
 RANGE_BYTES = 16 << 20
 CHUNK_KEYS = 1 << 17
 ROUNDS = 2
+SCAN = 3
 BITS = 48
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -195,7 +198,7 @@ def shared_keys(t: pa.Table) -> pa.Table:
     return pa.table([*arrays, *(pa.nulls(len(out), x) for x in _SHARED_TYPES[5:])], names=_SHARED_NAMES)
 
 
-_SETS = "v long, h2 long, n int, alone int, keys binary, lists long, scan long, pairs long"
+_SETS = "v long, h2 long, n int, alone int, keys binary, lists long, pairs long"
 
 
 def _gather(percent: int, subset: int):
@@ -225,19 +228,19 @@ def _gather(percent: int, subset: int):
             a, b = edge[i], edge[i + 1]
             k = int(first[i] - alone[i])
             j = k + subset - 1
-            out.append((int(h1[i]), int(h2[i]), int(n[i]), int(alone[i]), keys[a:b].tobytes(), k, int(freq[a:a + k].sum()), j * (j - 1) // 2))
-        cols = list(zip(*out)) or [()] * 8
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 3]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=["v", "h2", "n", "alone", "keys", "lists", "scan", "pairs"])
+            out.append((int(h1[i]), int(h2[i]), int(n[i]), int(alone[i]), keys[a:b].tobytes(), k, j * (j - 1) // 2))
+        cols = list(zip(*out)) or [()] * 7
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 2]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=["v", "h2", "n", "alone", "keys", "lists", "pairs"])
 
     return gather
 
 
-def boundary(sets: DataFrame, percent: int = PERCENT) -> int:
+def boundary(sets: DataFrame, percent: int = PERCENT, scan: float = SCAN) -> int:
     """The set size up to which subsets cost less than lists: sizes are binned by ratio, the
     cost of every bin edge follows from sums per bin."""
     grade = F.floor(F.log("n") / F.log(F.lit(1.05))).cast("int")
-    bins = sorted(sets.groupBy(grade.alias("g")).agg(F.max("n"), F.sum("pairs"), F.sum(F.col("lists") + F.col("scan"))).collect())
+    bins = sorted(sets.groupBy(grade.alias("g")).agg(F.max("n"), F.sum("pairs"), F.sum("lists") * (1 + scan)).collect())
     best, cost = 0, sum(b[3] for b in bins)
     for top in (b[1] for b in bins):
         c = sum(b[2] for b in bins if b[1] <= top) + sum(b[3] for b in bins if 100 * b[1] > percent * top)
