@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.functions.unitroot import adf, tau_pvalue
+from tidepanel.functions.unitroot import adf, adf_batch, tau_pvalue
 from tidepanel.operators import factor as fa, nowcast as nc, properties as pr
 
 
@@ -195,6 +195,18 @@ def test_adf_is_ordinary_least_squares():
     assert adf(np.arange(3.0), "ct") is None
 
 
+@pytest.mark.parametrize("trend", ["c", "ct"])
+def test_adf_batch_is_adf_of_each(trend):
+    rng = np.random.default_rng(1)
+    made = [np.cumsum(rng.normal(size=n)) if k else rng.normal(size=n) * 1e4 + 1e6 for n in (5, 6, 9, 30, 119, 120, 358) for k in (0, 1) for _ in range(72)]
+    made += [np.arange(40.0), np.full(40, 2.0) + np.eye(40)[3], np.tile([1.0, -1.0], 20), np.arange(3.0)]
+    for got, y in zip(adf_batch(made, trend), made, strict=True):
+        want = adf(y, trend)
+        assert (got is None) == (want is None)
+        if want is not None and np.isfinite(want[0]) and abs(want[0]) < 1e6:
+            assert got[1] == want[1] and abs(got[0] - want[0]) < 1e-6 * max(1, abs(want[0])) and abs(got[2] - want[2]) < 1e-6
+
+
 @pytest.mark.parametrize("tau,trend,p", [(-2.86, "c", 0.05), (-3.43, "c", 0.01), (-3.41, "ct", 0.05), (-3.96, "ct", 0.01), (-2.57, "c", 0.10)])
 def test_pvalues_at_published_critical_values(tau, trend, p):
     assert abs(tau_pvalue(tau, trend) - p) < 0.002

@@ -39,6 +39,39 @@ def j1o(spark, sf):
     return j.merge(d.filter("series = 'NATION_0'"), d.filter("series = 'NATION_1'"), "outer", on=["ts"])
 
 
+def _two_sides(spark, sf):
+    """Daily totals of two flags side by side: keys on both sides, on one, and equal column names."""
+    d = b.flag_day(spark, sf)
+    side = lambda s: d.filter(F.col("series") == s).select("ts", F.col("value"), F.lit(s).alias("name"))
+    return side("AF"), side("NO")
+
+
+_SIDES = {"l": "SELECT ts, value, series AS name FROM flag_day WHERE series = 'AF'", "r": "SELECT ts, value, series AS name FROM flag_day WHERE series = 'NO'"}
+
+
+@query("j1_merge_left", oracle("SELECT l.ts, l.value AS value_x, l.name AS name_x, r.value AS value_y, r.name AS name_y FROM l LEFT JOIN r ON l.ts = r.ts", "flag_day", ctes=_SIDES))
+def j1l(spark, sf):
+    return j.merge(*_two_sides(spark, sf), "left", on=["ts"])
+
+
+@query("j1_merge_right", oracle("SELECT r.ts, l.value AS value_a, l.name AS name_a, r.value AS value_b, r.name AS name_b FROM l RIGHT JOIN r ON l.ts = r.ts", "flag_day", ctes=_SIDES))
+def j1r(spark, sf):
+    return j.merge(*_two_sides(spark, sf), "right", on=["ts"], suffixes=("_a", "_b"))
+
+
+@query("j1_merge_index", oracle("SELECT coalesce(l.ts, r.ts) AS ts, l.value AS value_x, l.name AS name_x, r.value AS value_y, r.name AS name_y FROM l FULL JOIN r ON l.ts = r.ts", "flag_day", ctes=_SIDES))
+def j1x(spark, sf):
+    """A merge on the index is a merge on the time column under its name on each side."""
+    left, right = _two_sides(spark, sf)
+    out = j.merge(left, right.withColumnRenamed("ts", "day"), "outer", left_on=["ts"], right_on=["day"])
+    return out.withColumn("ts", F.coalesce("ts", "day")).drop("day")
+
+
+@query("j1_merge_cross", """SELECT n_nationkey, n_name, n_regionkey, r_regionkey, r_name FROM nation CROSS JOIN region""")
+def j1c(spark, sf):
+    return j.merge(table(spark, sf, "nation"), table(spark, sf, "region"), "cross")
+
+
 @query("j2_merge_as_daily", oracle("""SELECT side, series, ts, round(value, 6) AS value FROM (
   SELECT 'left' AS side, series, ts, value FROM (""" + b.dense_sql("nation_week", "D") + """) UNION ALL SELECT 'right', series, ts, value FROM (""" + b.dense_sql("flag_day", "D") + """))
   WHERE ts >= (SELECT max(m) FROM (SELECT min(ts) AS m FROM nation_week UNION ALL SELECT min(ts) FROM flag_day))

@@ -21,31 +21,34 @@ def match_names(requested: DataFrame, actual: DataFrame) -> DataFrame:
 
     ``requested(name)``, ``actual(name, ord)``; the earliest actual name wins a
     tie. Every name carries one key per step, so the whole cascade is a single
-    equi-join; in the substring steps the shorter name meets the substrings of
-    the longer one.
+    equi-join; in the substring steps the shorter name meets those substrings of
+    the longer one that have the length of a name on the other side.
     """
-    def keyed(d: DataFrame, longer_step: int, shorter_step: int) -> DataFrame:
+    low = lambda c: F.lower(F.trim(c))
+
+    def keyed(d: DataFrame, other: DataFrame, longer_step: int, shorter_step: int) -> DataFrame:
         n, k = F.col("name"), F.col("_nfkc")
-        low = lambda c: F.lower(F.trim(c))
         full = low(normalize_punct(k))
+        lengths = other.select(F.length(low(normalize_punct(nfkc(F.col("name"))))).alias("n")).filter("n > 0").agg(F.collect_set("n")).scalar()
         forms = [n, low(n), low(normalize_punct(n)), low(k), full]
         keys = [F.array(*[F.struct(F.lit(i).alias("step"), f.alias("key")) for i, f in enumerate(forms, 1)]),
                 F.array(F.struct(F.lit(shorter_step).alias("step"), full.alias("key"))),
-                F.transform(_substrings(full), lambda x: F.struct(F.lit(longer_step).alias("step"), x.alias("key")))]
-        return (d.withColumn("_nfkc", nfkc(n)).withColumn("k", F.explode(F.concat(*keys)))
+                F.transform(_substrings(full, F.col("_lengths")), lambda x: F.struct(F.lit(longer_step).alias("step"), x.alias("key")))]
+        return (d.withColumns({"_nfkc": nfkc(n), "_lengths": lengths}).withColumn("k", F.explode(F.concat(*keys)))
                 .select(*d.columns, "k.step", "k.key").filter(F.length("key") > 0))
     req = requested.select("name").distinct()
-    r = keyed(req, 6, 7).withColumnRenamed("name", "requested")
-    a = keyed(actual.select("name", "ord"), 7, 6).withColumnRenamed("name", "actual")
+    r = keyed(req, actual, 6, 7).withColumnRenamed("name", "requested")
+    a = keyed(actual.select("name", "ord"), req, 7, 6).withColumnRenamed("name", "actual")
     rank = F.least(F.col("step"), F.lit(6)).alias("rank")
     best = r.join(a, ["step", "key"]).groupBy("requested").agg(F.min(F.struct(rank, "ord", "actual")).alias("b"))
     return (req.withColumnRenamed("name", "requested").join(best, "requested", "left")
             .select("requested", F.col("b.actual").alias("actual"), F.col("b.rank").alias("rank")))
 
 
-def _substrings(c: Column) -> Column:
-    spans = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(
-        F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substring(c, i, n)))
+def _substrings(c: Column, lengths: Column) -> Column:
+    """Distinct substrings of the given lengths."""
+    spans = F.transform(F.filter(lengths, lambda n: n <= F.length(c)), lambda n: F.transform(
+        F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))
     return F.when(F.length(c) > 0, F.array_distinct(F.flatten(spans))).otherwise(F.array().cast("array<string>"))
 
 

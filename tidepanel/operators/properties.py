@@ -10,27 +10,30 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, StructField, StructType)
 
 from tidepanel.functions.scalars import corr_guarded
-from tidepanel.functions.unitroot import KPSS_TREND, adf
+from tidepanel.functions.unitroot import KPSS_TREND, adf_batch
 from tidepanel.operators.panel import SERIES, series_window
 from tidepanel.plans.session import cut_lineage, spread
 
 # ---------------------------------------------------------------- stationarity
 
 
+_ADF = StructType([StructField("n", IntegerType()), StructField("tau", DoubleType()), StructField("lags", IntegerType()), StructField("p", DoubleType())])
+
+
 def _adf_table(df: DataFrame, trend: str, keys: Sequence[str] = SERIES) -> DataFrame:
-    """ADF of every series at once: a series is one small group (no longer than
-    its calendar), so the groups spread over the cluster."""
-    keys = list(keys)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("ts")["value"].to_numpy(dtype=float)
-        got = adf(y, trend) if len(y) >= 5 and np.ptp(y) > 0 else None
-        tau, lags, p = got if got else (None, None, None)
-        return pd.DataFrame([[*pdf[keys].iloc[0], len(y), tau, lags, p]], columns=[*keys, "n", "tau", "lags", "p_value"])
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["n int", "tau double", "lags int", "p_value double"])
-    live = df.filter(F.col("value").isNotNull()).select(*keys, "ts", "value")
-    return spread(live, *keys).groupBy(*keys).applyInPandas(one, schema)
+    """ADF of every series at once: a series is gathered as one array (no longer than
+    its calendar), and a call solves the regressions of a whole batch of them."""
+    @F.pandas_udf(_ADF)
+    def solve(values: pd.Series) -> pd.DataFrame:
+        ys = [np.asarray(v, dtype=float) for v in values]
+        use = [i for i, y in enumerate(ys) if len(y) >= 5 and np.ptp(y) > 0]
+        got = dict(zip(use, adf_batch([ys[i] for i in use], trend)))
+        rows = [(len(y), *(got.get(i) or (None, None, None))) for i, y in enumerate(ys)]
+        return pd.DataFrame(rows, columns=["n", "tau", "lags", "p"])
+    live = df.filter(F.col("value").isNotNull())
+    vec = live.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).getField("value").alias("_v"))
+    out = vec.withColumn("_r", solve("_v"))
+    return out.select(*keys, F.col("_r.n").alias("n"), F.col("_r.tau").alias("tau"), F.col("_r.lags").alias("lags"), F.col("_r.p").alias("p_value"))
 
 
 def _difference(df: DataFrame, log: bool, order: int, keys: Sequence[str]) -> DataFrame:
