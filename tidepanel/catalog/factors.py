@@ -344,6 +344,17 @@ def n24(spark, sf):
     return n.loading_groups(_model(spark, sf)["loadings"], 4).select("series", "group")
 
 
+@query("n24_clear_groups", oracle("SELECT series, min(series) OVER (PARTITION BY industry) AS first_of_group FROM nation_industry", "nation_industry"))
+def n24_clear(spark, sf):
+    """Loadings that form one tight group per region; groups are named by their first series."""
+    d = b.nation_industry(spark, sf)
+    r = F.ascii(F.substring("industry", 2, 1))  # F, M, S, U and I
+    near = F.ascii(F.substring("series", -1, 1)) / 1000.0
+    load = d.select("series", F.array(r * 100.0 + near, r % 7 * 50.0 - near).alias("l"))
+    out = n.loading_groups(load, 5)
+    return out.select("series", F.min("series").over(p.Window.partitionBy("group")).alias("first_of_group"))
+
+
 _STAB = {**_SC, "lf": "SELECT series, factor, regr_slope(value, score) AS x FROM vf GROUP BY 1, 2",
          "lt": "SELECT series, factor, regr_slope(p.value / 1000, score) AS y FROM nation_week p JOIN sc USING (ts) WHERE ts <= DATE '1999-12-31' GROUP BY 1, 2"}
 
@@ -525,6 +536,14 @@ def n15_fixed(spark, sf):
     return rnd(n.news(now, before, TARGET, "2001-11-09", 1), 2, weight=6)
 
 
+@query("n14_vintages_fixed_parameters", _recursive("""SELECT 'now' AS panel, ts, round(x, 6) AS state, round(p, 6) AS variance FROM st
+  UNION ALL SELECT 'before', ts, round(x, 6), round(p, 6) FROM sto""", "nation_week", ctes=_VINT))
+def n14_fixed(spark, sf):
+    new, old = _vintages(spark, sf)
+    out = n.apply_vintage(_fixed_model(spark, sf), new.unionByName(old), 1, interpolate=False)["filtered"]
+    return rnd(out.select("panel", "ts", F.get("x", F.lit(0)).alias("state"), F.get("p", F.lit(0)).alias("variance")))
+
+
 _OLD = "1985-01-04"  # 879 weeks before the impact date
 
 
