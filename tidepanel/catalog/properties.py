@@ -152,6 +152,33 @@ def l8b(spark, sf):
     return rnd(out.select("target", "candidate", F.sqrt("distance").alias("root_distance"), "note"), 2)
 
 
+def _dtw_sql(cost, radius=None):
+    """All pairs of the monthly brand panel; the recursion goes row by row of the cost table."""
+    gap = cost if radius is None else f"CASE WHEN abs(i + 1 - j) > greatest({radius}, abs(len(x) - len(y))) THEN 'inf'::DOUBLE ELSE {cost} END"
+    return oracle("SELECT target, candidate, round(acc[len(acc)], 2) AS distance, 'ok' AS note FROM f WHERE i = len(x)", "brand_month", ctes={
+        "v": "SELECT series, list(value ORDER BY ts) AS v FROM brand_month WHERE value IS NOT NULL GROUP BY 1",
+        "pr": "SELECT a.series AS target, b.series AS candidate, a.v AS x, b.v AS y FROM v a JOIN v b ON a.series < b.series",
+        "f": f"""SELECT target, candidate, x, y, 0 AS i, list_transform(y, lambda q: 'inf'::DOUBLE) AS acc FROM pr
+          UNION ALL SELECT target, candidate, x, y, i + 1, list_reduce(list_transform(range(1, len(y) + 1), lambda j: [{gap}, acc[j],
+            CASE WHEN j > 1 THEN acc[j - 1] WHEN i = 0 THEN 0.0 ELSE 'inf'::DOUBLE END]),
+            lambda a, e: list_append(a, e[1] + least(e[2], e[3], coalesce(a[len(a)], 'inf'::DOUBLE))), []::DOUBLE[]) FROM f WHERE i < len(x)"""}).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _brand_pairs(spark, sf):
+    s = b.brand_month(spark, sf).select("series").distinct()
+    return s.withColumnRenamed("series", "target").join(s.withColumnRenamed("series", "candidate"), F.col("target") < F.col("candidate"))
+
+
+@query("l8_dtw_all_pairs", _dtw_sql("abs(x[i + 1] - y[j])"))
+def l8all(spark, sf):
+    return rnd(q.dtw_batch(b.brand_month(spark, sf), _brand_pairs(spark, sf)).select("target", "candidate", "distance", "note"), 2)
+
+
+@query("l8_dtw_all_pairs_band", _dtw_sql("(x[i + 1] - y[j]) * (x[i + 1] - y[j])", 5))
+def l8allb(spark, sf):
+    return rnd(q.dtw_batch(b.brand_month(spark, sf), _brand_pairs(spark, sf), "squared", 5).select("target", "candidate", "distance", "note"), 2)
+
+
 def _win_sql(r, start):
     return f"""SELECT '{r}' AS range, t.ts, s.series, s.d, t.d AS t FROM (SELECT series, ts, value - lag(value) OVER (PARTITION BY series ORDER BY ts) AS d FROM nation_week WHERE ts >= {start}) s
       JOIN (SELECT ts, value - lag(value) OVER (ORDER BY ts) AS d FROM nation_week WHERE series = '{_T}' AND ts >= {start}) t ON t.ts = s.ts
