@@ -13,6 +13,7 @@ columns of the input are passed by (``keep``) or ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidepanel.llm.common import rows_of, text_bytes
 
 WINDOW = 5
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_same_next")
 # Byte classes of the measurements.
 SYMBOLS = b"#*$%&|<>"
 LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -35,7 +36,8 @@ RULES: tuple[tuple[str, str], ...] = (
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 15 * n_words"),
     ("shouting", "2 * n_upper > n_letters"),
-    ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("duplicate_lines", "n_dup_lines >= 5 AND 100 * n_dup_lines > 50 * n_lines"),
+    ("stutter", "100 * n_same_next > 30 * n_words"),
 )
 BASE = ("few_words", "repeated_words")
 # Versions of the policy: which rules reject.
@@ -89,7 +91,8 @@ def _measure(text: bytes) -> tuple[int, ...]:
     letters = len(text) - len(text.translate(None, LETTERS))
     upper = len(text) - len(text.translate(None, LETTERS[:26]))
     chars = len(text.decode("utf-8", "replace")) - (len(text) - len(text.translate(None, SPACES)))
-    return (len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), dup, _repeat_words(words), lines, letters, upper)
+    return (len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), dup, _repeat_words(words), lines, letters, upper,
+            sum(map(eq, words, words[1:])))
 
 
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

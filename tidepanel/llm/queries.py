@@ -68,7 +68,8 @@ lines AS (SELECT doc_id, sum(c) AS n, sum(c - 1) AS dup FROM (SELECT doc_id, lin
 m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(l.dup, 0) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(a.n, 0) AS BIGINT) AS n_repeat_words, coalesce(l.n, 0) AS n_lines,
-  length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper
+  length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+  len(list_filter(range(1, len(w)), lambda i: w.w[i] = w.w[i + 1])) AS n_same_next
   FROM words w LEFT JOIN again a USING (doc_id) LEFT JOIN lines l USING (doc_id))"""
 _FAILS_SQL = " OR ".join(f"({c})" for _, c in quality_rules.RULES)
 _BASE_SQL = " OR ".join(f"({c})" for n, c in quality_rules.RULES if n in quality_rules.BASE)
