@@ -44,7 +44,7 @@ from tidepanel.llm.components import components
 WIDTH = 5
 PERCENT = 80
 SUBSET = 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
 CHUNK_KEYS = 1 << 17
 ROUNDS = 2
