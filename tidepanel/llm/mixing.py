@@ -8,10 +8,11 @@ probabilities into 0 or 1: it moves them along the null space of the two balanci
 constraints (words and documents of the source) until one more is 0 or 1. Every move keeps
 both totals, so only two probabilities remain that no move can round.
 
-The flight runs in blocks of about ``BLOCK`` documents, chosen by hash; what a block leaves
-over (two per source) flies on in groups of ``FAN`` blocks, level by level, until one group
-per source is left. The landing rounds its last two probabilities to the smallest error in
-words, which is less than two documents per source. Random signs come from a seed and the
+The flight runs in blocks of about ``BLOCK`` documents, chosen by hash. Of each source a block
+keeps ``RESERVE`` documents of all lengths open; they and the two that it could not round fly
+on in groups of ``FAN`` blocks, level by level, until one group per source is left. Long
+documents are rounded first and the reserve makes up for them, so what the landing rounds to
+the smallest error in words is short. Random signs come from a seed and the
 block's number, and a block flies from its longest document to its shortest (ties by hash), so
 reruns agree and what is left to land is mostly short.
 
@@ -36,6 +37,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 2000
 FAN = 64
+RESERVE = 32
 SEED = 20
 EPS = 1e-9
 
@@ -90,11 +92,13 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return table.select("source", "source_size", F.least("cap", F.lit(share) * F.col("w")).alias("target"))
 
 
-def flight(size: np.ndarray, prob: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def flight(size: np.ndarray, prob: np.ndarray, rng: np.random.Generator, land: bool = False) -> np.ndarray:
     """Round ``prob`` to 0 or 1 up to two entries, keeping sum(prob) and sum(prob * size).
 
     The direction of a move is the first open entry's unit vector, projected on the null
-    space of both totals: that entry is rounded and all others make up for it a little."""
+    space of both totals: that entry is rounded and all others make up for it a little. An
+    entry far longer than all others has no such direction; with ``land`` (nothing comes
+    after) it is rounded at once and the others' probabilities take over its words."""
     x = np.where(prob < EPS, 0.0, np.where(prob > 1 - EPS, 1.0, prob))
     at = np.flatnonzero((x > 0) & (x < 1))
     y, s = x[at], size[at].astype(float)
@@ -106,6 +110,21 @@ def flight(size: np.ndarray, prob: np.ndarray, rng: np.random.Generator) -> np.n
             break
         free = 1 - 1 / n - (d * d / v if uneven else 0.0) * np.ones(n)
         k = 0 if free[0] > 0.05 else int(free.argmax())
+        if land and k:
+            up = rng.random() < y[0]
+            x[at[0]], rest = float(up), (y[0] - up) * s[0]
+            at, y, s = at[1:], y[1:], s[1:]
+            for _ in range(8):  # shares in proportion to size; full ones leave the rest to others
+                room = np.where(rest > 0, 1 - y, y)
+                w = s * (room > EPS)
+                if abs(rest) < EPS or not w.any():
+                    break
+                step = np.minimum(room, abs(rest) * w / (w * s).sum()) * np.sign(rest)
+                y, rest = y + step, rest - float((step * s).sum())
+            fixed = (y < EPS) | (y > 1 - EPS)
+            x[at[fixed]] = np.round(y[fixed])
+            at, y, s = at[~fixed], y[~fixed], s[~fixed]
+            continue
         u = np.full(n, -1 / n) - (d[k] / v * d if uneven else 0.0)
         u[k] += 1
         u[np.abs(u) < 1e-13] = 0.0
@@ -141,9 +160,12 @@ def _fly(seed: int, depth: int, last: bool) -> Callable[[pa.Table], pa.Table]:
         source = pa.compute.rank(rows.column("source"), tiebreaker="min").to_numpy()
         edge = np.flatnonzero(np.diff(source)) + 1
         for a, b in zip([0, *edge], [*edge, len(x)]):
-            x[a:b] = flight(size[a:b], x[a:b], rng)
+            at = np.arange(a, b)
+            if not last:  # evenly over the lengths
+                at = np.delete(at, np.linspace(0, b - a - 1, RESERVE).astype(int)) if b - a > RESERVE else at[:0]
+            x[at] = flight(size[at], x[at], rng, last)
             if last:
-                x[a:b] = landing(size[a:b], x[a:b])
+                x[at] = landing(size[at], x[at])
         return rows.set_column(rows.column_names.index("_x"), "_x", pa.array(x))
 
     return fly
