@@ -8,7 +8,8 @@ stretches of ``STRETCH`` bytes that each start with the dictionary, so the diffe
 not fade on long texts.
 
 The fit sees a bounded sample, ``PER_CLASS`` labelled rows of each class and texts up to
-``FIT_BYTES`` (both parameters): one half builds the dictionaries, the other calibrates.
+``FIT_BYTES`` (both parameters). The calibration is cross-fitted: each half of the sample is
+measured with dictionaries of the other half; the final dictionaries come from all of it.
 Scoring reads every text once, without a shuffle.
 
 Edge cases: a NULL text is an empty one; empty texts get the calibration's value for no
@@ -33,6 +34,7 @@ FIT_BYTES = 32_768
 DICT_BYTES = 65_536
 STRETCH = 4096
 LEVEL = 3
+RIDGE = 0.05
 THRESHOLD = 0.7
 
 
@@ -108,20 +110,22 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 def fit(sample: list[tuple[int, bytes]], share: float | None = None) -> tuple[bytes, bytes, np.ndarray]:
     """(good dictionary, bad dictionary, calibration) from (label, text) rows; ``share`` is
     the share of label 1 among all labels, which the weights restore."""
-    ys = {y for y, _ in sample}
-    if len(ys) < 2:
+    if len({y for y, _ in sample}) < 2:
         p = min(max(float(np.mean([y for y, _ in sample])) if sample else 0.5, 0.01), 0.99)
         return b"", b"", np.array([np.log(p / (1 - p)), *[0.0] * 7])
-    good, bad = (dictionary([t for i, (k, t) in enumerate([r for r in sample if r[0] == want]) if i % 2 == 0]) for want in (1, 0))
-    made = Sizes(good, bad)
-    rest = [r for want in (0, 1) for i, r in enumerate([r for r in sample if r[0] == want]) if i % 2] or sample
-    if len({y for y, _ in rest}) < 2:
-        rest = sample
-    x = features(np.array([made.of(t) for _, t in rest]))
-    y = np.array([k for k, _ in rest], float)
+    by_class = {want: [r for r in sample if r[0] == want] for want in (1, 0)}
+    xs, ys = [], []
+    for half in (0, 1):
+        made = Sizes(*(dictionary([t for i, (_, t) in enumerate(rows) if i % 2 == half]) for rows in by_class.values()))
+        rest = [r for rows in by_class.values() for i, r in enumerate(rows) if i % 2 != half]
+        if rest:
+            xs.append(features(np.array([made.of(t) for _, t in rest])))
+            ys += [k for k, _ in rest]
+    good, bad = (dictionary([t for _, t in rows]) for rows in by_class.values())
+    x, y = np.concatenate(xs), np.array(ys, float)
     share = y.mean() if share is None else share
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return good, bad, logistic(x, y, weight)
+    return good, bad, logistic(x, y, weight, RIDGE)
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2,
