@@ -429,7 +429,7 @@ def fit_dfm(obs: DataFrame, k: int, n_iter: int = DEFAULT_ITERATIONS, rule: str
 
 def _stamps(m: DataFrame, rule: str) -> DataFrame:
     """(panel, t, ts) for every position, also those without observations."""
-    from tidepanel.functions.calendar import bin_label, bin_next, bin_sequence
+    from tidepanel.functions.calendar import bin_label, bin_sequence
 
     span = m.groupBy("panel").agg(F.min(F.struct("t", "ts")).alias("a"), F.max("n_t").alias("n"))
     first = bin_label(F.col("a.ts"), rule)
