@@ -11,19 +11,31 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidepanel.plans.session import cut_lineage
 
 __all__ = ["cut_lineage", "fold", "join_checked", "rows_of", "table", "text_bytes", "text_total", "by_bytes", "word_hash", "mix64"]
 
 
+BATCH_BYTES = "8m"
+
+
 def table(spark, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession | None) -> None:
+    """Texts go to Python in Arrow batches by bytes, whatever their length: a session that
+    still has the default of 64 MB gets ``BATCH_BYTES``."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is not None and spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def text_bytes(col: str = "text") -> Column:
     """UTF-8 bytes of a text; NULL counts as empty."""
+    bound_batches(SparkSession.getActiveSession())
     return F.coalesce(F.col(col).cast("binary"), F.lit(b"").cast("binary"))
 
 
@@ -70,7 +82,7 @@ class word_hash(dict):
     """Word (bytes) to its 64-bit hash. A bounded memo: it starts anew when full,
     which changes no value."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         from xxhash import xxh64_intdigest
 
         self.digest, self.most = xxh64_intdigest, most

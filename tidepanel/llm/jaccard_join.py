@@ -44,8 +44,8 @@ from tidepanel.llm.components import components
 WIDTH = 5
 PERCENT = 80
 SUBSET = 2
-BLOCK_BYTES = 16 << 20
-RANGE_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+RANGE_BYTES = 8 << 20
 CHUNK_KEYS = 1 << 17
 ROUNDS = 2
 SCAN = 3
@@ -147,6 +147,7 @@ def blocks(docs: DataFrame, ranges: int, text: str = "text", width: int = WIDTH,
                 if size >= block_bytes:
                     yield from flush()
         yield from flush()
+        pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, _BLOBS)
 
@@ -195,6 +196,7 @@ def shared_keys(t: pa.Table) -> pa.Table:
     rng = t.column("rng")[0].as_py()
     cols = list(zip(*out)) or [(), (), (), ()]
     arrays = [pa.array(cols[0], pa.int64()), pa.array([rng] * len(out), pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])]
+    pa.default_memory_pool().release_unused()
     return pa.table([*arrays, *(pa.nulls(len(out), x) for x in _SHARED_TYPES[5:])], names=_SHARED_NAMES)
 
 
