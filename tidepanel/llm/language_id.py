@@ -9,14 +9,25 @@ Four kinds of evidence meet in one posterior per document:
 * host prior: P(language | host), smoothed in a hierarchy: host towards its suffix, suffix
   towards the whole collection, each by grouped aggregation.
 
+A text may also be in none of these languages, ``OTHER``. A text of another language is expected
+to be ``MARGIN`` nats per trigram less likely than texts of the language it resembles most
+are on average, but never less than under equal buckets; rows that declare another language
+train it too, at half weight, so that wrong declarations do not draw texts of a known language.
+``OTHER`` has votes, a prior, hosts, suffixes and declarations like the languages.
+
+A text of several languages is judged by windows of about ``WINDOW`` trigrams: the share of
+the text whose windows are in the language found multiplies its confidence. A text of one
+window has no share.
+
 A row's own vote is taken out of the host and suffix counts (leave one out), so a single
 document does not confirm itself. The text's log likelihood is divided by ``DAMP``, because
 trigrams overlap and are not independent.
 
 Edge cases: a NULL or empty text, NULL or unknown declarations, suffixes and hosts carry no
 evidence, and the rest decides; with no evidence at all the collection's prior is returned;
-declared languages outside ``LANGUAGES`` train nothing; repeated rows count each; an empty
-table gives no rows.
+declared languages outside ``LANGUAGES`` train ``OTHER``; repeated rows count each; an empty
+table gives no rows. A language of few rows has a flat table, which hardly tells its texts from
+those of other languages.
 """
 
 from __future__ import annotations
@@ -37,6 +48,10 @@ DAMP = 3.0
 KAPPA = 20.0
 ALPHA = 0.5
 CONFIDENCE = 0.6
+OTHER = "other"
+MARGIN = 2.0
+HEAVIEST = 0.02
+WINDOW = 128
 HOSTS = 200_000  # rows of host counts that are still broadcast
 
 
@@ -49,16 +64,18 @@ def trigrams(text: bytes, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def likelihood_table(rows: DataFrame, languages: Sequence[str], buckets: int = BUCKETS) -> np.ndarray:
-    """log P(trigram | language), buckets x languages. Tasks add up their own counts; a few
-    rows per task and language are merged by bucket range. The result has a fixed size."""
+    """log P(trigram | language), buckets x languages, and in a last column the same of all
+    rows that declare another language. Tasks add up their own counts; a few rows per task
+    and language are merged by bucket range. The result has a fixed size."""
     at = {x: i for i, x in enumerate(languages)}
+    size = len(languages) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), buckets), np.int64)
+        counts = np.zeros((size, buckets), np.int64)
         for b in batches:
             for declared, text in rows_of(b):
-                if declared in at:
-                    counts[at[declared]] += np.bincount(trigrams(text, buckets), minlength=buckets)
+                if declared:
+                    counts[at.get(declared, size - 1)] += np.bincount(trigrams(text, buckets), minlength=buckets)
         for i in np.flatnonzero(counts.any(1)):
             for c in range(0, buckets, CHUNK):
                 yield pa.RecordBatch.from_arrays([pa.array([int(i)], pa.int32()), pa.array([c], pa.int32()), pa.array([counts[i, c:c + CHUNK].tobytes()])],
@@ -69,12 +86,44 @@ def likelihood_table(rows: DataFrame, languages: Sequence[str], buckets: int = B
         return pa.table({"lang": t.column("lang")[:1], "first": t.column("first")[:1], "counts": pa.array([total.tobytes()])})
 
     kind = "lang int, first int, counts binary"
-    counts = np.zeros((len(languages), buckets))
+    counts = np.zeros((size, buckets))
     for r in rows.select("_declared", "_text").mapInArrow(run, kind).groupBy("lang", "first").applyInArrow(add, kind).collect():
         counts[r[0], r[1]:r[1] + CHUNK] = np.frombuffer(r[2], np.int64)
     return np.ascontiguousarray((np.log(counts + ALPHA) - np.log((counts + ALPHA).sum(1, keepdims=True))).T)
 
 
+def floors(table: np.ndarray) -> np.ndarray:
+    """Log likelihood per trigram that ``OTHER`` gives a text that resembles a language. A bucket
+    weighs at most ``HEAVIEST`` in the average, so one endless repetition does not set it."""
+    weight = np.minimum(np.exp(table), HEAVIEST)
+    return np.maximum((weight * table).sum(0) / weight.sum(0) - MARGIN, -np.log(len(table)))
+
+
+def text_evidence(text: bytes, table: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Damped log likelihood of a text per language and of ``OTHER``, and the share of the
+    text that is in each language."""
+    n = len(floor)
+    x = trigrams(text, len(table))
+    if not len(x):
+        return np.zeros(n + 1), np.ones(n)
+    rows, strange = table[x, :n], table[x, n] - np.log(2.0)
+
+    def other(best: np.ndarray) -> np.ndarray:
+        return np.maximum(floor[best], strange)
+
+    known = rows.sum(0) / DAMP
+    ll = np.append(known, other(known.argmax()).sum() / DAMP)
+    parts = len(x) // WINDOW
+    if parts < 2:
+        return ll, np.ones(n)
+    first = np.arange(parts) * len(x) // parts
+    length = np.diff(first, append=len(x))
+    part = np.add.reduceat(rows, first, axis=0)
+    part = np.column_stack([part, np.add.reduceat(other(np.repeat(part.argmax(1), length)), first)]) / DAMP
+    e = np.exp(part - part.max(1, keepdims=True))
+    return ll, ((e / e.sum(1, keepdims=True)) * length[:, None]).sum(0)[:n] / len(x)
+
+
 def _array(values: Sequence[Column]) -> Column:
     return F.array(*values)
 
@@ -82,7 +131,9 @@ def _array(values: Sequence[Column]) -> Column:
 def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", suffix: Column | None = None, host: Column | None = None,
              keep: Sequence[str] = ("doc_id",), languages: Sequence[str] = LANGUAGES) -> DataFrame:
     """The columns ``keep``, then ``declared, language, confidence, text_language,
-    posterior`` (array in the order of ``languages``)."""
+    posterior, other``. ``language`` is one of ``languages`` or ``OTHER``; ``other`` is the
+    probability of ``OTHER`` and ``posterior`` (array in the order of ``languages``) holds if it
+    is one of them."""
     n = len(languages)
     none = F.lit(None).cast("string")
     rows = docs.select(
@@ -90,38 +141,42 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
         F.lower(suffix).alias("_suffix") if suffix is not None else none.alias("_suffix"),
         F.lower(host).alias("_host") if host is not None else none.alias("_host"), text_bytes(text).alias("_text"))
     table = likelihood_table(rows, languages)
+    floor = floors(table[:, :n])
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [table[trigrams(t)].sum(0) / DAMP for t in b.column(len(b.columns) - 1).to_pylist()]
-            flat = pa.array(np.concatenate(got) if got else np.zeros(0))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * n), flat)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*b.schema.names[:-1], "_ll"])
+            got = [text_evidence(t, table, floor) for t in b.column(len(b.columns) - 1).to_pylist()]
+            lists = []
+            for k, size in enumerate((n + 1, n)):
+                flat = pa.array(np.concatenate([g[k] for g in got]) if got else np.zeros(0))
+                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * size), flat))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *lists], [*b.schema.names[:-1], "_ll", "_share"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    seen = rows.mapInArrow(likely, ", ".join([*fields, "_ll array<double>"]))
+    seen = rows.mapInArrow(likely, ", ".join([*fields, "_ll array<double>", "_share array<double>"]))
     best = F.array_max("_ll")
     vote = F.when((best < 0) & (F.size(F.filter("_ll", lambda x: x == best)) == 1), F.array_position("_ll", best).cast("int") - 1)
     seen = cut_lineage(seen.withColumn("_vote", vote))
 
-    votes = [F.sum((F.col("_vote") == i).cast("long")).alias(f"v{i}") for i in range(n)]
+    votes = [F.sum((F.col("_vote") == i).cast("long")).alias(f"v{i}") for i in range(n + 1)]
     overall = seen.agg(*votes).first()
     prior = np.array([float(x or 0) + 1.0 for x in overall])
-    prior = (prior / prior.sum()).tolist()
+    strange = float(prior[n] / prior.sum())
+    prior = (prior[:n] / prior[:n].sum()).tolist()
     # P(declared | language) and P(suffix | language) in the bounded vocabulary of languages and "other".
     spoken = F.when(F.col("_declared").isin(*languages), F.col("_declared")).otherwise(F.lit("?"))
     confusion = {r[0]: r[1:] for r in seen.filter("_declared is not null").groupBy(spoken.alias("d")).agg(*votes).collect()}
-    totals = [sum(float(v[i] or 0) for v in confusion.values()) for i in range(n)]
-    said = {d: [float(np.log(((float(confusion.get(d, [0] * n)[i] or 0)) + 1.0) / (totals[i] + n + 1.0))) for i in range(n)] for d in (*languages, "?")}
+    totals = [sum(float(v[i] or 0) for v in confusion.values()) for i in range(n + 1)]
+    said = {d: [float(np.log(((float(confusion.get(d, [0] * (n + 1))[i] or 0)) + 1.0) / (totals[i] + n + 1.0))) for i in range(n + 1)] for d in (*languages, "?")}
     by_suffix = seen.filter("_suffix is not null").groupBy("_suffix").agg(*votes)
     by_host = seen.filter("_host is not null").groupBy("_host", "_suffix").agg(*votes)
-    sums = [overall[i] or 0 for i in range(n)]
+    sums = [overall[i] or 0 for i in range(n + 1)]
 
     def own(i: int) -> Column:
         return F.coalesce((F.col("_vote") == i).cast("long"), F.lit(0))
 
     def renamed(df: DataFrame, mark: str) -> DataFrame:
-        return df.select(*(F.col(c).alias(f"_of{c}") for c in df.columns if c in ("_host", "_suffix")), *(F.col(f"v{i}").alias(f"{mark}{i}") for i in range(n)))
+        return df.select(*(F.col(c).alias(f"_of{c}") for c in df.columns if c in ("_host", "_suffix")), *(F.col(f"v{i}").alias(f"{mark}{i}") for i in range(n + 1)))
 
     s, h = renamed(by_suffix, "s"), renamed(by_host, "h").withColumnRenamed("_of_suffix", "_host_suffix")
     joined = join_checked(seen, s, F.col("_suffix") == F.col("_of_suffix"), "left", HOSTS)
@@ -130,19 +185,28 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     sn, hn = reduce(Column.__add__, [less("s", i) for i in range(n)]), reduce(Column.__add__, [less("h", i) for i in range(n)])
     at_suffix = [(less("s", i) + F.lit(KAPPA * prior[i])) / (sn + KAPPA) for i in range(n)]
     at_host = [(less("h", i) + F.lit(KAPPA) * at_suffix[i]) / (hn + KAPPA) for i in range(n)]
+    # OTHER against all languages together, smoothed likewise.
+    other_at_suffix = (less("s", n) + KAPPA * strange) / (sn + less("s", n) + KAPPA)
+    other_at_host = (less("h", n) + F.lit(KAPPA) * other_at_suffix) / (hn + less("h", n) + KAPPA)
     # log P(suffix | language) up to what all languages share.
-    from_suffix = [F.when(F.col("_suffix").isNull(), F.lit(0.0)).otherwise(F.log((less("s", i) + KAPPA * prior[i]) / (F.lit(float(sums[i])) + KAPPA))) for i in range(n)]
+    from_suffix = [F.when(F.col("_suffix").isNull(), F.lit(0.0)).otherwise(F.log((less("s", i) + KAPPA * p) / (F.lit(float(sums[i])) + KAPPA))) for i, p in enumerate([*prior, strange])]
     from_declared = [F.when(F.col("_declared").isNull(), F.lit(0.0)).otherwise(
-        reduce(lambda c, d: c.when(F.col("_declared") == d, F.lit(said[d][i])), languages, F.when(F.lit(False), F.lit(0.0))).otherwise(F.lit(said["?"][i]))) for i in range(n)]
-    score = [F.col("_ll")[i] + from_declared[i] + F.log(at_host[i]) + (from_suffix[i] if host is None else F.lit(0.0)) for i in range(n)]
+        reduce(lambda c, d: c.when(F.col("_declared") == d, F.lit(said[d][i])), languages, F.when(F.lit(False), F.lit(0.0))).otherwise(F.lit(said["?"][i]))) for i in range(n + 1)]
+    here = [*(F.log(x) for x in at_host), F.log(other_at_host / (1 - other_at_host))]
+    score = [F.col("_ll")[i] + from_declared[i] + here[i] + (from_suffix[i] if host is None else F.lit(0.0)) for i in range(n + 1)]
     scored = joined.withColumn("_score", _array(score))
     top = F.array_max("_score")
     expo = F.transform("_score", lambda x: F.exp(x - top))
-    scored = scored.withColumn("_e", expo).withColumn("posterior", F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, y: a + y)))
-    names = F.array(*map(F.lit, languages))
-    pick = F.array_position("posterior", F.array_max("posterior")).cast("int")
-    return scored.select(*keep, F.col("_declared").alias("declared"), F.element_at(names, pick).alias("language"), F.array_max("posterior").alias("confidence"),
-                         F.when(F.col("_vote").isNotNull(), F.element_at(names, F.col("_vote") + 1)).alias("text_language"), "posterior")
+    whole = lambda c: F.aggregate(c, F.lit(0.0), lambda a, y: a + y)
+    known = F.slice("_score", 1, n)
+    scored = scored.withColumn("_e", expo).withColumn("_all", F.transform("_e", lambda x: x / whole("_e")))
+    scored = scored.withColumn("_k", F.transform(known, lambda x: F.exp(x - F.array_max(known)))).withColumn("posterior", F.transform("_k", lambda x: x / whole("_k")))
+    names = F.array(*map(F.lit, [*languages, OTHER]))
+    pick = F.array_position("_all", F.array_max("_all")).cast("int")
+    share = F.when(pick <= n, F.element_at("_share", F.least(pick, F.lit(n)))).otherwise(1.0)
+    return scored.select(*keep, F.col("_declared").alias("declared"), F.element_at(names, pick).alias("language"), (F.array_max("_all") * share).alias("confidence"),
+                         F.when(F.col("_vote").isNotNull(), F.element_at(names, F.col("_vote") + 1)).alias("text_language"), "posterior",
+                         F.element_at("_all", n + 1).alias("other"))
 
 
 def host_of(url: str) -> Column:
