@@ -19,8 +19,8 @@ connected components of the links.
    hash, each with its most frequent hub. Groups of near copies become components in a few
    such rounds, without their pairs.
 4. *Rest, exact.* Lists whose members still lie in different components are the only place
-   for missing links. Their members are cut into chunks of bounded size; chunks that meet in
-   a list are compared as blocks with matrix products, each pair of chunks once.
+   for missing links. Their members are cut into chunks of bounded keys and sets; chunks that
+   meet in a list are compared as blocks with matrix products, each pair of chunks once.
 
 Edge cases: a NULL text, or one without words, is an empty set and links with nothing; fewer
 words than n make one n-gram; copies and repeated rows share a component; a NULL ``doc_id``
@@ -47,6 +47,8 @@ SUBSET = 2
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 8 << 20
 CHUNK_KEYS = 1 << 17
+CHUNK_SETS = 2_000
+TILE_ROWS = 256
 ROUNDS = 2
 SCAN = 3
 BITS = 48
@@ -311,18 +313,17 @@ def _compare(percent: int):
         place = np.full(len(distinct), -1)
         place[both] = np.arange(len(both))
         overlap = np.zeros((len(left), len(right)), np.float32)
-        row = {int(d): i for i, d in enumerate(left)}, {int(d): i for i, d in enumerate(right)}
         for lo in range(0, len(both), 4096):
             use = (place[at] >= lo) & (place[at] < lo + 4096)
             m = []
-            for s, index in zip((left, right), row):
-                pick = use & np.isin(owner, s)
-                x = np.zeros((len(s), 4096), np.float32)
-                x[[index[int(d)] for d in owner[pick]], place[at[pick]] - lo] = 1
+            for s in (left, right):
+                row = np.full(len(keys), -1)
+                row[s] = np.arange(len(s))
+                pick = use & (row[owner] >= 0)
+                x = np.zeros((len(s), min(4096, len(both) - lo)), np.float32)
+                x[row[owner[pick]], place[at[pick]] - lo] = 1
                 m.append(x)
             overlap += m[0] @ m[1].T
-        o = overlap.astype(np.int64)
-        hit = (100 * o >= percent * (n[left][:, None] + n[right][None, :] - o)) & (comp[left][:, None] != comp[right][None, :])
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -331,17 +332,22 @@ def _compare(percent: int):
             return x
 
         out = []
-        for i, j in zip(*np.nonzero(hit)):
-            p, q = find(int(comp[left[i]])), find(int(comp[right[j]]))
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                out.append((int(v[left[i]]), int(v[right[j]])))
+        for lo in range(0, len(left), TILE_ROWS):
+            tile = left[lo:lo + TILE_ROWS]
+            o = overlap[lo:lo + TILE_ROWS].astype(np.int64)
+            hit = (100 * o >= percent * (n[tile][:, None] + n[right][None, :] - o)) & (comp[tile][:, None] != comp[right][None, :])
+            for i, j in zip(*np.nonzero(hit)):
+                p, q = find(int(comp[tile[i]])), find(int(comp[right[j]]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((int(v[tile[i]]), int(v[right[j]])))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return compare
 
 
-def join_sets(sets: DataFrame, lists: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, chunk_keys: int = CHUNK_KEYS) -> DataFrame | None:
+def join_sets(sets: DataFrame, lists: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, chunk_keys: int = CHUNK_KEYS,
+              chunk_sets: int = CHUNK_SETS) -> DataFrame | None:
     """``v, comp`` of linked sets; None when nothing links. Lists and their heads are written
     before they are joined, so a list of any length can be split over tasks."""
     labels = None
@@ -361,16 +367,16 @@ def join_sets(sets: DataFrame, lists: DataFrame, percent: int = PERCENT, rounds:
                     .agg(F.count(F.lit(1)).alias("c")).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")))
             found = links(near, sets, percent)
         else:
-            found = _rest(cut_lineage(open_.select("sig", "v", "n", "comp", "head")), sets, percent, chunk_keys)
+            found = _rest(cut_lineage(open_.select("sig", "v", "n", "comp", "head")), sets, percent, chunk_keys, chunk_sets)
         labels = components(found if labels is None else found.unionByName(labels.select(F.col("v").alias("a"), F.col("comp").alias("b"))))
     return labels
 
 
-def _rest(open_: DataFrame, sets: DataFrame, percent: int, chunk_keys: int) -> DataFrame:
+def _rest(open_: DataFrame, sets: DataFrame, percent: int, chunk_keys: int, chunk_sets: int = CHUNK_SETS) -> DataFrame:
     """All links between members of a list that lie in different components."""
     grade = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
     member = open_.groupBy("v", "n", "comp").agg(F.min("head").alias("head")).withColumn("grade", grade)
-    size = member.groupBy("head", "grade").agg(F.ceil(F.sum("n") / chunk_keys).alias("cuts"))
+    size = member.groupBy("head", "grade").agg(F.ceil(F.greatest(F.sum("n") / chunk_keys, F.count(F.lit(1)) / chunk_sets)).alias("cuts"))
     member = cut_lineage(member.join(size, ["head", "grade"]).withColumn("cut", F.pmod(F.xxhash64("v"), "cuts"))
                          .select("v", "n", "comp", "grade", F.xxhash64("head", "grade", "cut").alias("chunk")))
     meets = open_.select("sig", "v").join(member, "v").select("sig", "chunk", "grade").distinct()
