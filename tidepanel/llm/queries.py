@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepanel.llm import exact_topk, hmm_lm, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, toxicity, warc
+from tidepanel.llm import exact_topk, hmm_lm, jaccard_join, language_id, mixing, packing, piece_encoding, quality_classifier, quality_rules, toxicity, warc
 from tidepanel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,13 @@ def op9(spark, sf):
 def op10(spark, sf):
     out = mixing.mix(table(spark, sf, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+# ---------------------------------------------------------------- 11 SentencePiece encoding
+
+@query("op11_piece_encoding")
+def op11(spark, sf):
+    model = tokenizer_path("piece_bpe_32k.model")
+    out = piece_encoding.decode(piece_encoding.encode(table(spark, sf, "documents"), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
