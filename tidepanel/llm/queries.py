@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidepanel.llm import exact_topk, hmm_lm, jaccard_join, language_id, mixing, packing, piece_encoding, quality_classifier, quality_rules, toxicity, warc
+from tidepanel.llm import exact_topk, hmm_lm, jaccard_join, language_id, mixing, packing, piece_encoding, quality_classifier, quality_rules, run_detection, toxicity, warc
 from tidepanel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,27 @@ def op11(spark, sf):
     out = piece_encoding.decode(piece_encoding.encode(table(spark, sf, "documents"), model), model)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+# ---------------------------------------------------------------- 13 periodic runs
+
+def _repeated_tail() -> Column:
+    """The text whose words from the a-th on repeat the p words there, where the id's hash asks for it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.col("text"), r"[ \x09-\x0D]+"), lambda w: w != "")
+    n, g = F.size(words), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")).otherwise(F.col("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf):
+    found = run_detection.find(table(spark, sf, "documents").select("doc_id", _repeated_tail().alias("text")))
+    best = run_detection.strongest()
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", *(f"best.{c}" for c in ("start", "length", "period")), F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                      "runs_sha256", "collapsed_sha256")
