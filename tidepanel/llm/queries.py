@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidepanel.llm import exact_topk, hmm_lm, jaccard_join, language_id, mixing, packing, piece_encoding, quality_classifier, quality_rules, run_detection, toxicity, warc
+from tidepanel.llm import collocations, exact_topk, hmm_lm, jaccard_join, language_id, mixing, packing, piece_encoding, quality_classifier, quality_rules, run_detection, toxicity, warc
 from tidepanel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,6 +188,26 @@ def op11(spark, sf):
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+# ---------------------------------------------------------------- 12 collocations
+
+@query("op12_collocations", rf"""WITH w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+  unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+f AS MATERIALIZED (SELECT lang, p, CAST(count(*) AS HUGEINT) AS f FROM (SELECT lang, unnest(flatten([w,
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])])) AS p FROM w) GROUP BY 1, 2),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE NOT contains(p, ' ') GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, p, f AS a, string_split(p, ' ') AS s FROM f WHERE f >= {collocations.LEAST} AND contains(p, ' ')),
+cuts AS (SELECT lang, p, s, a, k, array_to_string(s[1:k], ' ') AS x, array_to_string(s[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, len(s))) AS k FROM c)),
+scored AS (SELECT cuts.*, x.f AS l, y.f AS r, {collocations.SCALE} * a * a // (x.f * y.f) AS score FROM cuts JOIN f x ON x.lang = cuts.lang AND x.p = cuts.x JOIN f y ON y.lang = cuts.lang AND y.p = cuts.y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+longer AS (SELECT lang, q, max(a) AS a FROM (SELECT lang, a, unnest([s[1] || ' ' || s[2], s[2] || ' ' || s[3]]) AS q FROM c WHERE len(s) = 3) GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.q = best.p WHERE longer.a IS NULL OR 100 * longer.a < {collocations.WITHIN} * best.a)
+SELECT lang, rank, p AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= {collocations.TOP}""")
+def op12(spark, sf):
+    return collocations.mine(table(spark, sf, "documents"))
+
+
 # ---------------------------------------------------------------- 13 periodic runs
 
 def _repeated_tail() -> Column:
