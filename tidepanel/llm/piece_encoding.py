@@ -14,8 +14,8 @@ the text cannot be finished is lost for good. Hence
 
 Texts fall into chunks first where no piece can cross, as the vocabulary shows: before white
 space marks, between letters and other characters, and around characters outside the pieces'
-alphabet, which become bytes. Chunks of up to ``MEMO_CHARS`` characters are remembered per task
-in bounded memos.
+alphabet, which become bytes. Chunks of up to ``MEMO_CHARS`` characters are remembered per Python
+worker in bounded memos.
 
 Edge cases: NULL and empty texts give no ids and decode to an empty text; a lone mark of white
 space (``U+2581``) in a text counts as a space, as in the library; rows repeat as they come;
@@ -40,8 +40,8 @@ from tidepanel.llm.common import rows_of, text_bytes
 SPACE = "▁"
 MEMO_CHARS = 64
 ODD = 100
-MEMO_CHUNKS = 200_000
-MEMO_PAIRS = 400_000
+MEMO_CHUNKS = 300_000
+MEMO_PAIRS = 800_000
 
 
 class Model:
@@ -77,6 +77,7 @@ class Model:
         #: What a position can hold: pieces that merging does reach, and characters that are no piece alone.
         self.units = [s for s in self.ids if len(self.merge(s)) == 1] + sorted(alphabet - self.ids.keys())
         self.chunks = self._chunks()
+        self._encoder: Encoder | None = None
 
     def _chunks(self) -> str:
         """A pattern of chunks that no piece crosses: white space marks lead letters or other
@@ -108,6 +109,12 @@ class Model:
                 joined[i] = score(parts[i] + parts[i + 1], none)
         return parts
 
+    def encoder(self) -> Encoder:
+        """The encoder of this process: a reused Python worker keeps it, with its memos, from task to task."""
+        if self._encoder is None:
+            self._encoder = Encoder(self)
+        return self._encoder
+
     def fallback(self, text: str) -> list[int]:
         """The ids of a unit: its own, or those of its bytes."""
         i = self.ids.get(text)
@@ -168,11 +175,11 @@ class Encoder(dict):
         chosen: list[int] = []
         at = start
         unit = longest[last - at] if at < stop else None
-        lost = bytearray((stop - start) // 8 + 1)
+        lost = None  # a bit per position, once one cannot be finished
         while at < stop:
             while unit is not None:
                 to = at + size[unit] - start
-                if not lost[to >> 3] >> (to & 7) & 1:
+                if lost is None or not lost[to >> 3] >> (to & 7) & 1:
                     if not chosen:
                         break
                     fit = known(chosen[-1] << 32 | unit)
@@ -182,6 +189,8 @@ class Encoder(dict):
             if unit is None:
                 if not chosen:
                     raise RuntimeError("a text without an encoding: the pieces do not cover their alphabet")
+                if lost is None:
+                    lost = bytearray((stop - start) // 8 + 1)
                 lost[at - start >> 3] |= 1 << (at - start & 7)
                 unit = chosen.pop()
                 at -= size[unit]
@@ -229,7 +238,7 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     shared = _shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = shared.value.encoder()
         for b in batches:
             found = [encoder.encode(t.decode("utf-8", "replace")) for _, t in rows_of(b)]
             edges = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
