@@ -21,7 +21,7 @@ Each range keeps its best ``top`` phrases per language, exactly; a window ranks
 Edge cases: NULL texts are empty; NULL languages are ``und``; other columns, NULL or repeated
 ids play no part (every row counts); very long texts are read whole; a language without
 candidates gives no rows; an empty table gives no rows. Ranges hold about ``RANGE_BYTES`` of
-text; there are ``MOST_RANGES`` at most, beyond which (1 TB of text) they grow.
+text; there are ``MOST_RANGES`` at most, beyond which (500 GB of text) they grow.
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ LEAST = 10
 WITHIN = 50
 TOP = 2000
 SCALE = 1_000_000
-BLOCK_BYTES = 16 << 20
-RANGE_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+RANGE_BYTES = 8 << 20
 MOST_RANGES = 65_536
 FAN = 256
 SAMPLE_DOCS = 2000
