@@ -264,6 +264,87 @@ def test_backward_select_removes_noise(spark):
     assert all(len(s) == 4 and s[3] == 1 for s in steps)
 
 
+def selection_panel(spark):
+    rng = np.random.default_rng(11)
+    t = 130
+    f = np.cumsum(rng.normal(size=t)) * 0.3
+    day = lambda i: dt.date(2021, 1, 1) + dt.timedelta(days=7 * i)
+    cols = {"target": f + rng.normal(size=t) * 0.1, "good": f + rng.normal(size=t) * 0.2, "fair": f + rng.normal(size=t) * 0.3, "junk": rng.normal(size=t) * 3}
+    return spark.createDataFrame([(s, day(i), float(v)) for s, x in cols.items() for i, v in enumerate(x)], "series string, ts date, value double")
+
+
+DAYS = ("2022-06-24", "2022-07-01", "2023-06-30")
+
+
+def test_downdated_sums_are_those_without_the_series(toy):
+    obs, y, day = toy
+    m = fa.model_panel(obs).withColumn("panel", F.lit(""))
+    rows = fa.bucketed_rows(m)
+    rng = np.random.default_rng(0)
+    f = rng.normal(size=(len(day), 2))
+    parent = obs.sparkSession.createDataFrame([("", f.ravel().tolist())], "panel string, f array<double>")
+    names = ["s03", "s00", "s11"]
+    got = {(r.panel, r.t): (r.j, r.h) for r in fa.shared_information(rows, parent, 2, names).collect()}
+    load = {}
+    for s in range(y.shape[1]):
+        at = np.flatnonzero(~np.isnan(y[:, s]))
+        v = y[at, s] - y[at, s].mean()
+        load[s] = fa._loading_of(at, v, f, 2)
+    for name in names:
+        for t in range(len(day)):
+            j, h = np.zeros((2, 2)), np.zeros(2)
+            for s, (l, r) in load.items():
+                if f"s{s:02d}" != name and not np.isnan(y[t, s]):
+                    j += np.outer(l, l) / (r + fa.INNOVATION_JITTER)
+                    h += l * (y[t, s] - np.nanmean(y[:, s])) / (r + fa.INNOVATION_JITTER)
+            if (name, t) in got:
+                assert np.allclose(got[name, t][0], j[np.triu_indices(2)]) and np.allclose(got[name, t][1], h)
+            else:
+                assert not j.any()
+
+
+def test_shared_rows_give_each_model_its_own_sums(toy):
+    """Several models at once against one at a time, by the path of :func:`fit_dfm`."""
+    obs, y, day = toy
+    spark = obs.sparkSession
+    rows = fa.bucketed_rows(fa.model_panel(obs).withColumn("panel", F.lit("")))
+    rng = np.random.default_rng(1)
+    models = {n: rng.normal(size=(len(day), 2)) for n in ("s01", "s05", "other")}
+    both = spark.createDataFrame([(n, f.ravel().tolist()) for n, f in models.items()], "panel string, f array<double>")
+    got = {(r.panel, r.t): r.j + r.h for r in fa.shared_information(rows, both, 2).collect()}
+    for n, f in models.items():
+        scan = spark.createDataFrame([("", -1, f.ravel().tolist())], "panel string, t int, f array<double>")
+        for r in fa.rows_information(rows.filter(F.col("series") != n), 2, scan=scan).collect():
+            assert np.allclose(got.pop((n, r.t)), r.j + r.h)
+    assert not got
+
+
+def test_warm_candidates_reach_the_cold_fit(spark):
+    """Going on from the parent ends where a fit from scratch without the series ends."""
+    d = selection_panel(spark)
+    s = fa.Selection(d, "target", ["good", "fair", "junk"], 1, *DAYS, n_iter=15)
+    scan, done = fa.warm_fit(s.rows, *s.models[1], s.keep, 1, 25, 1e-3)
+    assert 1 < done <= 25
+    warm = s._scores(fa._factor_rows(scan), 1)
+    cold = d.select(F.explode(F.array(*map(F.lit, s.keep))).alias("panel"), "series", "ts", "value").filter("panel <> series")
+    cold = fa._scores(fa.evaluate_models(cold, "target", 1, *DAYS, n_iter=40)[0])
+    assert warm.keys() == cold.keys()
+    for v in warm:
+        assert abs(warm[v][0] - cold[v][0]) < 3 and abs(warm[v][1] - cold[v][1]) < 0.02 * abs(cold[v][1])
+
+
+def test_selection_runs_to_its_end(spark):
+    d, names = selection_panel(spark), ["good", "fair", "junk"]
+    s = fa.Selection(d, "target", names, (1, 2), *DAYS, n_iter=8)
+    first = s.best
+    steps = s.run()
+    scores = [first[:2], *((h, -r) for _, h, r, _ in steps)]
+    assert all(a < b for a, b in zip(scores, scores[1:]) if a != b) and not s.round()
+    assert sorted([*s.keep, *(x[0] for x in steps)]) == sorted(names)
+    keep, log = fa.backward_select_blocks(d, "target", {"a": names}, (1, 2), *DAYS, n_iter=8)
+    assert keep == s.keep and [x[0] for x in log["a"]] == [x[0] for x in steps]
+
+
 def test_fit_end_keeps_later_data_out_of_the_fit(toy):
     """Parameters of an earlier fit window do not change with later values."""
     obs, y, day = toy

@@ -130,12 +130,37 @@ def n7(spark, sf):
     return rnd(fa.evaluate_models(_obs(spark, sf), TARGET, K, **DAYS)[0], 4)
 
 
+PREDICTORS = [f"NATION_{i}" for i in range(1, 25)]
+
+
+def _removals(spark, steps):
+    return spark.createDataFrame([(i, *s) for i, s in enumerate(steps)], "step int, block string, removed string, hit_rate double, rmse double, k int").withColumns(
+        {"hit_rate": F.round("hit_rate", 4), "rmse": F.round("rmse", 4)})
+
+
 @query("n8_backward_select")
 def n8_select(spark, sf):
     """Global selection to its end: the removals with score and factor count."""
-    steps = fa.backward_select(b.nation_week(spark, sf), TARGET, [f"NATION_{i}" for i in range(1, 25)], K, **DAYS)[1]
-    return spark.createDataFrame([(i, *s) for i, s in enumerate(steps)], "step int, removed string, hit_rate double, rmse double, k int").withColumns(
-        {"hit_rate": F.round("hit_rate", 4), "rmse": F.round("rmse", 4)})
+    steps = fa.backward_select(b.nation_week(spark, sf), TARGET, PREDICTORS, K, **DAYS)[1]
+    return _removals(spark, [("all", *s) for s in steps])
+
+
+@query("n8_backward_select_blocks")
+def n8_blocks(spark, sf):
+    """Block after block to the end; the blocks are the nations' regions."""
+    of = {r[0]: r[1] for r in b.table(spark, sf, "nation").select(F.concat(F.lit("NATION_"), "n_nationkey"), F.col("n_regionkey").cast("string")).collect()}
+    blocks = {}
+    for v in PREDICTORS:
+        blocks.setdefault(of[v], []).append(v)
+    log = fa.backward_select_blocks(b.nation_week(spark, sf), TARGET, blocks, K, **DAYS)[1]
+    return _removals(spark, [(block, *s) for block in sorted(log) for s in log[block]])
+
+
+@query("n8_backward_select_grid")
+def n8_grid(spark, sf):
+    """Global selection over factor counts 1 and 2."""
+    steps = fa.backward_select(b.nation_week(spark, sf), TARGET, PREDICTORS, (1, 2), **DAYS)[1]
+    return _removals(spark, [("all", *s) for s in steps])
 
 
 @query("n8_candidate_round")

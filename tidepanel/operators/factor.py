@@ -20,11 +20,12 @@ is added up inside the task. What is shuffled is one row per task and date.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tidepanel.functions.calendar import bin_ordinal
@@ -39,6 +40,7 @@ NOISE_FLOOR = 1e-7
 INITIAL_FLOOR = 1e-6
 FIRST_STAGE_CAP = 10  # what the first estimate of a two-stage tuning allows, see select_k
 DEFAULT_ITERATIONS = 30
+SELECTION_TOLERANCE = 0.01  # change of the parameters at which a candidate's fit ends
 
 VEC = "array<double>"
 
@@ -182,13 +184,14 @@ def _upper(v, k: int) -> np.ndarray:
     return m + np.triu(m, 1).T
 
 
-_SCAN = f"panel string, t int, xs {VEC}, xf {VEC}, xm {VEC}, p {VEC}"
+_SCAN = f"panel string, t int, xs {VEC}, xf {VEC}, xm {VEC}, p {VEC}, n_t int, f {VEC}, moved double"
 _STATE = f"panel string, n_t int, a {VEC}, q {VEC}, x0 {VEC}, p0 {VEC}"
 
 
 def _scan_panel(k: int):
     """Filter and smoother over the dates of one panel, and the state part of
-    the M-step. Row t = -1 carries the new A, Q, x0 and P0."""
+    the M-step. Row t = -1 carries the new A, Q, x0 and P0, all smoothed factors as
+    one array ``f``, and how far A and Q (relative to its largest entry) moved."""
 
     def run(info: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         s = state.iloc[0]
@@ -220,9 +223,10 @@ def _scan_panel(k: int):
         val, vec = np.linalg.eigh((cov + cov.T) / 2)
         q_new = (vec * np.maximum(val, NOISE_FLOOR)) @ vec.T
         panel = s["panel"]
-        rows = [(panel, -1, a_new.ravel().tolist(), q_new.ravel().tolist(), xs[0].tolist(), ps0.ravel().tolist())]
-        rows += [(panel, t, xs[t].tolist(), x[t].tolist(), xm[t].tolist(), p[t].ravel().tolist()) for t in range(n)]
-        return pd.DataFrame(rows, columns=["panel", "t", "xs", "xf", "xm", "p"])
+        moved = max(np.abs(a_new - a).max(), np.abs(q_new - q).max() / max(np.abs(q).max(), NOISE_FLOOR))
+        rows = [(panel, -1, a_new.ravel().tolist(), q_new.ravel().tolist(), xs[0].tolist(), ps0.ravel().tolist(), n, xs.ravel().tolist(), moved)]
+        rows += [(panel, t, xs[t].tolist(), x[t].tolist(), xm[t].tolist(), p[t].ravel().tolist(), n, None, None) for t in range(n)]
+        return pd.DataFrame(rows, columns=["panel", "t", "xs", "xf", "xm", "p", "n_t", "f", "moved"])
     return run
 
 
@@ -326,9 +330,7 @@ def init_factors(m: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]
 
 
 def next_state(scan: DataFrame) -> DataFrame:
-    size = scan.groupBy("panel").agg((F.max("t") + 1).alias("n_t"))
-    s = scan.filter("t = -1").join(size, "panel")
-    return s.select("panel", "n_t", F.col("xs").alias("a"), F.col("xf").alias("q"), F.col("xm").alias("x0"), F.col("p").alias("p0"))
+    return scan.filter("t = -1").select("panel", "n_t", F.col("xs").alias("a"), F.col("xf").alias("q"), F.col("xm").alias("x0"), F.col("p").alias("p0"))
 
 
 def series_rows(m: DataFrame) -> DataFrame:
@@ -341,8 +343,7 @@ def series_rows(m: DataFrame) -> DataFrame:
 
 def _factor_rows(scan: DataFrame) -> DataFrame:
     """(panel, f): the smoothed factors of a panel, dates by k in one array."""
-    return (scan.filter("t >= 0").groupBy("panel").agg(F.array_sort(F.collect_list(F.struct("t", "xs"))).alias("s"))
-            .select("panel", F.flatten(F.col("s.xs")).alias("f")))
+    return scan.filter("t = -1").select("panel", "f")
 
 
 def _loading_of(t, y, f, k: int) -> tuple:
@@ -405,7 +406,7 @@ def fit_dfm(obs: DataFrame, k: int, n_iter: int = DEFAULT_ITERATIONS, rule: str
 
     Returns ``panel`` (the model observations), ``loadings(panel, series, l, r,
     mean, std)``, ``state(panel, n_t, a, q, x0, p0)``, ``smoothed(panel, ts, t,
-    f)`` of the last E-step and ``filtered(panel, ts, t, x, x_minus, p)`` with
+    f)`` of the last E-step, the same as ``factors(panel, f)`` in one array, and ``filtered(panel, ts, t, x, x_minus, p)`` with
     the final parameters. An iteration writes its scan and then removes the one
     before it."""
     m = cut_lineage(model_panel(cut_lineage(obs), rule))
@@ -424,7 +425,7 @@ def fit_dfm(obs: DataFrame, k: int, n_iter: int = DEFAULT_ITERATIONS, rule: str
     stamps = _stamps(m, rule)
     smooth = (scan if scan is not None else last).filter("t >= 0").select("panel", "t", F.col("xs").alias("f")).join(stamps, ["panel", "t"])
     filt = last.filter("t >= 0").select("panel", "t", F.col("xf").alias("x"), F.col("xm").alias("x_minus"), "p").join(stamps, ["panel", "t"])
-    return {"panel": m, "loadings": load, "state": state, "smoothed": smooth, "filtered": filt}
+    return {"panel": m, "loadings": load, "state": state, "smoothed": smooth, "filtered": filt, "factors": _factor_rows(scan if scan is not None else last)}
 
 
 def _stamps(m: DataFrame, rule: str) -> DataFrame:
@@ -472,6 +473,17 @@ def nowcast_series(model: dict[str, DataFrame], target: str, mean: float | None
     return d.select("panel", "ts", out.alias("value"))
 
 
+def _standardised(obs: DataFrame, target: str, fit_end: str, oos_end: str) -> tuple[DataFrame, DataFrame]:
+    """Observations up to ``oos_end``, standardised on those up to ``fit_end``, without the target's
+    January and February; and the scale (panel, series, _m, _s)."""
+    upto = lambda day: F.col("ts") <= F.lit(day).cast("date")
+    scale = (obs.filter(upto(fit_end)).groupBy("panel", "series")
+             .agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s")).filter(F.col("_s") > 0))
+    z = obs.filter(upto(oos_end)).join(scale, ["panel", "series"])
+    z = z.withColumn("value", (F.col("value") - F.col("_m")) / F.col("_s")).select("panel", "series", "ts", "value")
+    return cut_lineage(mask_months(z, target).filter(F.col("value").isNotNull())), scale
+
+
 def evaluate_models(obs: DataFrame, target: str, k: int, train_end: str, oos_start: str, oos_end: str,
                     n_iter: int = DEFAULT_ITERATIONS, fit_end: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(metrics per panel, model): standardise on the data up to ``fit_end``
@@ -482,11 +494,7 @@ def evaluate_models(obs: DataFrame, target: str, k: int, train_end: str, oos_sta
 
     obs = cut_lineage(obs)
     upto = lambda day: F.col("ts") <= F.lit(day).cast("date")
-    scale = (obs.filter(upto(fit_end or oos_end)).groupBy("panel", "series")
-             .agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s")).filter(F.col("_s") > 0))
-    z = obs.filter(upto(oos_end)).join(scale, ["panel", "series"])
-    z = z.withColumn("value", (F.col("value") - F.col("_m")) / F.col("_s")).select("panel", "series", "ts", "value")
-    z = cut_lineage(mask_months(z, target).filter(F.col("value").isNotNull()))
+    z, scale = _standardised(obs, target, fit_end or oos_end, oos_end)
     model = fit_dfm(z if fit_end is None else z.filter(upto(fit_end)), k, n_iter)
     smooth = model["smoothed"]
     if fit_end is not None:
@@ -515,56 +523,202 @@ def _scores(metrics: DataFrame) -> dict[str, tuple[float, float]]:
     return out
 
 
-def backward_select(obs: DataFrame, target: str, predictors: Sequence[str], k: int | Sequence[int], train_end: str, oos_start: str,
-                    oos_end: str, n_iter: int = DEFAULT_ITERATIONS, max_rounds: int | None = None, only: Sequence[str] | None = None,
-                    ) -> tuple[list[str], list[tuple]]:
-    """Greedy removal of predictors by (hit rate, -RMSE), with several factor
-    counts ``k`` by (hit rate, -RMSE, -k). A round fits all candidate models of a
-    factor count in one job: the candidate is the ``panel`` key. Returns the kept
-    predictors and the removals with score and factor count; ``only`` limits what
-    may go.
-
-    ``obs(series, ts, value)``; only names and scores reach the driver."""
-    obs = cut_lineage(obs)
-    keep, steps = sorted(predictors), []
-    grid = [k] if isinstance(k, int) else sorted(k)
-
-    def score(sets: dict[str, list[str]]) -> dict[str, tuple]:
-        found: dict[str, tuple] = {}
-        for kk in grid:
-            fits = {p: v for p, v in sets.items() if kk < len(v) + 1}
-            if not fits:
+# ---------------------------------------------------------------- selection
+
+def _weighted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loadings (models, k), noise and whether there are any, of one series ``y`` on the factors
+    ``x`` (models, dates, k) of many models: :func:`_regress` for all of them at once."""
+    c, n, k = x.shape
+    if n <= k:
+        return np.zeros((c, k)), np.ones(c), False
+    s, b = np.einsum("cni,cnj->cij", x, x), np.einsum("cni,n->ci", x, y)
+    l = np.einsum("cij,cj->ci", np.linalg.pinv(s, hermitian=True), b)
+    e = (y.sum() - np.einsum("ci,ci->c", l, x.sum(axis=1))) / n
+    var = (y @ y - 2 * np.einsum("ci,ci->c", l, b) + np.einsum("ci,cij,cj->c", l, s, l)) / n - e * e
+    return l, np.maximum(var, NOISE_FLOOR), True
+
+
+def shared_information(rows: DataFrame, factors: DataFrame, k: int, without: Sequence[str] | None = None) -> DataFrame:
+    """(panel, t, j, h) of many models over the same gathered series, which are read once and not
+    copied per model. ``factors(panel, f)``, dates by k in one array: a model named like a series
+    goes without it.
+
+    With ``without``, ``factors`` hold one parent model and the result has one model per name: the
+    parent's sums minus that series' own share (downdating), so a whole round of candidates costs one
+    pass. ``rows`` carry a bucket ``_b``; the factors reach each bucket once."""
+    iu = np.triu_indices(k)
+    names = [f"c{i}" for i in range(len(iu[0]) + k)]
+    less = None if without is None else set(without)
+
+    def add_up(mine: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        if mine.empty or models.empty:
+            return pd.DataFrame({"panel": pd.Series(dtype=str), "t": pd.Series(dtype="int32"), **{c: pd.Series(dtype=float) for c in names}})
+        panels, code = np.unique(models["panel"].to_numpy().astype(str), return_inverse=True)
+        f = np.stack([np.asarray(x, dtype=float).reshape(-1, k) for x in models["f"]])[np.argsort(code)]
+        n_t = f.shape[1]
+        total, seen = np.zeros((len(panels), n_t, len(names))), np.zeros((len(panels), n_t), bool)
+        out = []
+        for series, t, y in zip(mine["series"], mine["t"], mine["y"]):
+            t, y = np.asarray(t, dtype=int), np.asarray(y, dtype=float)
+            l, r, any_ = _weighted(f[:, t], y)
+            if not any_:
                 continue
-            # N names and N candidates; the candidate's own series leaves its panel
-            members = obs.filter(F.col("series").isin([target, *keep])).select("series", "ts", "value")
-            d = members.withColumn("panel", F.explode(F.array(*map(F.lit, fits)))).filter("panel <> series")
-            for p, (hit, rmse) in _scores(evaluate_models(d, target, kk, train_end, oos_start, oos_end, n_iter)[0]).items():
-                found[p] = max(found.get(p, (-float("inf"),)), (hit, rmse, -kk))
-        return found
-    best = score({"": keep}).get("")
-    while best is not None and len(keep) > 1 and (max_rounds is None or len(steps) < max_rounds):
-        trials = {v: [x for x in keep if x != v] for v in keep if only is None or v in only}
-        got = score(trials) if trials else {}
-        if not got:
-            break
-        gone = max(sorted(got), key=lambda v: got[v])
-        if got[gone] <= best:
+            w = r + INNOVATION_JITTER
+            share = np.concatenate([np.broadcast_to((l[:, iu[0]] * l[:, iu[1]] / w[:, None])[:, None], (len(panels), len(t), len(iu[0]))),
+                                    y[None, :, None] * (l / w[:, None])[:, None]], axis=2)
+            use = np.flatnonzero(panels != series) if less is None else np.arange(len(panels))
+            total[use[:, None], t] += share[use]
+            seen[use[:, None], t] = True
+            if less is not None and series in less:
+                out.append(pd.DataFrame(-share[0], columns=names).assign(panel=series, t=t.astype(np.int32)))
+        for c, panel in enumerate(panels):
+            at = np.flatnonzero(seen[c])
+            out.append(pd.DataFrame(total[c, at], columns=names).assign(panel=panel if less is None else None, t=at.astype(np.int32)))
+        return pd.concat(out)[["panel", "t", *names]]
+
+    size = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread_out = factors.select("panel", "f", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("_b"))
+    part = (rows.select("_b", "series", "t", "y").groupBy("_b").cogroup(spread_out.groupBy("_b"))
+            .applyInPandas(add_up, "panel string, t int, " + ", ".join(f"{c} double" for c in names)))
+    if less is not None:  # sums go to every candidate, a series' own share to its candidate only
+        part = part.withColumn("panel", F.explode(F.when(F.col("panel").isNull(), F.array(*map(F.lit, sorted(less)))).otherwise(F.array("panel"))))
+    cols = [F.sum(c) for c in names]
+    return part.groupBy("panel", "t").agg(F.array(*cols[:len(iu[0])]).alias("j"), F.array(*cols[len(iu[0]):]).alias("h"))
+
+
+def bucketed_rows(m: DataFrame) -> DataFrame:
+    """Gathered series with a bucket for :func:`shared_information`, written once per selection."""
+    size = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(series_rows(m).withColumn("_b", F.pmod(F.xxhash64("series"), F.lit(size)).cast("int")))
+
+
+def warm_fit(rows: DataFrame, parent: DataFrame, state: DataFrame, names: Sequence[str], k: int, n_iter: int, tol: float) -> tuple[DataFrame, int]:
+    """Models without one of ``names`` each, by EM that goes on from the ``parent`` model's factors
+    and ``state`` until no model's parameters move by ``tol`` (at most ``n_iter`` times).
+    Returns the last scan, written, and the number of iterations."""
+    state = state.drop("panel").withColumn("panel", F.explode(F.array(*map(F.lit, names)))).select("panel", "n_t", "a", "q", "x0", "p0")
+    scan, done = None, 0
+    while done < n_iter:
+        info = shared_information(rows, parent, k, names) if scan is None else shared_information(rows, _factor_rows(scan), k)
+        moved = Observation()
+        new = cut_lineage(_scan(info, state, k).observe(moved, F.max("moved").alias("moved")))
+        if scan is not None:
+            discard(scan)
+        scan, state, done = new, next_state(new), done + 1
+        if (moved.get["moved"] or 0.0) < tol:
             break
-        keep.remove(gone)
-        best = got[gone]
-        steps.append((gone, best[0], -best[1], -best[2]))
-    return keep, steps
+    return scan, done
+
+
+class Selection:
+    """Greedy removal of predictors from one standardised panel, shared by all rounds and blocks.
+
+    A parent model is fitted in full per factor count; a round continues all its candidates
+    from the parent (:func:`warm_fit`), and the winner's models are the next parents. Dates are
+    those of the full panel throughout. Names, scores and one number per iteration reach the driver."""
+
+    def __init__(self, obs: DataFrame, target: str, predictors: Sequence[str], k: int | Sequence[int], train_end: str, oos_start: str,
+                 oos_end: str, n_iter: int = DEFAULT_ITERATIONS, tol: float = SELECTION_TOLERANCE):
+        self.target, self.keep, self.steps = target, sorted(predictors), []
+        self.grid = [k] if isinstance(k, int) else sorted(k)
+        self.days, self.n_iter, self.tol = (train_end, oos_start, oos_end), n_iter, tol
+        obs = cut_lineage(obs.filter(F.col("series").isin([target, *self.keep])).select(F.lit("").alias("panel"), "series", "ts", "value"))
+        z, scale = _standardised(obs, target, oos_end, oos_end)
+        self.mean, self.std = scale.filter(F.col("series") == target).select("_m", "_s").first() or (0.0, 1.0)
+        self.goal = obs.filter(F.col("series") == target).select("ts", "value")
+        self.seen: dict[str, tuple] = {}  # scores of candidates of the present parent
+        self.fits: dict[str, dict[int, DataFrame]] = {}
+        fits = self._each([kk for kk in self.grid if kk < len(self.keep) + 1], lambda kk: fit_dfm(z, kk, n_iter))
+        self.models = {kk: (fit["factors"], fit["state"]) for kk, fit in fits.items()}
+        for fit in list(fits.values())[:1]:
+            self.rows, self.stamps = bucketed_rows(fit["panel"]), _stamps(fit["panel"], "W-FRI").drop("panel")
+        self.best = max(((*s, -kk) for kk, (f, _) in self.models.items() for s in self._scores(f, kk).values()), default=None)
+
+    @staticmethod
+    def _each(counts: Sequence[int], fit: Callable) -> dict:
+        """``fit`` of each factor count; their jobs are small and run side by side."""
+        if len(counts) < 2:
+            return {kk: fit(kk) for kk in counts}
+        with ThreadPoolExecutor(len(counts)) as pool:
+            return dict(zip(counts, pool.map(fit, counts)))
+
+    def _scores(self, factors: DataFrame, k: int) -> dict[str, tuple[float, float]]:
+        """(hit rate, -RMSE) per model from its factors and the target's loadings on them."""
+        from tidepanel.operators.nowcast import nowcast_metrics
+
+        own = self.rows.filter(F.col("series") == self.target).select("t", "y")
+        dates = F.transform(F.sequence(F.lit(0), F.size("f") - 1, F.lit(k)), lambda i: F.slice("f", i + 1, k))
+        factors = factors.select("panel", F.posexplode(dates).alias("t", "f"))
+        prod = factors.join(own.select(F.explode(F.arrays_zip("t", "y")).alias("o")).select("o.t", "o.y"), "t")
+        f = [F.get("f", F.lit(i)) for i in range(k)]
+        prod = prod.groupBy("panel").agg(F.count("y").alias("n"), F.array(*[F.sum(f[a] * f[b]) for a in range(k) for b in range(a, k)]).alias("ff"),
+                                         F.array(*[F.sum(x * F.col("y")) for x in f]).alias("fy"), F.array(*[F.sum(x) for x in f]).alias("f"),
+                                         F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+        load = solve_loadings(prod, k).filter(F.col("l").isNotNull())
+        now = (factors.join(load.select("panel", "l"), "panel").join(self.stamps, "t")
+               .select("panel", "ts", (dot(F.col("f"), F.col("l")) * self.std + self.mean).alias("value")))
+        return _scores(nowcast_metrics(now, self.goal, *self.days))
+
+    def round(self, only: Sequence[str] | None = None, ahead: Sequence[str] = ()) -> bool:
+        """Remove the predictor whose removal raises the score most; False if none does.
+        Candidates ``ahead`` are fitted along and need no job of their own while the parent stays."""
+        trials = [v for v in self.keep if only is None or v in only]
+        if self.best is None or len(self.keep) < 2 or not trials:
+            return False
+        fresh = [v for v in self.keep if (v in trials or v in ahead) and v not in self.fits]
+        if not self.fits.keys() >= set(trials):
+            def fit(kk: int) -> tuple[DataFrame, dict]:
+                scan, _ = warm_fit(self.rows, *self.models[kk], fresh, kk, self.n_iter, self.tol)
+                return scan, self._scores(_factor_rows(scan), kk)
+            got = self._each([kk for kk in self.models if kk < len(self.keep)], fit)
+            for v in fresh:
+                self.fits[v] = {kk: scan for kk, (scan, _) in got.items()}
+                self.seen[v] = max(((*scores[v], -kk) for kk, (_, scores) in got.items() if v in scores), default=None)
+        found = {v: self.seen[v] for v in trials if self.seen[v] is not None}
+        gone = max(sorted(found), key=found.get, default=None)
+        if gone is None or found[gone] <= self.best:
+            return False
+        self.keep.remove(gone)
+        self.best = found[gone]
+        self.steps.append((gone, self.best[0], -self.best[1], -self.best[2]))
+        self.rows = cut_lineage(self.rows.filter(F.col("series") != gone))
+        self.models = {}
+        for kk, scan in self.fits[gone].items():
+            mine = cut_lineage(scan.filter((F.col("panel") == gone) & (F.col("t") == -1)))
+            self.models[kk] = _factor_rows(mine), next_state(mine)
+        for scan in {id(d): d for f in self.fits.values() for d in f.values()}.values():
+            discard(scan)
+        self.fits, self.seen = {}, {}
+        return True
+
+    def run(self, only: Sequence[str] | None = None, max_rounds: int | None = None, ahead: Sequence[str] = ()) -> list[tuple]:
+        """Rounds until nothing improves; the removals with score and factor count."""
+        before = len(self.steps)
+        while (max_rounds is None or len(self.steps) - before < max_rounds) and self.round(only, ahead):
+            pass
+        return self.steps[before:]
+
+
+def backward_select(obs: DataFrame, target: str, predictors: Sequence[str], k: int | Sequence[int], train_end: str, oos_start: str,
+                    oos_end: str, n_iter: int = DEFAULT_ITERATIONS, max_rounds: int | None = None, only: Sequence[str] | None = None,
+                    tol: float = SELECTION_TOLERANCE) -> tuple[list[str], list[tuple]]:
+    """Greedy removal of predictors of ``obs(series, ts, value)`` by (hit rate, -RMSE), with several
+    factor counts ``k`` by (hit rate, -RMSE, -k). Returns the kept predictors and the removals with
+    score and factor count; ``only`` limits what may go."""
+    s = Selection(obs, target, predictors, k, train_end, oos_start, oos_end, n_iter, tol)
+    s.run(only, max_rounds)
+    return s.keep, s.steps
 
 
 def backward_select_blocks(obs: DataFrame, target: str, blocks: dict[str, Sequence[str]], k: int | Sequence[int], train_end: str,
-                           oos_start: str, oos_end: str, n_iter: int = DEFAULT_ITERATIONS,
-                           max_rounds: int | None = None) -> tuple[list[str], dict[str, list]]:
+                           oos_start: str, oos_end: str, n_iter: int = DEFAULT_ITERATIONS, max_rounds: int | None = None,
+                           tol: float = SELECTION_TOLERANCE) -> tuple[list[str], dict[str, list]]:
     """Backward selection block after block, each against all predictors still
     in; returns the kept predictors and the removals per block."""
-    keep = sorted({v for members in blocks.values() for v in members})
+    s = Selection(obs, target, sorted({v for members in blocks.values() for v in members}), k, train_end, oos_start, oos_end, n_iter, tol)
     log = {}
     for block in sorted(blocks):
-        members = [v for v in blocks[block] if v in keep]
+        members = [v for v in blocks[block] if v in s.keep]
         if members:
-            keep, log[block] = backward_select(obs, target, keep, k, train_end, oos_start, oos_end, n_iter, max_rounds, members)
-    return keep, log
+            log[block] = s.run(members, max_rounds, [v for later in blocks if later > block for v in blocks[later]])
+    return s.keep, log
