@@ -41,13 +41,14 @@ THRESHOLD = 0.7
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int = PER_CLASS,
                     fit_bytes: int = FIT_BYTES) -> DataFrame:
     """``doc_id, y, text`` of up to ``per_class`` rows of each class, picked by hash of the
-    id; at most 2 * ``per_class`` rows, so the picked ids may be broadcast."""
+    id; at most 2 * ``per_class`` rows, so the picked ids may be broadcast. Of several texts
+    with one id the first in byte order counts."""
     known = (labels.filter(train & F.col(label).isin(0, 1)).groupBy("doc_id")
              .agg(F.min(label).alias("y"), F.max(label).alias("_max")).filter("y = _max").select("doc_id", "y"))
     order = (F.xxhash64("doc_id"), "doc_id")
     picked = known.filter("y = 0").orderBy(*order).limit(per_class).union(known.filter("y = 1").orderBy(*order).limit(per_class))
     texts = docs.select("doc_id", text_bytes().alias("text")).filter(F.octet_length("text") <= fit_bytes)
-    return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:

@@ -1,24 +1,30 @@
 """Counterfactual-regularised toxicity classifier (operator 8).
 
-A logistic model over word and word-stem features of a whole document. Features are chosen
-by aggregate counts: those whose document frequency is higher in toxic text beyond chance. The fit adds a penalty on counterfactuals: in every labelled text that mentions an
-identity term, the term is swapped for each other term of its family, and the squared change
-of the score's logit is penalised. Mentions of a group then carry no weight of their own, so
-neutral mentions are not flagged.
+A logistic model over word and word-stem features of a whole document. Features are chosen by
+aggregate counts: those whose document frequency is higher in toxic text beyond chance, and every
+form of every identity term. The fit adds a penalty on counterfactuals made from the labelled
+sentences: where a sentence mentions an identity term, the same form of each other term of its
+family takes the place; where it mentions none, a term picked by the sentence's hash is put in,
+against the sentence as it was and against each other term of the family. The squared change of the
+logit is penalised, as a mean over all such pairs times the number of labelled rows, so there are
+penalty rows for any labelled text, mentions of a group carry no weight of their own, and neutral
+mentions are not flagged. ``TERMS`` is the default table of families; any other can be given.
 
 The fit sees a bounded sample, ``PER_CLASS`` labelled rows of each class and texts up to
 ``FIT_BYTES`` (parameters); scoring reads every whole text once, without a shuffle.
 
 Edge cases: a NULL text is an empty one; empty texts get the base rate; a NULL ``doc_id`` is
-scored and not held out; repeated rows are scored each; labels other than 0 and 1, or
-contradicting ones, are not learned from; without labels of both classes every score is the
+scored and not held out; repeated rows are scored each; labels other than 0 and 1 are not learned
+from, nor are ids or texts with contradicting ones; equal texts count once in the fit; without labels of both classes every score is the
 share of label 1 (0.5 without any, and then nothing is flagged: 0.5 becomes 0.49).
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +35,26 @@ from tidepanel.llm.quality_classifier import labelled_sample, logistic
 
 PER_CLASS = 4000
 FIT_BYTES = 32_768
-FEATURES = 1024
 MIN_Z = 5.0
 MIN_DOCS = 5
 RIDGE = 0.005
 STEM = 5
 PENALTY = 10.0
 THRESHOLD = 0.5
-# Families of identity terms that are swapped for one another.
-IDENTITY: tuple[tuple[str, ...], ...] = (
-    ("women", "men", "girls", "boys", "transgender"),
-    ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "arab", "african", "european"),
-    ("gay", "lesbian", "straight", "bisexual", "queer"),
-    ("immigrants", "refugees", "natives", "foreigners"),
-    ("femmes", "hommes"), ("chrétiens", "musulmans", "juifs"),
-    ("frauen", "männer"), ("christen", "muslime", "juden"),
-    ("mujeres", "hombres"), ("cristianos", "musulmanes", "judíos"),
+# Families of identity terms, each term by its forms (same place, same kind of form).
+TERMS: tuple[tuple[tuple[str, ...], ...], ...] = (
+    (("woman", "women", "female"), ("man", "men", "male"), ("girl", "girls", "female"), ("boy", "boys", "male")),
+    (("christian", "christians", "christianity"), ("muslim", "muslims", "islam"), ("jew", "jews", "judaism"), ("jewish", "jewish", "judaism"),
+     ("hindu", "hindus", "hinduism"), ("buddhist", "buddhists", "buddhism"), ("atheist", "atheists", "atheism")),
+    (("black", "blacks", "african"), ("white", "whites", "european"), ("asian", "asians", "asian"), ("latino", "latinos", "latino"), ("arab", "arabs", "arab")),
+    (("gay", "gays", "homosexual"), ("lesbian", "lesbians", "lesbian"), ("straight", "straights", "heterosexual"), ("bisexual", "bisexuals", "bisexual"),
+     ("transgender", "transgender", "trans"), ("queer", "queers", "queer")),
+    (("immigrant", "immigrants", "migrant"), ("refugee", "refugees", "refugee"), ("native", "natives", "native"), ("foreigner", "foreigners", "foreign")),
+    (("femme", "femmes"), ("homme", "hommes")), (("chrétien", "chrétiens"), ("musulman", "musulmans"), ("juif", "juifs")),
+    (("frau", "frauen"), ("mann", "männer")), (("christ", "christen"), ("muslim", "muslime"), ("jude", "juden")),
+    (("mujer", "mujeres"), ("hombre", "hombres")), (("cristiano", "cristianos"), ("musulmán", "musulmanes"), ("judío", "judíos")),
 )
+_SENTENCES = re.compile(rb"[.!?\n]+").split
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -59,21 +67,34 @@ def stems(found: set[str], size: int = STEM) -> set[str]:
     return found | {"^" + w[:size] for w in found if len(w) > size}
 
 
-def swaps(found: set[str], families: Sequence[Sequence[str]] = IDENTITY) -> list[set[str]]:
-    """The words with each mentioned identity term replaced by each other of its family."""
-    out = []
+def counterfactuals(sentence: bytes, families: Sequence = TERMS) -> list[tuple[set[str], set[str]]]:
+    """Pairs of word sets that differ in an identity term only."""
+    found, out = words(sentence), []
+    if not found or not families:
+        return out
     for family in families:
         for term in family:
-            if term in found:
-                out += [(found - {term}) | {other} for other in family if other != term]
+            for form, word in enumerate(term):
+                if word in found:
+                    out += [(found, found - {word} | {other[form]}) for other in family if other[form] not in found]
+    if not out:
+        h = crc32(sentence)
+        family = families[h % len(families)]
+        term = family[h // len(families) % len(family)]
+        form = h // 1009 % len(term)
+        made = found | {term[form]}
+        out = [(found, made), *((made, found | {other[form]}) for other in family if other[form] != term[form])]
     return out
 
 
-def choose(sample: DataFrame, totals: dict[int, int], most: int = FEATURES, min_z: float = MIN_Z, min_docs: int = MIN_DOCS,
-           families: Sequence[Sequence[str]] = IDENTITY) -> dict[str, float]:
+def all_terms(families: Sequence = TERMS) -> list[str]:
+    return sorted({word for family in families for term in family for word in term})
+
+
+def choose(sample: DataFrame, totals: dict[int, int], min_z: float = MIN_Z, min_docs: int = MIN_DOCS, families: Sequence = TERMS) -> dict[str, float]:
     """Features whose share of documents is higher under label 1 by ``min_z`` standard errors,
-    and the identity terms that occur; at most ``most`` and the families' terms. The value of
-    a feature is its log odds ratio (at least 0.5), so strong words need little weight."""
+    and all forms of the identity terms. The value of a feature is its log odds ratio (at least
+    0.5), so strong words need little weight. The sample is bounded, so their number is."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, ys = [], []
@@ -89,35 +110,37 @@ def choose(sample: DataFrame, totals: dict[int, int], most: int = FEATURES, min_
     share = F.col("n") / (n1 + n0)
     z = (F.col("a") / n1 - (F.col("n") - F.col("a")) / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + F.lit(1e-12))
     counts = cut_lineage(counts.filter(F.col("n") >= min_docs).withColumn("z", z))
-    terms = [t for f in families for t in f]
+    terms = all_terms(families)
     odds = F.greatest(F.lit(0.5), F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("a") + 0.5) / (n0 + 1)))
-    counts = counts.select("name", "z", odds.alias("odds"))
-    top = counts.filter(F.col("z") >= min_z).orderBy(F.desc("z"), "name").limit(most).collect()
-    return {r["name"]: r["odds"] for r in sorted([*counts.filter(F.col("name").isin(terms)).collect(), *top])}
+    counts = counts.filter((F.col("z") >= min_z) | F.col("name").isin(terms)).select("name", odds.alias("odds"))
+    got = dict.fromkeys(terms, 0.5) | {r["name"]: r["odds"] for r in counts.collect()}
+    return dict(sorted(got.items()))
 
 
-def fit(rows: list[tuple[int, bytes]], names: dict[str, float], share: float, penalty: float = PENALTY,
-        families: Sequence[Sequence[str]] = IDENTITY) -> np.ndarray:
-    """Weights [base, *names]: weighted logistic loss plus the counterfactual penalty."""
+def fit(rows: list[tuple[int, bytes]], names: dict[str, float], share: float, pairs: dict[tuple[tuple[str, ...], tuple[str, ...]], int],
+        penalty: float = PENALTY) -> np.ndarray:
+    """Weights [base, *names]: weighted logistic loss plus the counterfactual penalty. ``pairs``
+    counts the counterfactuals by the features that one side has and the other lacks."""
     at = {n: i + 1 for i, n in enumerate(names)}
-
-    def vector(found: set[str]) -> np.ndarray:
-        v = np.zeros(len(names) + 1)
-        v[0] = 1
-        for f in stems(found):
+    x = np.zeros((len(rows), len(names) + 1))
+    x[:, 0] = 1
+    for i, (_, t) in enumerate(rows):
+        for f in stems(words(t)):
             if f in at:
-                v[at[f]] = names[f]
-        return v
-
-    x = np.stack([vector(words(t)) for _, t in rows])
+                x[i, at[f]] = names[f]
     y = np.array([k for k, _ in rows], float)
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
-    change = [vector(words(t)) - vector(s) for _, t in rows for s in swaps(words(t), families)]
+    change = np.zeros((len(pairs), len(names) + 1))
+    for i, (gone, come) in enumerate(pairs):
+        for sign, side in ((-1, gone), (1, come)):
+            for f in side:
+                change[i, at[f]] += sign * names[f]
     w = logistic(x, y, weight, ridge=RIDGE)
-    if not change or not penalty:
+    if not pairs or not penalty:
         return w
     # One more set of rows: the penalty is a quadratic form in the weights, so Newton steps keep their shape.
-    form = penalty * np.stack(change).T @ np.stack(change)
+    many = np.array(list(pairs.values()), float)
+    form = penalty * len(rows) / many.sum() * (change.T * many) @ change
     ridge = np.full(len(w), RIDGE * weight.sum() / len(y))
     ridge[0] = 1e-9
     for _ in range(50):
@@ -132,19 +155,20 @@ def fit(rows: list[tuple[int, bytes]], names: dict[str, float], share: float, pe
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, threshold: float = THRESHOLD,
-          per_class: int = PER_CLASS, fit_bytes: int = FIT_BYTES, penalty: float = PENALTY) -> DataFrame:
+          per_class: int = PER_CLASS, fit_bytes: int = FIT_BYTES, penalty: float = PENALTY, families: Sequence = TERMS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document. Labels of documents whose
     fold is ``held`` are never used."""
     train = fold("doc_id", folds) != held
-    sample = cut_lineage(labelled_sample(docs, labels, label, train, per_class, fit_bytes).dropDuplicates(["text"]))
+    sample = labelled_sample(docs, labels, label, train, per_class, fit_bytes)
+    sample = cut_lineage(sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("y").alias("y"), F.max("y").alias("_max")).filter("y = _max").select("doc_id", "y", "text"))
     totals = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
     share = labels.filter(train).agg(F.avg(F.when(F.col(label).isin(0, 1), F.col(label)))).first()[0]
     share = min(max(0.49 if share is None else float(share), 0.001), 0.999)
     if len(totals) < 2:
         names, w = {}, np.array([np.log(share / (1 - share))])
     else:
-        names = choose(sample, totals)
-        w = _fit_on(sample, names, share, penalty)
+        names = choose(sample, totals, families=families)
+        w = fit(_rows(sample, names), names, share, penalty_pairs(sample, names, families), penalty)
     weights = {n: v * x for (n, v), x in zip(names.items(), w[1:].tolist())}
     stem = {n for n in names if n.startswith("^")}
     whole = set(names) - stem
@@ -166,9 +190,9 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def _fit_on(sample: DataFrame, names: dict[str, float], share: float, penalty: float) -> np.ndarray:
-    """Fit on the sample's rows cut down, on Spark, to the words the features need."""
-    plain = {n for n in names if not n.startswith("^")} | {t for f in IDENTITY for t in f}
+def _rows(sample: DataFrame, names: dict[str, float]) -> list[tuple[int, bytes]]:
+    """The sample's rows cut down, on Spark, to the words the features need."""
+    plain = {n for n in names if not n.startswith("^")}
     stem = {n[1:] for n in names if n.startswith("^")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,5 +201,21 @@ def _fit_on(sample: DataFrame, names: dict[str, float], share: float, penalty: f
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary())], ["doc_id", "y", "text"])
 
     small = sample.select("doc_id", F.col("y").cast("int"), "text").mapInArrow(run, "doc_id long, y int, text binary")
-    rows = sorted((r[0], r[1], bytes(r[2])) for r in small.collect())  # 2 * per_class rows at most
-    return fit([(y, t) for _, y, t in rows], names, share, penalty)
+    return [(y, t) for _, y, t in sorted((r[0], r[1], bytes(r[2])) for r in small.collect())]  # 2 * per_class rows at most
+
+
+def penalty_pairs(sample: DataFrame, names: dict[str, float], families: Sequence = TERMS) -> dict[tuple, int]:
+    """Counterfactual pairs of all sentences of the sample, counted by the features in which the
+    two sides differ: a few per pair of terms, whatever the number of sentences."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: Counter = Counter()
+            for t in b.column(0).to_pylist():
+                for sentence in _SENTENCES(t):
+                    for one, other in counterfactuals(sentence, families):
+                        one, other = stems(one) & names.keys(), stems(other) & names.keys()
+                        counts[" ".join(sorted(one - other)), " ".join(sorted(other - one))] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in counts], pa.string()) for i in (0, 1)] + [pa.array(list(counts.values()), pa.int64())], ["gone", "come", "n"])
+
+    got = sample.select("text").mapInArrow(run, "gone string, come string, n long").groupBy("gone", "come").agg(F.sum("n").alias("n"))
+    return {(tuple(g.split()), tuple(c.split())): n for g, c, n in sorted(map(tuple, got.collect()))}
