@@ -33,7 +33,6 @@ those of other languages.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -124,10 +123,6 @@ def text_evidence(text: bytes, table: np.ndarray, floor: np.ndarray) -> tuple[np
     return ll, ((e / e.sum(1, keepdims=True)) * length[:, None]).sum(0)[:n] / len(x)
 
 
-def _array(values: Sequence[Column]) -> Column:
-    return F.array(*values)
-
-
 def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", suffix: Column | None = None, host: Column | None = None,
              keep: Sequence[str] = ("doc_id",), languages: Sequence[str] = LANGUAGES) -> DataFrame:
     """The columns ``keep``, then ``declared, language, confidence, text_language,
@@ -172,41 +167,58 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     by_host = seen.filter("_host is not null").groupBy("_host", "_suffix").agg(*votes)
     sums = [overall[i] or 0 for i in range(n + 1)]
 
-    def own(i: int) -> Column:
-        return F.coalesce((F.col("_vote") == i).cast("long"), F.lit(0))
-
     def renamed(df: DataFrame, mark: str) -> DataFrame:
         return df.select(*(F.col(c).alias(f"_of{c}") for c in df.columns if c in ("_host", "_suffix")), *(F.col(f"v{i}").alias(f"{mark}{i}") for i in range(n + 1)))
 
     s, h = renamed(by_suffix, "s"), renamed(by_host, "h").withColumnRenamed("_of_suffix", "_host_suffix")
     joined = join_checked(seen, s, F.col("_suffix") == F.col("_of_suffix"), "left", HOSTS)
     joined = join_checked(joined, h, (F.col("_host") == F.col("_of_host")) & F.col("_suffix").eqNullSafe(F.col("_host_suffix")), "left", HOSTS)
-    less = lambda mark, i: F.greatest(F.coalesce(F.col(f"{mark}{i}"), F.lit(0)) - own(i), F.lit(0)).cast("double")
-    sn, hn = reduce(Column.__add__, [less("s", i) for i in range(n)]), reduce(Column.__add__, [less("h", i) for i in range(n)])
-    at_suffix = [(less("s", i) + F.lit(KAPPA * prior[i])) / (sn + KAPPA) for i in range(n)]
-    at_host = [(less("h", i) + F.lit(KAPPA) * at_suffix[i]) / (hn + KAPPA) for i in range(n)]
-    # OTHER against all languages together, smoothed likewise.
-    other_at_suffix = (less("s", n) + KAPPA * strange) / (sn + less("s", n) + KAPPA)
-    other_at_host = (less("h", n) + F.lit(KAPPA) * other_at_suffix) / (hn + less("h", n) + KAPPA)
-    # log P(suffix | language) up to what all languages share.
-    from_suffix = [F.when(F.col("_suffix").isNull(), F.lit(0.0)).otherwise(F.log((less("s", i) + KAPPA * p) / (F.lit(float(sums[i])) + KAPPA))) for i, p in enumerate([*prior, strange])]
-    from_declared = [F.when(F.col("_declared").isNull(), F.lit(0.0)).otherwise(
-        reduce(lambda c, d: c.when(F.col("_declared") == d, F.lit(said[d][i])), languages, F.when(F.lit(False), F.lit(0.0))).otherwise(F.lit(said["?"][i]))) for i in range(n + 1)]
-    here = [*(F.log(x) for x in at_host), F.log(other_at_host / (1 - other_at_host))]
-    score = [F.col("_ll")[i] + from_declared[i] + here[i] + (from_suffix[i] if host is None else F.lit(0.0)) for i in range(n + 1)]
-    scored = joined.withColumn("_score", _array(score))
-    top = F.array_max("_score")
-    expo = F.transform("_score", lambda x: F.exp(x - top))
-    whole = lambda c: F.aggregate(c, F.lit(0.0), lambda a, y: a + y)
-    known = F.slice("_score", 1, n)
-    scored = scored.withColumn("_e", expo).withColumn("_all", F.transform("_e", lambda x: x / whole("_e")))
-    scored = scored.withColumn("_k", F.transform(known, lambda x: F.exp(x - F.array_max(known)))).withColumn("posterior", F.transform("_k", lambda x: x / whole("_k")))
+    known = F.array(*map(F.lit, languages))
+    spoken = F.when(F.col("_declared").isNull(), F.lit(-1)).otherwise(F.coalesce(F.nullif(F.array_position(known, F.col("_declared")).cast("int"), F.lit(0)), F.lit(n + 1)) - 1)
+    counts = [F.array(*(F.coalesce(F.col(f"{mark}{i}"), F.lit(0)).cast("double") for i in range(n + 1))) for mark in "sh"]
+    said = np.array([*(said[d] for d in (*languages, "?")), [0.0] * (n + 1)])
+    decide = _decide(languages, np.array(prior), strange, np.array(sums, float), said, host is None)
     names = F.array(*map(F.lit, [*languages, OTHER]))
-    pick = F.array_position("_all", F.array_max("_all")).cast("int")
-    share = F.when(pick <= n, F.element_at("_share", F.least(pick, F.lit(n)))).otherwise(1.0)
-    return scored.select(*keep, F.col("_declared").alias("declared"), F.element_at(names, pick).alias("language"), (F.array_max("_all") * share).alias("confidence"),
-                         F.when(F.col("_vote").isNotNull(), F.element_at(names, F.col("_vote") + 1)).alias("text_language"), "posterior",
-                         F.element_at("_all", n + 1).alias("other"))
+    found = decide("_ll", "_share", F.coalesce("_vote", F.lit(-1)), spoken, F.col("_suffix").isNotNull(), *counts)
+    scored = joined.withColumn("_found", found)
+    return scored.select(*keep, F.col("_declared").alias("declared"), F.col("_found.language").alias("language"), F.col("_found.confidence").alias("confidence"),
+                         F.when(F.col("_vote").isNotNull(), F.element_at(names, F.col("_vote") + 1)).alias("text_language"),
+                         F.col("_found.posterior").alias("posterior"), F.col("_found.other").alias("other"))
+
+
+def _decide(languages: Sequence[str], prior: np.ndarray, strange: float, sums: np.ndarray, said: np.ndarray, by_suffix: bool):
+    """The fused decision as one Arrow function of the small columns of a row: text evidence,
+    vote, declared language and leave-one-out counts of suffix and host."""
+    n = len(languages)
+
+    def rows(x: pa.Array, size: int) -> np.ndarray:
+        return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+    def decide(ll: pa.Array, share: pa.Array, vote: pa.Array, spoken: pa.Array, has_suffix: pa.Array, s: pa.Array, h: pa.Array) -> pa.Array:
+        vote = vote.to_numpy(zero_copy_only=False)
+        own = np.arange(n + 1) == vote[:, None]
+        s, h = (np.maximum(rows(x, n + 1) - own, 0.0) for x in (s, h))
+        sn, hn = s[:, :n].sum(1), h[:, :n].sum(1)
+        at_suffix = (s[:, :n] + KAPPA * prior) / (sn + KAPPA)[:, None]
+        at_host = (h[:, :n] + KAPPA * at_suffix) / (hn + KAPPA)[:, None]
+        # OTHER against all languages together, smoothed likewise.
+        other = (s[:, n] + KAPPA * strange) / (sn + s[:, n] + KAPPA)
+        other = (h[:, n] + KAPPA * other) / (hn + h[:, n] + KAPPA)
+        score = rows(ll, n + 1) + said[spoken.to_numpy(zero_copy_only=False)] + np.column_stack([np.log(at_host), np.log(other / (1 - other))])
+        if by_suffix:  # log P(suffix | language) up to what all languages share
+            score = score + np.where(has_suffix.to_numpy(zero_copy_only=False)[:, None], np.log((s + KAPPA * np.append(prior, strange)) / (sums + KAPPA)), 0.0)
+        whole, known = (np.exp(x - x.max(1, keepdims=True)) for x in (score, score[:, :n]))
+        whole, known = (x / x.sum(1, keepdims=True) for x in (whole, known))
+        pick = whole.argmax(1)
+        part = np.column_stack([rows(share, n), np.ones(len(pick))])
+        line = np.arange(len(pick))
+        posterior = pa.ListArray.from_arrays(pa.array(np.arange(len(pick) + 1, dtype=np.int32) * n), pa.array(known.ravel()))
+        return pa.StructArray.from_arrays(
+            [pa.array(np.array([*languages, OTHER], object)[pick], pa.string()), pa.array(whole[line, pick] * part[line, pick]), posterior, pa.array(whole[:, n])],
+            ["language", "confidence", "posterior", "other"])
+
+    # Not to be moved or repeated by filters on what it finds.
+    return F.arrow_udf(decide, "language string, confidence double, posterior array<double>, other double").asNondeterministic()
 
 
 def host_of(url: str) -> Column:
