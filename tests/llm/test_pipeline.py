@@ -67,3 +67,21 @@ def test_clashing_columns_nulls_and_empty_tables(docs_of):
 
 def test_packing_checks_the_right_texts(documents):
     check(packing.pack(documents.limit(30), cp.tokenizer_path()).collect(), {r.doc_id: r.text for r in documents.limit(30).collect()}, packing.SIZE)
+
+
+def test_helper_names_do_not_clash(spark):
+    """Rows with every name the stages use inside, repeated ids and rows that differ elsewhere only."""
+    from tidepanel.llm import jaccard_join, mixing
+
+    text = " ".join(f"w{i}" for i in range(40))
+    names = ("_unit", "_take", "_nth", "_again", "unit", "copies", "rows", "row", "id", "words", "nth", "again")
+    rows = [(1, text, "s", *"a" * len(names)), (1, text, "s", *"b" * len(names)), (2, text, "s", *"c" * len(names)), (3, "other words", None, *"d" * len(names)),
+            (None, "no id", "t", *"e" * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for made in (mixing.take(docs, most=1.0), jaccard_join.one_of_each(docs)):
+        assert made.columns == docs.columns
+        got = made.collect()
+        assert {tuple(r) for r in got} <= set(rows)
+        first = [tuple(r) for r in got if r.doc_id == 1]
+        assert first and set(first) == {rows[0]}
+    assert sorted(r._unit for r in jaccard_join.one_of_each(docs).collect()) == ["a", "d", "e"]

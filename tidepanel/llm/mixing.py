@@ -182,7 +182,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text"
              .withColumn("_rate", F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
              .withColumn("_rate", F.when(F.abs(F.col("_rate") - F.round("_rate")) < EPS, F.round("_rate")).otherwise(F.col("_rate")))
              .withColumns({"_whole": F.floor("_rate").cast("int"), "_x": F.col("_rate") - F.floor("_rate")}).drop("_rate"))
-    blocks = max(1, math.ceil(sized.count() / block))
+    blocks, sources = max(1, math.ceil(sized.count() / block)), max(1, goal.count())
     level = units.withColumn("_block", F.pmod(F.xxhash64(F.col("unit"), F.lit(seed)), F.lit(blocks)).cast("long"))
     schema = level.schema
     keys: tuple[str, ...] = ("_block",)
@@ -192,7 +192,8 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text"
         last = blocks == 1
         depth += 1
 
-        flown = cut_lineage(level.groupBy(*keys).applyInArrow(_fly(seed, depth, last), schema))
+        groups = blocks if depth == 1 else blocks * sources  # AQE must not fold them: the work per group is not in its bytes
+        flown = cut_lineage(level.repartition(groups, *keys).groupBy(*keys).applyInArrow(_fly(seed, depth, last), schema))
         open_ = (F.col("_x") > 0) & (F.col("_x") < 1)
         closed = flown.filter(~open_)
         done = closed if done is None else done.unionByName(closed)
@@ -208,11 +209,16 @@ def take(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with its own columns.
 
     The mix is decided on ids, sizes and row hashes; texts meet the result in one join, a
-    broadcast while the decisions are few. Equal rows share a hash and their copies add up."""
-    unit = F.xxhash64("doc_id", "source", text)
-    taken = (mix(docs, text=text, **options).groupBy("unit").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-             .filter("copies > 0").select(F.col("unit").alias("_unit"), F.struct("copies", "rows").alias("_take")))
-    found = join_checked(docs.withColumn("_unit", unit), taken, "_unit")
-    if not taken.filter("_take.rows > 1").isEmpty():
-        found = found.filter("_take.rows = 1").unionByName(found.filter("_take.rows > 1").dropDuplicates(["_unit"]))
-    return found.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_take.copies").cast("int")))).select(*docs.columns)
+    broadcast while the decisions are few. Rows of equal id, source and text share their copies,
+    which add up; the first of them by its JSON text stands for all. The rows travel in one struct,
+    so no column's name can clash."""
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("doc_id", "source", text).alias("unit"), "doc_id", "source")
+    taken = (mix(docs, text=text, **options).groupBy("unit", "doc_id", "source").agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("rows"))
+             .filter("copies > 0").select(*(F.col(c).alias(f"_{c}") for c in ("unit", "doc_id", "source")), "copies", "rows"))
+    same = (F.col("unit") == F.col("_unit")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    taken = cut_lineage(taken)
+    found = join_checked(held, taken, same).select("row", "unit", "doc_id", "source", "copies", "rows")
+    if not taken.filter("rows > 1").isEmpty():
+        one = found.filter("rows > 1").groupBy("unit", "doc_id", "source", "copies", "rows").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        found = found.filter("rows = 1").unionByName(one)
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth")).select("row.*")
