@@ -120,7 +120,7 @@ def blocks(docs: DataFrame, ranges: int, text: str = "text", width: int = WIDTH,
                 order = np.argsort(keys)
                 keys, owner = keys[order], owner[order]
                 edge = np.concatenate([[0], np.searchsorted(keys, firsts), [len(keys)]])
-                for r in range(ranges):
+                for r in np.flatnonzero(np.diff(edge)).tolist():  # ranges that hold keys
                     a, b = int(edge[r]), int(edge[r + 1])
                     if b > a:
                         used, at = np.unique(owner[a:b], return_inverse=True)
@@ -187,14 +187,14 @@ def shared_keys(t: pa.Table) -> pa.Table:
     group = np.cumsum(new_key) - 1
     freq = np.bincount(group)[group] if len(group) else np.zeros(0, np.int64)
     keep = freq > 1
-    order, k, freq = order[keep], k[keep], np.minimum(freq[keep], 65535).astype("<u2")
+    order, k, freq = order[keep], k[keep], freq[keep]
     out = []
     by_block = np.argsort(at[order], kind="stable")
     edge = np.searchsorted(at[order][by_block], np.arange(t.num_rows + 1))
     for i, block in enumerate(t.column("block").to_pylist()):
         pick = by_block[edge[i]:edge[i + 1]]
         if len(pick):
-            out.append((block, _deltas(k[pick]), owner[order[pick]].astype("<u4").tobytes(), freq[pick].tobytes()))
+            out.append((block, _deltas(k[pick]), owner[order[pick]].astype("<u4").tobytes(), squeeze(freq[pick])))
     rng = t.column("rng")[0].as_py()
     cols = list(zip(*out)) or [(), (), (), ()]
     arrays = [pa.array(cols[0], pa.int64()), pa.array([rng] * len(out), pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])]
@@ -218,7 +218,7 @@ def _gather(percent: int, subset: int):
         parts = [r for r in rows if r["rng"] >= 0]
         owner = np.concatenate([np.frombuffer(r["owners"], "<u4") for r in parts]) if parts else np.zeros(0, np.uint32)
         keys = np.concatenate([_undeltas(r["keys"]) for r in parts]) if parts else np.zeros(0, np.uint64)
-        freq = np.concatenate([np.frombuffer(r["freq"], "<u2") for r in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+        freq = np.concatenate([unsqueeze(r["freq"]) for r in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
         alone = n - np.bincount(owner, minlength=len(n))
         first = n - least_overlap(n, percent) + 1
         open_ = alone < first
@@ -416,14 +416,18 @@ def join_documents(docs: DataFrame, text: str = "text", width: int = WIDTH, perc
 
 def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the document with the
-    smallest id stays, once. Rows without an id stay unless their text is repeated."""
+    smallest id stays, once; of rows that share id and text the first by its JSON text. Rows without
+    an id stay unless their text is repeated. Rows travel in one struct, so no name can clash."""
     named = cut_lineage(join_documents(docs, text, **options))
     gone = named.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
     # An id that also names its own component (the same id with another text) stays.
     gone = gone.join(named.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "doc_id", "left_anti")
-    left = join_checked(docs, gone, "doc_id", "left_anti")
-    again = cut_lineage(named.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.col(text).alias("words"))
+    gone = gone.select(F.col("doc_id").alias("id"))
+    left = join_checked(held, gone, "id", "left_anti")
+    again = cut_lineage(named.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again")))
     if again.isEmpty():
-        return left
-    twice = left.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").dropDuplicates(["doc_id", text])
-    return left.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti").unionByName(twice)
+        return left.select("row.*")
+    same = F.col("id").eqNullSafe(F.col("again"))
+    twice = left.join(again, same, "left_semi").groupBy("id", "words").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return left.join(again, same, "left_anti").select("row").unionByName(twice.select("row")).select("row.*")
