@@ -91,3 +91,41 @@ def test_table_beats_the_base_on_held_out_text(spark):
     check(got, [(r.doc_id, r.text) for r in docs.collect()])
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.05 * sum(r.n_tokens for r in held)
+
+
+def test_score_is_the_models_probability(docs_of, monkeypatch):
+    """The column ``score`` of every document from the returned model, path sums in plain loops."""
+    import math
+    import random
+    from collections import Counter
+    from zlib import crc32
+
+    from xxhash import xxh64_intdigest
+
+    rng = random.Random(3)
+    texts = {i: " ".join(rng.choice("the a cat Dog sat ran on mat hat".split()) for _ in range(rng.randint(0, 25))) for i in range(60)}
+    kept = {}
+    original = hmm_lm.train
+
+    def train(*args):
+        kept["m"], kept["found"] = original(*args)
+        return kept["m"], kept["found"]
+
+    monkeypatch.setattr(hmm_lm, "train", train)
+    got = {r.doc_id: r for r in hmm_lm.score(docs_of(list(texts.items())), states=2, classes=5).collect()}
+    m, counts = kept["m"], Counter()
+    for doc, text in texts.items():
+        if crc32(str(doc).encode()) % 7 != 2:
+            counts.update(text.lower().split())
+    cls = lambda w: xxh64_intdigest(w.encode()) % 5
+    vocabulary = {w for t in texts.values() for w in t.lower().split()}
+    inside = [sum(counts[w] for w in counts if cls(w) == c) + sum(cls(w) == c for w in counts if counts[w]) + 1 for c in range(5)]
+    assert vocabulary and len(kept["found"]) >= 2 and all(b > a - 1e-6 for a, b in zip(kept["found"], kept["found"][1:]))
+    for doc, text in texts.items():
+        words = text.lower().split()
+        codes = [*map(cls, words), 5]
+        a = [m.start[s] * m.emit[codes[0]][s] for s in range(2)]
+        for c in codes[1:]:
+            a = [sum(a[i] * m.moves[i][j] for i in range(2)) * m.emit[c][j] for j in range(2)]
+        want = math.log10(sum(a)) + sum(math.log10((counts[w] + 1) / inside[cls(w)]) for w in words)
+        assert abs(got[doc].score - want) < 1e-6 * max(1, abs(want))

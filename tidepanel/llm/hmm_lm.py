@@ -7,11 +7,14 @@ parameters for any vocabulary while every word keeps its own exact corpus count:
     P(text) = sum over state paths of  prod  A(s, s') B(s', class(w)) P(w | class(w)),
 
 the last token being ``end``. Counts of words and classes cover all training documents.
-Baum-Welch starts from a bounded sample (``START_DOCS`` documents; only starting values come
-from it) and then runs ``ITERATIONS`` passes over all training documents: tasks add up
+Baum-Welch starts from a bounded sample (``START_DOCS`` documents of any length, of longer ones a
+stretch of ``START_WORDS`` words at a place given by the id's hash; only starting values come from
+it, after ``START_ROUNDS`` rounds) and then passes over all training documents until the log
+likelihood per token rises by less than ``RISE`` (``MOST_PASSES`` at most): tasks add up
 expected counts with scaled forward and backward recursions in batches of documents, Spark
 adds the tasks' sums, the driver normalises a table of fixed size. The score is the scaled
-forward recursion over the whole text, exact.
+forward recursion over the whole text, exact. ``train`` returns the model and the likelihood that
+each pass found.
 
 Word counts travel as columnar blobs (see ``blobs``): each block of documents has its own
 vocabulary, one exchange by hash range adds the counts up and returns them per block.
@@ -37,10 +40,11 @@ from tidepanel.llm.common import by_bytes, cut_lineage, fold, rows_of, text_byte
 
 STATES = 8
 CLASSES = 4096
-ITERATIONS = 3
+RISE = 0.005
+MOST_PASSES = 8
 START_DOCS = 400
 START_WORDS = 1500
-START_ROUNDS = 20
+START_ROUNDS = 4
 BLOCK_BYTES = 6 << 20
 RANGE_BYTES = 8 << 20
 LONG = 2048
@@ -121,7 +125,9 @@ def _add_up(classes: int):
         v = np.bincount(cls[total > 0], minlength=classes)
         used = np.flatnonzero(n)
         ends = np.cumsum([len(k) for k in keys])
-        blobs = [squeeze(np.minimum(total[at[e - len(k):e]], 0xFFFFFFFF)) + b"" for k, e in zip(keys, ends)]
+        if total.max(initial=0) > 0xFFFFFFFF:
+            raise OverflowError("a word occurs more than 2^32 - 1 times; its count does not fit the exchange")
+        blobs = [squeeze(total[at[e - len(k):e]]) for k, e in zip(keys, ends)]
         codes = [squeeze(cls[at[e - len(k):e]]) for k, e in zip(keys, ends)]
         none = [None] * len(blocks)
         packed = [len(x).to_bytes(8, "little") + x + y for x, y in zip(blobs, codes)]
@@ -281,19 +287,20 @@ def with_end(codes: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarr
     return out, starts, lengths + 1
 
 
-def _pass(coded: DataFrame, m: Model, classes: int) -> list[np.ndarray]:
-    """One E step over all training documents: expected counts added up over tasks."""
+def _pass(coded: DataFrame, m: Model, classes: int) -> tuple[list[np.ndarray], float]:
+    """One E step over all training documents: expected counts added up over tasks, and the log
+    likelihood of the documents' classes."""
     k = len(m.start)
     light = m.as_type(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = fresh(m)
         late: list[np.ndarray] = []
-        waiting = 0
+        waiting, logp = 0, 0.0
 
-        def work(seqs: list[np.ndarray]) -> None:
+        def work(seqs: list[np.ndarray]) -> float:
             lengths = np.array([len(s) for s in seqs], np.int64)
-            expected(light, np.concatenate(seqs), np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths, sums)
+            return expected(light, np.concatenate(seqs), np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths, sums)
 
         for b in batches:
             for codes, held, lengths in rows_of(b):
@@ -301,36 +308,50 @@ def _pass(coded: DataFrame, m: Model, classes: int) -> list[np.ndarray]:
                 train = ~np.array(held, bool)
                 short = train & (lengths <= LONG)
                 if short.any():
-                    expected(light, codes, starts[short], lengths[short], sums)
+                    logp += expected(light, codes, starts[short], lengths[short], sums)
                 for i in np.flatnonzero(train & ~short):  # few long ones share their steps
                     late.append(codes[starts[i]:starts[i] + lengths[i]].astype(np.uint16))
                     waiting += int(lengths[i])
                     if waiting >= 1_000_000:
-                        work(late)
+                        logp += work(late)
                         late, waiting = [], 0
         if late:
-            work(late)
+            logp += work(late)
         emit = sums[2]
         used = np.flatnonzero(emit.any(1))
-        rows = [*emit[used].tolist(), sums[0].tolist(), *sums[1].tolist()]
-        keys = [*used.tolist(), *range(classes + 1, classes + 2 + k)]
+        rows = [*emit[used].tolist(), sums[0].tolist(), *sums[1].tolist(), [logp] + [0.0] * (k - 1)]
+        keys = [*used.tolist(), *range(classes + 1, classes + 3 + k)]
         cols = np.array(rows, float).reshape(-1, k).T
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *map(pa.array, cols)], ["at", *(f"s{i}" for i in range(k))])
 
     out = coded.select("codes", "held", "lengths").mapInArrow(run, "at int, " + ", ".join(f"s{i} double" for i in range(k)))
-    got = fresh(m)
-    for r in out.groupBy("at").agg(*(F.sum(f"s{i}") for i in range(k))).collect():  # classes + states + 2 rows
+    got, total = fresh(m), 0.0
+    for r in out.groupBy("at").agg(*(F.sum(f"s{i}") for i in range(k))).collect():  # classes + states + 3 rows
         if r[0] <= classes:
             got[2][r[0]] = r[1:]
         elif r[0] == classes + 1:
             got[0][:] = r[1:]
+        elif r[0] == classes + 2 + k:
+            total = r[1]
         else:
             got[1][r[0] - classes - 2] = r[1:]
-    return got
+    return got, total
+
+
+def train(coded: DataFrame, m: Model, classes: int, unigram: np.ndarray, tokens: int, rise: float = RISE, most: int = MOST_PASSES) -> tuple[Model, list[float]]:
+    """Baum-Welch over all training documents; the model and the log likelihood per token that each
+    pass found (that of the model before its update)."""
+    found: list[float] = []
+    while tokens and len(found) < most and (len(found) < 2 or found[-1] - found[-2] >= rise):
+        sums, logp = _pass(coded, m, classes)
+        m = normalised(m, sums, unigram)
+        found.append(logp / tokens)
+    return m, found
 
 
 def _sample(coded: DataFrame, docs: int, classes: int, total: int, words: int = START_WORDS) -> list[np.ndarray]:
-    """Class sequences of at most ``docs`` training documents, picked by hash of the id."""
+    """Class sequences of at most ``docs`` training documents, picked by hash of the id; of long
+    ones a stretch of ``words`` words."""
     bar = min(1.0, 2.0 * docs / max(total, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,9 +363,10 @@ def _sample(coded: DataFrame, docs: int, classes: int, total: int, words: int =
                 all_codes = None
                 for i, (doc, out) in enumerate(zip(ids, held)):
                     h = xxh64_intdigest(str(doc), SEED)
-                    if not out and h < bar * 2 ** 64 and 0 < lengths[i] <= words:
+                    if not out and h < bar * 2 ** 64 and lengths[i]:
                         all_codes = unsqueeze(codes) if all_codes is None else all_codes
-                        picked.append((h >> 1, all_codes[edge[i]:edge[i + 1]].tobytes()))
+                        at = int(edge[i]) + h % max(1, int(lengths[i]) - words + 1)
+                        picked.append((h >> 1, all_codes[at:min(at + words, int(edge[i + 1]))].tobytes()))
             if picked:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in picked], pa.int64()), pa.array([p[1] for p in picked])], ["h", "codes"])
 
@@ -353,7 +375,7 @@ def _sample(coded: DataFrame, docs: int, classes: int, total: int, words: int =
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", states: int = STATES, classes: int = CLASSES,
-          iterations: int = ITERATIONS, start_docs: int = START_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+          rise: float = RISE, most: int = MOST_PASSES, start_docs: int = START_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per document.
     Documents whose fold is ``held`` are scored and not learned from."""
     rows, size = text_total(docs.select(F.col(text).alias("text")))
@@ -376,8 +398,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, text: str = "text", st
     unigram = np.append(per_class[:, 0], train_docs).astype(float) + 0.5
     unigram /= unigram.sum()
     m = starting_model(_sample(coded, start_docs, classes, rows), classes, states, unigram)
-    for _ in range(iterations if train_docs else 0):
-        m = normalised(m, _pass(coded, m, classes), unigram)
+    m, _ = train(coded, m, classes, unigram, all_tokens, rise, most)
     base_end = float(np.log10((train_docs + 1) / (all_tokens + all_kinds + 1)))
     end_known = int(train_docs > 0)
 
