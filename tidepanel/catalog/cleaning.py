@@ -206,9 +206,14 @@ def c19(spark, sf):
     return log
 
 
-@query("c19_kept_after_gaps", oracle("""SELECT series, ts, value FROM dense d WHERE NOT EXISTS
-  (SELECT 1 FROM prof p WHERE p.series = d.series AND longest_run_after_first >= 8)""", "brand_day", dense=("brand_day", "D"), ctes=_ISL)
-  .replace("dense AS (", "dense AS MATERIALIZED (", 1).replace("prof AS (", "prof AS MATERIALIZED (", 1))
+#: Daily series with a hole of eight days or more between two values, found from the raw rows.
+_HOLES = {"holed": """SELECT DISTINCT series FROM (SELECT series, lead(ts) OVER (PARTITION BY series ORDER BY ts) - ts AS step FROM brand_day WHERE value IS NOT NULL) WHERE step > 8
+  UNION SELECT series FROM brand_day WHERE value IS NOT NULL GROUP BY 1 HAVING (SELECT max(ts) FROM brand_day) - max(ts) >= 8"""}
+
+
+@query("c19_kept_after_gaps", oracle("""SELECT d.series, CAST(d.ts AS DATE) AS ts, v.value FROM (SELECT series, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS ts
+    FROM (SELECT DISTINCT series FROM brand_day) CROSS JOIN (SELECT min(ts) AS lo, max(ts) AS hi FROM brand_day) WHERE series NOT IN (SELECT series FROM holed)) d
+  LEFT JOIN brand_day v ON v.series = d.series AND v.ts = d.ts""", "brand_day", ctes=_HOLES))
 def c19k(spark, sf):
     kept, _ = c.drop_long_gaps(p.densify(b.brand_day(spark, sf), "D"), 8, "daily")
     return kept

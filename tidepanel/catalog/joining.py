@@ -32,38 +32,36 @@ def j1(spark, sf):
     return j.merge(o, c, "inner", left_on=["o_custkey"], right_on=["c_custkey"]).drop("c_custkey")
 
 
-@query("j1_merge_outer_suffixes", oracle("""SELECT coalesce(l.ts, r.ts) AS ts, l.value AS value_x, r.value AS value_y, l.series AS series_x, r.series AS series_y
-  FROM (SELECT * FROM nation_week WHERE series = 'NATION_0') l FULL JOIN (SELECT * FROM nation_week WHERE series = 'NATION_1') r ON l.ts = r.ts""", "nation_week"))
-def j1o(spark, sf):
-    d = b.nation_week(spark, sf)
-    return j.merge(d.filter("series = 'NATION_0'"), d.filter("series = 'NATION_1'"), "outer", on=["ts"])
+def _two_sides(spark, sf):
+    """Weekly and monthly totals of every brand: keys (series, ts) on both sides, on one, and equal column names."""
+    return b.brand_week(spark, sf), b.brand_month(spark, sf)
 
 
-def _two_sides(spark, sf):
-    """Daily totals of two flags side by side: keys on both sides, on one, and equal column names."""
-    d = b.flag_day(spark, sf)
-    side = lambda s: d.filter(F.col("series") == s).select("ts", F.col("value"), F.lit(s).alias("name"))
-    return side("AF"), side("NO")
+_ON = "ON l.series = r.series AND l.ts = r.ts"
 
 
-_SIDES = {"l": "SELECT ts, value, series AS name FROM flag_day WHERE series = 'AF'", "r": "SELECT ts, value, series AS name FROM flag_day WHERE series = 'NO'"}
+@query("j1_merge_outer_suffixes", oracle(f"""SELECT coalesce(l.series, r.series) AS series, coalesce(l.ts, r.ts) AS ts, l.value AS value_x, r.value AS value_y
+  FROM brand_week l FULL JOIN brand_month r {_ON}""", "brand_week", "brand_month"))
+def j1o(spark, sf):
+    return j.merge(*_two_sides(spark, sf), "outer", on=["series", "ts"])
 
 
-@query("j1_merge_left", oracle("SELECT l.ts, l.value AS value_x, l.name AS name_x, r.value AS value_y, r.name AS name_y FROM l LEFT JOIN r ON l.ts = r.ts", "flag_day", ctes=_SIDES))
+@query("j1_merge_left", oracle(f"SELECT l.series, l.ts, l.value AS value_x, r.value AS value_y FROM brand_week l LEFT JOIN brand_month r {_ON}", "brand_week", "brand_month"))
 def j1l(spark, sf):
-    return j.merge(*_two_sides(spark, sf), "left", on=["ts"])
+    return j.merge(*_two_sides(spark, sf), "left", on=["series", "ts"])
 
 
-@query("j1_merge_right", oracle("SELECT r.ts, l.value AS value_a, l.name AS name_a, r.value AS value_b, r.name AS name_b FROM l RIGHT JOIN r ON l.ts = r.ts", "flag_day", ctes=_SIDES))
+@query("j1_merge_right", oracle(f"SELECT r.series, r.ts, l.value AS value_a, r.value AS value_b FROM brand_week l RIGHT JOIN brand_month r {_ON}", "brand_week", "brand_month"))
 def j1r(spark, sf):
-    return j.merge(*_two_sides(spark, sf), "right", on=["ts"], suffixes=("_a", "_b"))
+    return j.merge(*_two_sides(spark, sf), "right", on=["series", "ts"], suffixes=("_a", "_b"))
 
 
-@query("j1_merge_index", oracle("SELECT coalesce(l.ts, r.ts) AS ts, l.value AS value_x, l.name AS name_x, r.value AS value_y, r.name AS name_y FROM l FULL JOIN r ON l.ts = r.ts", "flag_day", ctes=_SIDES))
+@query("j1_merge_index", oracle(f"""SELECT coalesce(l.ts, r.ts) AS ts, l.series AS series, r.series AS name, l.value AS value_x, r.value AS value_y
+  FROM brand_week l FULL JOIN brand_month r {_ON}""", "brand_week", "brand_month"))
 def j1x(spark, sf):
-    """A merge on the index is a merge on the time column under its name on each side."""
+    """A merge on the index is a merge on its columns under their names on each side."""
     left, right = _two_sides(spark, sf)
-    out = j.merge(left, right.withColumnRenamed("ts", "day"), "outer", left_on=["ts"], right_on=["day"])
+    out = j.merge(left, right.withColumnsRenamed({"ts": "day", "series": "name"}), "outer", left_on=["series", "ts"], right_on=["name", "day"])
     return out.withColumn("ts", F.coalesce("ts", "day")).drop("day")
 
 
@@ -86,18 +84,18 @@ def j2f(spark, sf):
     return j.merge_as_daily(b.nation_week(spark, sf), b.flag_day(spark, sf), "inner")[1]
 
 
-@query("j3_outer_time_join", oracle("""SELECT coalesce(l.ts, r.ts) AS ts, l.value AS value_left, r.value AS value_right
-  FROM (SELECT ts, sum(value) AS value FROM flag_day GROUP BY 1) l FULL JOIN (SELECT ts, value FROM nation_week WHERE series = 'NATION_3') r ON l.ts = r.ts""", "flag_day", "nation_week"))
+@query("j3_outer_time_join", oracle("""SELECT coalesce(l.ts, r.ts) AS ts, l.value AS value_left, r.series AS series_right, r.value AS value_right
+  FROM (SELECT ts, sum(value) AS value FROM flag_day GROUP BY 1) l FULL JOIN nation_week r ON l.ts = r.ts""", "flag_day", "nation_week"))
 def j3(spark, sf):
     day = b.flag_day(spark, sf).groupBy("ts").agg(F.sum("value").alias("value"))
-    return j.outer_time_join(day, b.nation_week(spark, sf).filter("series = 'NATION_3'").select("ts", "value"))
+    return j.outer_time_join(day, b.nation_week(spark, sf).select("series", "ts", "value"))
 
 
-@query("j4_concat_panels", oracle("""SELECT series, ts, value FROM brand_week WHERE series IN ('Brand#1', 'Brand#2')
-  UNION ALL SELECT series, ts, value FROM brand_month WHERE series NOT IN ('Brand#1', 'Brand#2')""", "brand_week", "brand_month"))
+@query("j4_concat_panels", oracle("""SELECT series, ts, value FROM flag_day UNION ALL SELECT series, ts, value FROM brand_week
+  UNION ALL SELECT series, ts, value FROM nation_week""", "flag_day", "brand_week", "brand_month", "nation_week"))
 def j4(spark, sf):
-    first = b.brand_week(spark, sf).filter(F.col("series").isin("Brand#1", "Brand#2"))
-    return j.concat_panels([first, b.brand_month(spark, sf)])
+    """The first panel that has a series gives all of it: the monthly brands lose to the weekly ones."""
+    return j.concat_panels([b.flag_day(spark, sf), b.brand_week(spark, sf), j.append(b.brand_month(spark, sf), b.nation_week(spark, sf))])
 
 
 @query("j5_append", oracle("SELECT series, ts, value FROM brand_week UNION ALL SELECT series, ts, value FROM nation_week", "brand_week", "nation_week"))
@@ -123,10 +121,10 @@ def j7l(spark, sf):
 
 
 @query("j8_compare_series", oracle("""SELECT o.series, coalesce(z.ts, o.ts) AS ts, z.value AS base, o.value AS other, z.value - o.value AS difference FROM
-  (SELECT n.series, c.ts, v.value FROM (VALUES ('NATION_1'), ('NATION_2')) n(series) CROSS JOIN (SELECT DISTINCT ts FROM nation_week) c LEFT JOIN nation_week v ON v.series = n.series AND v.ts = c.ts) o
+  (SELECT n.series, c.ts, v.value FROM (SELECT DISTINCT series FROM nation_week WHERE series <> 'NATION_0') n CROSS JOIN (SELECT DISTINCT ts FROM nation_week) c LEFT JOIN nation_week v ON v.series = n.series AND v.ts = c.ts) o
   LEFT JOIN (SELECT * FROM nation_week WHERE series = 'NATION_0') z ON z.ts = o.ts WHERE z.value IS DISTINCT FROM o.value""", "nation_week"))
 def j8(spark, sf):
-    return j.compare_series(b.nation_week(spark, sf), "NATION_0", ["NATION_1", "NATION_2"])[1]
+    return j.compare_series(b.nation_week(spark, sf), "NATION_0")[1]
 
 
 _CMP = {**_OBS, "com": "SELECT series FROM obs GROUP BY 1 HAVING count(DISTINCT dataset) = 3",

@@ -88,23 +88,25 @@ def l2r(spark, sf):
     return rnd(q.batch_lag_correlation(b.nation_week(spark, sf), _T, 12, "raw"))
 
 
-_HIST = {"v": "SELECT series, value FROM nation_week WHERE series IN ('NATION_0', 'NATION_1')",
-         "sp": "SELECT min(value) AS lo, max(value) AS hi FROM v",
-         "h": "SELECT series, CAST(least(floor((value - lo) * 10 / (hi - lo)), 9) AS INTEGER) AS bin, count(*) AS c FROM v, sp GROUP BY 1, 2",
-         "g": """SELECT s.series, CAST(k AS INTEGER) AS bin, lo + k * ((hi - lo) / 10) AS left_edge, coalesce(c, 0) AS count, coalesce(c, 0) / CAST(n AS DOUBLE) AS probability
-           FROM (SELECT series, count(*) AS n FROM v GROUP BY 1) s CROSS JOIN generate_series(0, 9) t(k) CROSS JOIN sp LEFT JOIN h ON h.series = s.series AND h.bin = k"""}
+_HIST = {"v": """SELECT c.series AS candidate, n.series, n.value FROM (SELECT DISTINCT series FROM nation_week WHERE series <> 'NATION_0') c
+           JOIN nation_week n ON n.series IN (c.series, 'NATION_0')""",
+         "sp": "SELECT candidate, min(value) AS lo, max(value) AS hi FROM v GROUP BY 1",
+         "h": "SELECT candidate, series, CAST(least(floor((value - lo) * 10 / (hi - lo)), 9) AS INTEGER) AS bin, count(*) AS c FROM v JOIN sp USING (candidate) GROUP BY 1, 2, 3",
+         "g": """SELECT s.candidate, s.series, CAST(k AS INTEGER) AS bin, lo + k * ((hi - lo) / 10) AS left_edge, coalesce(c, 0) AS count, coalesce(c, 0) / CAST(n AS DOUBLE) AS probability
+           FROM (SELECT candidate, series, count(*) AS n FROM v GROUP BY 1, 2) s CROSS JOIN generate_series(0, 9) t(k) JOIN sp USING (candidate)
+           LEFT JOIN h ON h.candidate = s.candidate AND h.series = s.series AND h.bin = k"""}
 
 
-@query("l3_histogram", oracle("SELECT series, bin, round(left_edge, 2) AS left_edge, count, round(probability, 6) AS probability FROM g", "nation_week", ctes=_HIST))
+@query("l3_histogram", oracle("SELECT candidate, series, bin, round(left_edge, 4) AS left_edge, count, round(probability, 6) AS probability FROM g", "nation_week", ctes=_HIST))
 def l3(spark, sf):
-    return rnd(q.histogram_distribution(b.nation_week(spark, sf), "NATION_0", "NATION_1", 10), left_edge=2)
+    return rnd(q.histogram_pairs(b.nation_week(spark, sf), "NATION_0", 10), left_edge=4)
 
 
-@query("l4_kl_divergence", oracle("""SELECT round(greatest(0.0, sum(CASE WHEN p > 0 THEN p * (ln(p) - ln(q / z)) ELSE 0 END)), 6) AS kl FROM (
-  SELECT p, q, sum(q) OVER () AS z FROM (SELECT bin, max(probability) FILTER (series = 'NATION_0') AS p, max(probability) FILTER (series = 'NATION_1') + 1e-9 AS q FROM g GROUP BY 1))""",
-  "nation_week", ctes=_HIST))
+@query("l4_kl_divergence", oracle("""SELECT candidate, round(greatest(0.0, sum(CASE WHEN p > 0 THEN p * (ln(p) - ln(q / z)) ELSE 0 END)), 6) AS kl FROM (
+  SELECT candidate, p, q, sum(q) OVER (PARTITION BY candidate) AS z FROM (SELECT candidate, bin, max(probability) FILTER (series = 'NATION_0') AS p,
+    max(probability) FILTER (series = candidate) + 1e-9 AS q FROM g GROUP BY 1, 2)) GROUP BY 1""", "nation_week", ctes=_HIST))
 def l4(spark, sf):
-    return rnd(q.kl_divergence(q.histogram_distribution(b.nation_week(spark, sf), "NATION_0", "NATION_1", 10), "NATION_0", "NATION_1"))
+    return rnd(q.kl_pairs(q.histogram_pairs(b.nation_week(spark, sf), "NATION_0", 10), "NATION_0"))
 
 
 @query("l5_overlap", oracle("""SELECT series, a AS target_value, x AS candidate_value FROM pr WHERE "offset" = -4""", "nation_week", dense=("nation_week", "W"), ctes=_LAG))

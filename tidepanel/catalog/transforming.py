@@ -116,12 +116,15 @@ def t13(spark, sf):
     return rnd(t.weighted_sum(b.nation_week(spark, sf), t.normalized_weights(w, ["label"])), 4)
 
 
-@query("t13_weighted_formula", oracle("""SELECT 'mix' AS series, ts, round((0.5 * a + 0.3 * x - 0.2 * c) / nullif(1.0 * d, 0), 6) AS value FROM (SELECT ts,
-  max(value) FILTER (series = 'Brand#1') AS a, max(value) FILTER (series = 'Brand#2') AS x, max(value) FILTER (series = 'Brand#3') AS c,
-  max(value) FILTER (series = 'Brand#4') AS d FROM brand_week WHERE series IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4') GROUP BY 1)""", "brand_week"))
+#: All brands: added and taken away in turn with growing weights, divided by the last.
+_TERMS = [("-" if i % 2 == 0 else "+", f"Brand#{i}", i / 100) for i in range(1, 25)] + [("/", "Brand#25", 1.0)]
+_TERMS_SQL = " ".join(f"{op} {w} * x{i}" for i, (op, _, w) in enumerate(_TERMS[:-1]))[1:]
+
+
+@query("t13_weighted_formula", oracle(f"""SELECT 'mix' AS series, ts, round(({_TERMS_SQL}) / nullif(1.0 * x24, 0), 6) AS value FROM (SELECT ts,
+  {", ".join(f"max(value) FILTER (series = '{name}') AS x{i}" for i, (_, name, _) in enumerate(_TERMS))} FROM brand_week GROUP BY 1)""", "brand_week"))
 def t13f(spark, sf):
-    terms = [("+", "Brand#1", 0.5), ("+", "Brand#2", 0.3), ("-", "Brand#3", 0.2), ("/", "Brand#4", 1.0)]
-    return rnd(t.weighted_formula(b.brand_week(spark, sf), "mix", terms))
+    return rnd(t.weighted_formula(b.brand_week(spark, sf), "mix", _TERMS))
 
 
 @query("t14_group_arithmetic", oracle("""SELECT l.series || '/' || r.series AS series, coalesce(l.ts, r.ts) AS ts, round(l.value / nullif(r.value, 0), 6) AS value

@@ -146,14 +146,16 @@ def index_difference(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.filter("status <> 'common'"), s
 
 
-def compare_series(df: DataFrame, base: str, others: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(summary, differences) of one base series against others of the dataset."""
+def compare_series(df: DataFrame, base: str, others: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(summary, differences) of one base series against others of the dataset, by default all."""
+    chosen = F.col("series") != base if others is None else F.col("series").isin(list(others))
     b = df.filter(F.col("series") == base).select("ts", F.col("value").alias("base"))
     stamps = df.select("ts").distinct().join(b, "ts", "left")
-    o = df.filter(F.col("series").isin(list(others))).select("series", "ts", F.col("value").alias("other"))
-    names = df.filter(F.col("series").isin(list(others))).select("series").distinct()
+    o = df.filter(chosen).select("series", "ts", F.col("value").alias("other"))
+    names = df.filter(chosen).select("series").distinct()
+    listed = names.agg(F.collect_list("series")).scalar() if others is None else F.array(*[F.lit(x) for x in others])
     have = stamps.join(o, "ts")  # dates where the other side has a row
-    base_only = b.select("ts", "base", F.explode(F.array(*[F.lit(x) for x in others])).alias("series")).join(
+    base_only = b.select("ts", "base", F.explode(listed).alias("series")).join(
         o.select("series", "ts"), ["series", "ts"], "left_anti").select("ts", "base", "series", F.lit(None).cast("double").alias("other"))
     rows = have.select("ts", "base", "series", "other").unionByName(base_only).join(names, "series", "left_semi")
     diff = rows.filter(~F.col("base").eqNullSafe(F.col("other"))).withColumn("difference", F.col("base") - F.col("other"))

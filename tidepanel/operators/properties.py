@@ -230,30 +230,45 @@ def _measures(pairs: DataFrame, bins: int, alpha: float = 1e-9) -> DataFrame:
     return g.select(*on, "corr", "n", kl.alias("kl"))
 
 
-def histogram_distribution(df: DataFrame, a: str, b: str, bins: int) -> DataFrame:
-    """Probabilities of two series over common equal-width bins; the last bin is
-    closed. Two constant equal series have no bins."""
-    both = df.filter(F.col("series").isin(a, b) & F.col("value").isNotNull()).select("series", "value")
-    span = both.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi"))).scalar()
-    d = both.select("series", "value", span.alias("s")).filter(F.lit(bins == 1) | (F.col("s.lo") < F.col("s.hi")))
-    width = (F.col("s.hi") - F.col("s.lo")) / F.lit(bins)
-    i = F.least(F.coalesce(F.floor(F.try_divide((F.col("value") - F.col("s.lo")) * bins, F.col("s.hi") - F.col("s.lo"))), F.lit(0)), F.lit(bins - 1))
-    hits = d.select("series", i.cast("int").alias("bin"), F.col("s.lo").alias("lo"), width.alias("width"))
-    g = hits.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.max("lo").alias("lo"), F.max("width").alias("width"),
-                                   F.array(*[F.count_if(F.col("bin") == k) for k in range(bins)]).alias("h"))
-    out = g.select("series", "n", "lo", "width", F.posexplode("h").alias("bin", "count"))
-    return out.select("series", "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left_edge"), "count",
+def histogram_pairs(df: DataFrame, target: str, bins: int, candidates: Sequence[str] | None = None) -> DataFrame:
+    """Probabilities of the target and of each candidate (default: every other series) over the
+    equal-width bins the two have in common; the last bin is closed. Two constant equal series
+    have no bins. The target's rows go along once per candidate."""
+    live = df.filter(F.col("value").isNotNull()).select("series", "value")
+    others = live.filter(F.col("series") != target if candidates is None else F.col("series").isin(list(candidates)))
+    names = others.select("series").distinct().agg(F.collect_list("series")).scalar()
+    both = others.select(F.col("series").alias("candidate"), "series", "value").unionByName(
+        live.filter(F.col("series") == target).select(F.explode(names).alias("candidate"), "series", "value"))
+    span = both.groupBy("candidate").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    d = both.join(span, "candidate").filter(F.lit(bins == 1) | (F.col("lo") < F.col("hi")))
+    i = F.least(F.coalesce(F.floor(F.try_divide((F.col("value") - F.col("lo")) * bins, F.col("hi") - F.col("lo"))), F.lit(0)), F.lit(bins - 1))
+    hits = d.select("candidate", "series", i.cast("int").alias("bin"), "lo", ((F.col("hi") - F.col("lo")) / F.lit(bins)).alias("width"))
+    g = hits.groupBy("candidate", "series").agg(F.count(F.lit(1)).alias("n"), F.max("lo").alias("lo"), F.max("width").alias("width"),
+                                                F.array(*[F.count_if(F.col("bin") == k) for k in range(bins)]).alias("h"))
+    out = g.select("candidate", "series", "n", "lo", "width", F.posexplode("h").alias("bin", "count"))
+    return out.select("candidate", "series", "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left_edge"), "count",
                       F.try_divide(F.col("count").cast("double"), F.col("n")).alias("probability"))
 
 
+def kl_pairs(dist: DataFrame, target: str, alpha: float = 1e-9) -> DataFrame:
+    """D(target || candidate) per candidate, from :func:`histogram_pairs`."""
+    g = dist.groupBy("candidate", "bin").agg(F.max(F.when(F.col("series") == target, F.col("probability"))).alias("p"),
+                                             F.max(F.when(F.col("series") == F.col("candidate"), F.col("probability"))).alias("q"))
+    g = g.select("candidate", "p", (F.col("q") + alpha).alias("q"))
+    s = g.groupBy("candidate").agg(F.sum(F.when(F.col("p") > 0, F.col("p") * (F.ln("p") - F.ln("q")))).alias("raw"), F.sum("q").alias("z"),
+                                   F.sum(F.when(F.col("p") > 0, F.col("p"))).alias("mass"))
+    return s.select("candidate", F.greatest(F.lit(0.0), F.coalesce(F.col("raw") + F.col("mass") * F.ln("z"), F.lit(0.0))).alias("kl"))
+
+
+def histogram_distribution(df: DataFrame, a: str, b: str, bins: int) -> DataFrame:
+    """:func:`histogram_pairs` of two series."""
+    return histogram_pairs(df, a, bins, [b]).drop("candidate")
+
+
 def kl_divergence(dist: DataFrame, a: str, b: str, alpha: float = 1e-9) -> DataFrame:
-    """D(a || b) of two distributions from :func:`histogram_distribution`."""
-    g = dist.groupBy("bin").agg(F.max(F.when(F.col("series") == a, F.col("probability"))).alias("p"),
-                                F.max(F.when(F.col("series") == b, F.col("probability"))).alias("q"))
-    g = g.select("p", (F.col("q") + alpha).alias("q"))
-    s = g.agg(F.sum(F.when(F.col("p") > 0, F.col("p") * (F.ln("p") - F.ln("q")))).alias("raw"), F.sum("q").alias("z"),
-              F.sum(F.when(F.col("p") > 0, F.col("p"))).alias("mass"))
-    return s.select(F.greatest(F.lit(0.0), F.coalesce(F.col("raw") + F.col("mass") * F.ln("z"), F.lit(0.0))).alias("kl"))
+    """D(a || b) of two distributions from :func:`histogram_distribution`; 0 without bins."""
+    found = kl_pairs(dist.withColumn("candidate", F.lit(b)), a, alpha)
+    return found.agg(F.coalesce(F.max("kl"), F.lit(0.0)).alias("kl"))
 
 
 def overlap(dense: DataFrame, target: str, lag: int) -> DataFrame:
