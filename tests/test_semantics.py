@@ -260,3 +260,16 @@ def test_exact_quantile_of_skewed_groups(spark):
     assert got == {k: statistics.median(v) for k, v in data.items() if k != "none"}
     q = {r.series: r.quantile for r in exact_quantile(d, ["series"], q=0.25).collect()}
     assert q["even"] == 1.75
+
+
+def test_each_sheet_has_its_own_order_of_day_and_month(spark):
+    from tidepanel.sources import ingest
+
+    dates = {"days": ["03/04/2024", "13/04/2024", "5.6.2024"], "months": ["03/04/2024", "04/13/2024", "13/04/2024"], "open": ["03/04/2024", "2024-05-06", "no date"]}
+    grid = [(s, 0, ["day", "x"]) for s in dates] + [(s, i + 1, [d, "1"]) for s, v in dates.items() for i, d in enumerate(v)]
+    d = spark.createDataFrame([("f", *r) for r in grid], "file string, sheet string, row_no int, cells array<string>")
+    got = {(r.sheet, r.seq): str(r.ts) for r in ingest.vendor_grid_ingest(d).collect()}
+    assert got == {("days", 1): "2024-04-03", ("days", 2): "2024-04-13", ("days", 3): "2024-06-05",
+                   ("months", 1): "2024-03-04", ("months", 2): "2024-04-13", ("months", 3): "2024-04-13",
+                   ("open", 1): "2024-03-04", ("open", 2): "2024-05-06"}
+    assert {r.sheet: r.n_dropped for r in ingest.dropped_rows(d).collect()} == {"days": 0, "months": 0, "open": 1}

@@ -90,32 +90,51 @@ def vendor_layout(grid: DataFrame) -> DataFrame:
 
 
 # Date formats of grid cells, tried in order; a serial number comes after them.
-CELL_DATES = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/M/d", "yyyy/M/d HH:mm:ss", "yyyy.M.d", "yyyy年M月d日", "yyyyMMdd", "yyyy-M-d", "M/d/yyyy",
+CELL_DATES = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/M/d", "yyyy/M/d HH:mm:ss", "yyyy.M.d", "yyyy年M月d日", "yyyyMMdd", "yyyy-M-d",
               "yyyy年M月", "yyyy-M", "yyyy/M", "yyyyMM", "d-MMM-yyyy", "d MMM yyyy")
 
 
-def cell_date(cell: Column) -> Column:
-    """Date of a text cell by the first format that fits, or by its serial number."""
+# Fixed value: cells that start with day and month in an order that the cell does not tell.
+TWO_WAYS = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$"
+
+
+def cell_date(cell: Column, day_first: Column | None = None) -> Column:
+    """Date of a text cell by the first format that fits, or by its serial number. Day and month
+    before a year are read in the order ``day_first`` says, or in the other if only that fits."""
     text = F.trim(cell)
     serial = F.when(text.rlike(r"^\d{5}(\.\d+)?$"), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(text.try_cast("double")).cast("int")))
-    return F.coalesce(serial, *(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in CELL_DATES), text.try_cast("date"))
+    read = lambda t, f: F.try_to_timestamp(t, F.lit(f)).cast("date")
+    slashed = F.regexp_replace(text, TWO_WAYS, "$1/$2/$3")
+    by_day, by_month = read(slashed, "d/M/yyyy"), read(slashed, "M/d/yyyy")
+    first = F.lit(False) if day_first is None else F.coalesce(day_first, F.lit(False))
+    either = F.when(text.rlike(TWO_WAYS), F.when(first, F.coalesce(by_day, by_month)).otherwise(F.coalesce(by_month, by_day)))
+    return F.coalesce(serial, either, *(read(text, f) for f in CELL_DATES), text.try_cast("date"))
+
+
+def day_order(grid: DataFrame) -> DataFrame:
+    """(file, sheet, day_first): a sheet writes the day first if more of its cells can only be
+    read that way than only the other; one row per sheet, counted before the shuffle."""
+    part = lambda i: F.regexp_extract(F.trim(F.get("cells", F.lit(0))), TWO_WAYS, i).try_cast("int")
+    return grid.groupBy("file", "sheet").agg((F.count_if(part(1) > 12) > F.count_if(part(2) > 12)).alias("day_first"))
 
 
 def dropped_rows(grid: DataFrame) -> DataFrame:
     """Per sheet: data rows, and those that :func:`vendor_grid_ingest` leaves out because
     their first cell holds no date."""
-    rows = grid.join(vendor_layout(grid), ["file", "sheet"]).filter(F.col("row_no") >= F.col("data_row"))
-    return rows.groupBy("file", "sheet", "layout").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(cell_date(F.get("cells", F.lit(0))).isNull()).alias("n_dropped"))
+    rows = grid.join(vendor_layout(grid).join(day_order(grid), ["file", "sheet"]), ["file", "sheet"]).filter(F.col("row_no") >= F.col("data_row"))
+    stamp = cell_date(F.get("cells", F.lit(0)), F.col("day_first"))
+    return rows.groupBy("file", "sheet", "layout").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(stamp.isNull()).alias("n_dropped"))
 
 
 def vendor_grid_ingest(grid: DataFrame) -> DataFrame:
     """Raw grids to long rows (file, sheet, layout, series, ts, raw, seq). Rows without a
-    date in the first cell go; :func:`dropped_rows` counts them per sheet."""
-    lay = vendor_layout(grid)
+    date in the first cell go; :func:`dropped_rows` counts them per sheet. The order of day and
+    month is the sheet's (:func:`day_order`)."""
+    lay = vendor_layout(grid).join(day_order(grid), ["file", "sheet"])
     head = grid.filter(F.col("row_no") <= 1).join(lay, ["file", "sheet"]).filter(F.col("row_no") == F.col("header_row"))
-    head = head.select("file", "sheet", "layout", "data_row", F.col("cells").alias("names"))
+    head = head.select("file", "sheet", "layout", "data_row", "day_first", F.col("cells").alias("names"))
     rows = grid.join(head, ["file", "sheet"]).filter(F.col("row_no") >= F.col("data_row"))
-    stamp = cell_date(F.get("cells", F.lit(0)))
+    stamp = cell_date(F.get("cells", F.lit(0)), F.col("day_first"))
     pairs = F.arrays_zip(F.col("names").alias("name"), F.col("cells").alias("cell"))
     out = rows.select("file", "sheet", "layout", stamp.alias("ts"), F.col("row_no").alias("seq"),
                       F.explode(F.slice(pairs, F.lit(2), F.greatest(F.size("names") - 1, F.lit(0)))).alias("p"))
