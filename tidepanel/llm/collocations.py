@@ -191,6 +191,7 @@ class Range:
         self.twos = np.flatnonzero((self.second > 0) & (self.count >= least))
         self.threes = np.flatnonzero((p.third > 0) & (p.weight >= least))
         self.of_three = np.searchsorted(self.at, self.threes, "right") - 1
+        self.places: list[dict[bytes, int]] | None = None
 
     def candidates(self) -> Iterator[tuple[bytes, list[bytes], int, int]]:
         """(lang, words, count, number of the two-word phrase it begins with or is)."""
@@ -224,9 +225,9 @@ class Range:
     def answer(self, heads: list[bytes], words: list[bytes], ends: np.ndarray, longest: np.ndarray) -> np.ndarray:
         """Counts of requested phrases; ``longest`` takes the counts of the longer candidates."""
         p = self.paths
-        at_head, at_word = ({x: i for i, x in enumerate(labels)} for labels in (p.heads, p.words))
-        h = np.array([at_head.get(x, -1) for x in heads], np.int64)
-        w = np.array([at_word.get(x, -1) for x in words], np.int64)
+        if self.places is None:
+            self.places = [{x: i for i, x in enumerate(labels)} for labels in (p.heads, p.words)]
+        h, w = (np.array([at.get(x, -1) for x in labels], np.int64) for at, labels in zip(self.places, (heads, words)))
         key = h * len(p.words) + w
         i = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         two = (h >= 0) & (w > 0) & (self.pair[i] == key)
