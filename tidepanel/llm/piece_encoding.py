@@ -232,20 +232,24 @@ def _shared(spark, model: str):
     return spark.sparkContext.broadcast(Model(model))  # one vocabulary file
 
 
-def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``doc_id`` and ``ids``, the ids of the whole text without begin or end ids."""
+def encode(docs: DataFrame, model: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """``doc_id`` and ``ids``, the ids of the whole text without begin or end ids; with ``decoded``
+    also the ``text`` that :func:`decode` gives for them, in the same pass."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("text"))
     shared = _shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value.encoder()
+        encoder, decoder = shared.value.encoder(), Decoder(shared.value)
         for b in batches:
             found = [encoder.encode(t.decode("utf-8", "replace")) for _, t in rows_of(b)]
             edges = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], ["doc_id", "ids"])
+            out = {"doc_id": b.column(0), "ids": pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))}
+            if decoded:
+                out["text"] = pa.array([decoder.decode(x.tolist()) for x in found], pa.string())
+            yield pa.RecordBatch.from_pydict(out)
 
-    return src.mapInArrow(run, "doc_id long, ids array<int>")
+    return src.mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:

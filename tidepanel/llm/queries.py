@@ -182,8 +182,7 @@ def op10(spark, sf):
 
 @query("op11_piece_encoding")
 def op11(spark, sf):
-    model = tokenizer_path("piece_bpe_32k.model")
-    out = piece_encoding.decode(piece_encoding.encode(table(spark, sf, "documents"), model), model)
+    out = piece_encoding.encode(table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
