@@ -1,11 +1,13 @@
 """Ingest and sink queries. Workbooks are grids that Spark derives from the tables."""
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidepanel.catalog import base as b
 from tidepanel.catalog.base import W_FRI, oracle, query, rnd, table
 from tidepanel.operators import growth as g
-from tidepanel.sources import ingest as s
+from tidepanel.sources import files as fl, ingest as s
 
 
 def _long_source(spark, sf):
@@ -129,6 +131,76 @@ def s6(spark, sf):
     return s.read_table(spark, path, "o_orderkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE")
 
 
+@F.pandas_udf(StringType())
+def _gb18030(lines: pd.Series) -> pd.Series:
+    """The bytes of GB18030 as Latin-1 text: Spark's writers know no Chinese charset."""
+    return lines.map(lambda x: x.encode("gb18030").decode("latin-1"))
+
+
+def _write_sheets(spark, grid, chinese=False):
+    """``grid(file, sheet, row_no, cells)`` as delimited files, rows in order, one file per sheet;
+    NULL cells are empty, those at the end of a row are left out if the array ends before them."""
+    path = s.scratch_path(spark)
+    line = F.array_join(F.transform("cells", lambda x: F.coalesce(x, F.lit(""))), ",")
+    rows = grid.repartition("file", "sheet").sortWithinPartitions("file", "sheet", "row_no")
+    rows = rows.select("file", "sheet", (_gb18030(line) if chinese else line).alias("value"))
+    out = rows.write.partitionBy("file", "sheet").option("encoding", "iso-8859-1" if chinese else "utf-8")
+    out.option("sep", "\x01").option("quote", "").option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def _head(grid, rows):
+    """``grid`` with head rows (lists of texts or columns over ``file``) before the rows of each sheet."""
+    text = lambda cells: F.array(*[c if isinstance(c, F.Column) else F.lit(c) for c in cells]).cast("array<string>")
+    lines = F.array(*[F.struct(F.lit(i).cast("long").alias("row_no"), text(x).alias("cells")) for i, x in enumerate(rows)])
+    return grid.unionByName(grid.select("file", "sheet").distinct().withColumn("h", F.explode(lines)).select("file", "sheet", "h.*"))
+
+
+def _brand_sheets(spark, sf, rule, sheet, name, fmt, wind):
+    """A workbook per brand: a row per date, a column per return flag."""
+    panel = b._brand(spark, sf, rule, ("l_returnflag",))
+    part = F.split("series", "/")
+    day = panel.groupBy(F.translate(part[0], "#", "-").alias("file"), "ts").agg(*[F.max(F.when(part[1] == x, F.col("value"))).alias(x) for x in "ANR"])
+    cells = F.array(F.date_format("ts", fmt), *[F.when(F.col(x).isNotNull(), F.format_string("%.2f", F.col(x))) for x in "ANR"])
+    rows = day.select("file", F.lit(sheet).alias("sheet"), (F.datediff("ts", F.lit("1990-01-01").cast("date")) + 10).cast("long").alias("row_no"), cells.alias("cells"))
+    names = [s.NAME_CELL, *[F.concat(F.lit(name), "file", F.lit("/" + x)) for x in "ANR"]]
+    return _head(rows, [["0", None, None, None], names] if wind else [names])
+
+
+_S1F = """SELECT replace(b, '#', '-') || '/' || f AS name, ts, max(value) FILTER (flag = f) AS value FROM
+  (SELECT split_part(series, '/', 1) AS b, split_part(series, '/', 2) AS flag, ts, value FROM {0}) CROSS JOIN (VALUES ('A'), ('N'), ('R')) x(f) GROUP BY 1, 2"""
+
+
+@query("s1_files_to_panel", oracle(f"""SELECT 'daily' AS freq, '产量: 日 ' || name AS series, ts, value FROM dd
+  UNION ALL SELECT 'weekly', '产量: 日 ' || name, bin, round(avg(value), 6) FROM (SELECT *, {_FR} AS bin FROM dd) GROUP BY 2, 3
+  UNION ALL SELECT 'weekly', '产量: 周 ' || name, ts, value FROM ww""", "brand_flag_week",
+  ctes={"brand_flag_day": b._brand_sql("d", "p_brand || '/' || l_returnflag"), "dd": _S1F.format("brand_flag_day"), "ww": _S1F.format("brand_flag_week")}))
+def s1f(spark, sf):
+    """Files of two layouts, encodings and date orders to a panel."""
+    daily = _write_sheets(spark, _brand_sheets(spark, sf, "D", "钢铁_日度_Wind", "产量：日 ", "yyyy/M/d", True))
+    weekly = _write_sheets(spark, _brand_sheets(spark, sf, "W-FRI", "化工_周度_Mysteel", "产量: 周 ", "dd/MM/yyyy", False), chinese=True)
+    return rnd(fl.files_to_panel(spark, [daily, weekly])[0])
+
+
+@query("s6_read_files", """SELECT o_orderkey // 20000 % 2 = 1 AS is_gb, o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status, round(o_totalprice, 2) AS price,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'short' END AS repaired FROM orders""")
+def s6f(spark, sf):
+    """Two encodings, two column orders, a title above the header, a header one name short, rows one cell short."""
+    o = table(spark, sf, "orders")
+    key, gb = F.col("o_orderkey").cast("string"), F.floor(F.col("o_orderkey") / 20000) % 2 == 1
+    status = F.when(F.col("o_orderstatus") == "P", "N/A").otherwise(F.col("o_orderstatus"))
+    price, last = F.format_string("%.2f", F.col("o_totalprice")), F.when(F.col("o_orderkey") % 7 != 0, "x")
+    rows = o.select(F.format_string("f%08d", F.floor(F.col("o_orderkey") / 20000)).alias("file"), F.lit("订单").alias("sheet"), (F.col("o_orderkey") + 10).alias("row_no"),
+                    F.when(gb, F.array(price, key, status, last)).otherwise(F.array(key, status, price, last)).alias("cells"), gb.alias("gb"))
+    sides = [_head(rows.filter(~F.col("gb")).drop("gb"), [["导出的订单"], ["编号", "状态", "金额"]]),
+             _head(rows.filter("gb").drop("gb"), [["导出的订单"], ["金额", "编号", "状态"]])]
+    trim = lambda d: d.withColumn("cells", F.filter("cells", lambda x: x.isNotNull()))
+    paths = [_write_sheets(spark, trim(side), chinese) for side, chinese in zip(sides, (False, True))]
+    out = fl.read_files(spark, paths, ["编号", "状态", "金额"], skip_rows=[0])
+    return out.select((F.col("encoding") == "gb18030").alias("is_gb"), F.col("编号").cast("long").alias("o_orderkey"), F.col("状态").alias("status"),
+                      F.col("金额").cast("double").alias("price"), "repaired")
+
+
 @query("s7_read_indexed", """SELECT CAST(o_orderdate AS DATE) AS ts, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'P'""")
 def s7(spark, sf):
     o = table(spark, sf, "orders").select(F.when(F.col("o_orderstatus") == "P", "bad").otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("day"), "o_orderkey", "o_totalprice")

@@ -66,17 +66,12 @@ def industry_of_source(source: Column) -> Column:
 
 # ---------------------------------------------------------------- vendor grids
 
-def vendor_layout(grid: DataFrame) -> DataFrame:
-    """Layout per (file, sheet) from its first five rows: name, header row and
-    first data row. ``grid(file, sheet, row_no, cells ARRAY)``; the filter on
-    ``row_no`` reaches the scan."""
-    head = grid.filter(F.col("row_no") <= 4)
-    cell = lambda r, c=0: F.max(F.when(F.col("row_no") == r, F.get("cells", F.lit(c))))
-    g = head.groupBy("file", "sheet").agg(*[cell(r).alias(f"r{r}") for r in range(5)], cell(4, 1).alias("r4b"),
-                                          F.max("row_no").alias("_last"))
-    r = [F.col(f"r{i}") for i in range(5)]
+def layout_of(cell) -> Column:
+    """Layout of a sheet as a struct (layout, header_row, data_row); ``cell(row, column=0)``
+    gives a cell of its first five rows."""
+    r = [cell(i) for i in range(5)]
     eq = lambda c, v: F.coalesce(c == v, F.lit(False))
-    ths = eq(r[1], NAME_CELL) & eq(r[2], FREQ_CELL) & eq(r[3], UNIT_CELL) & eq(r[4], ID_CELL) & F.coalesce(F.col("r4b").rlike("^[MS]"), F.lit(False))
+    ths = eq(r[1], NAME_CELL) & eq(r[2], FREQ_CELL) & eq(r[3], UNIT_CELL) & eq(r[4], ID_CELL) & F.coalesce(cell(4, 1).rlike("^[MS]"), F.lit(False))
     wind = eq(r[1], NAME_CELL) & (r[0].isNull() | eq(r[0], "0") | eq(r[0], "")) & r[2].isNotNull() & ~r[2].isin(FREQ_CELL, FREQ_CELL_2)
     steel = eq(r[0], MYSTEEL_CELL) & eq(r[1], NAME_CELL) & eq(r[2], FREQ_CELL_2)
     with_id = eq(r[0], NAME_CELL) & F.coalesce(r[1].rlike("^S") & (F.length(r[1]) > 5), F.lit(False))
@@ -86,12 +81,29 @@ def vendor_layout(grid: DataFrame) -> DataFrame:
     pick = F.struct(F.lit("default").alias("layout"), F.lit(0).alias("header_row"), F.lit(1).alias("data_row"))
     for cond, name, h, d in reversed(layouts):
         pick = F.when(cond, F.struct(F.lit(name).alias("layout"), F.lit(h).alias("header_row"), F.lit(d).alias("data_row"))).otherwise(pick)
+    return pick
+
+
+def vendor_layout(grid: DataFrame) -> DataFrame:
+    """Layout per (file, sheet) from its first five rows: name, header row and
+    first data row. ``grid(file, sheet, row_no, cells ARRAY)``; the filter on
+    ``row_no`` reaches the scan."""
+    head = grid.filter(F.col("row_no") <= 4)
+    cell = lambda r, c=0: F.max(F.when(F.col("row_no") == r, F.get("cells", F.lit(c))))
+    g = head.groupBy("file", "sheet").agg(*[cell(r).alias(f"r{r}") for r in range(5)], cell(4, 1).alias("r4b"))
+    pick = layout_of(lambda r, c=0: F.col(f"r{r}b" if c else f"r{r}"))
     return g.select("file", "sheet", pick.alias("p")).select("file", "sheet", "p.*")
 
 
-# Date formats of grid cells, tried in order; a serial number comes after them.
-CELL_DATES = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/M/d", "yyyy/M/d HH:mm:ss", "yyyy.M.d", "yyyy年M月d日", "yyyyMMdd", "yyyy-M-d",
-              "yyyy年M月", "yyyy-M", "yyyy/M", "yyyyMM", "d-MMM-yyyy", "d MMM yyyy")
+# Date formats of grid cells with their shapes, tried in order; a serial number comes
+# before them. A format is only tried on texts of its shape: a failing parse is an exception in the JVM.
+CELL_DATES = (
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"), ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"), ("yyyy/M/d HH:mm:ss", r"^\d{4}/\d{1,2}/\d{1,2} \d{2}:\d{2}:\d{2}$"),
+    ("yyyy.M.d", r"^\d{4}\.\d{1,2}\.\d{1,2}$"), ("yyyy年M月d日", r"^\d{4}年\d{1,2}月\d{1,2}日$"), ("yyyyMMdd", r"^\d{8}$"),
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"), ("yyyy年M月", r"^\d{4}年\d{1,2}月$"), ("yyyy-M", r"^\d{4}-\d{1,2}$"), ("yyyy/M", r"^\d{4}/\d{1,2}$"),
+    ("yyyyMM", r"^\d{6}$"), ("d-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"), ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
+)
 
 
 # Fixed value: cells that start with day and month in an order that the cell does not tell.
@@ -107,8 +119,10 @@ def cell_date(cell: Column, day_first: Column | None = None) -> Column:
     slashed = F.regexp_replace(text, TWO_WAYS, "$1/$2/$3")
     by_day, by_month = read(slashed, "d/M/yyyy"), read(slashed, "M/d/yyyy")
     first = F.lit(False) if day_first is None else F.coalesce(day_first, F.lit(False))
-    either = F.when(text.rlike(TWO_WAYS), F.when(first, F.coalesce(by_day, by_month)).otherwise(F.coalesce(by_month, by_day)))
-    return F.coalesce(serial, either, *(read(text, f) for f in CELL_DATES), text.try_cast("date"))
+    left, right = (F.regexp_extract(text, TWO_WAYS, i).try_cast("int") for i in (1, 2))
+    day = (right <= 12) & (first | (left > 12))  # the other order if only that has a month
+    either = F.when(text.rlike(TWO_WAYS), F.when(day, by_day).otherwise(by_month))
+    return F.coalesce(serial, either, *(F.when(text.rlike(shape), read(text, f)) for f, shape in CELL_DATES), text.try_cast("date"))
 
 
 def day_order(grid: DataFrame) -> DataFrame:
@@ -193,7 +207,8 @@ def load_mappings(sheet: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, path: str, schema: str | None = None, header: bool = True, encoding: str = "UTF-8",
                na_tokens: Sequence[str] = NA_TOKENS, **options) -> DataFrame:
     """CSV with a list of missing-value texts. A schema spares the inference pass;
-    without one all columns are text. Use ``encoding="GB18030"`` for cp936 files."""
+    without one all columns are text. Files in Chinese encodings, with rows to skip or with
+    ragged headers go through ``files.read_files``."""
     r = spark.read.option("header", header).option("encoding", encoding).option("mode", "PERMISSIVE").options(**options)
     d = (r.schema(schema) if schema else r).csv(path)
     text = [f.name for f in d.schema.fields if f.dataType.simpleString() == "string"]
