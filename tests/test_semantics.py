@@ -273,3 +273,20 @@ def test_each_sheet_has_its_own_order_of_day_and_month(spark):
                    ("months", 1): "2024-03-04", ("months", 2): "2024-04-13", ("months", 3): "2024-04-13",
                    ("open", 1): "2024-03-04", ("open", 2): "2024-05-06"}
     assert {r.sheet: r.n_dropped for r in ingest.dropped_rows(d).collect()} == {"days": 0, "months": 0, "open": 1}
+
+
+def test_daily_merge_on_keys(spark):
+    day = dt.date
+    left = spark.createDataFrame([(day(2024, 1, 1), 1.0, 10.0), (day(2024, 1, 1), 3.0, 20.0), (day(2024, 1, 3), 2.0, 5.0), (None, 2.0, 9.0)], "ts date, k double, v double")
+    right = spark.createDataFrame([(day(2024, 2, 1), 2.0, 1.0), (day(2024, 2, 2), 2.0, 2.0), (day(2024, 2, 4), 7.0, 3.0)], "ts date, k double, v double")
+    got, freq = joins.merge_as_daily_on(left, right, ["k"], "left")
+    # 1 January is the mean of two rows, 2 January a filled day without key: it meets the filled 3 February
+    assert [tuple(r) for r in got.collect()] == [(day(2024, 1, 3), 2.0, 5.0, day(2024, 2, 1), 1.0), (day(2024, 1, 2), None, None, day(2024, 2, 3), None),
+                                                 (day(2024, 1, 1), 2.0, 15.0, day(2024, 2, 1), 1.0)]
+    assert freq.first().frequency == "D" and joins.merge_as_daily_on(left, right, ["k"], "right")[0].count() == 3
+    both = joins.merge_as_daily_on(left, right, ["ts", "k"], "outer")[0]
+    assert both.count() == 7 and both.columns == ["ts", "k", "v_x", "v_y"] and both.first().ts == day(2024, 2, 4)
+    assert joins.merge_as_daily_on(left.limit(0), right, ["k"], "outer")[0].count() == 0
+    for keys in ([], ["nope"]):
+        with pytest.raises(ValueError):
+            joins.merge_as_daily_on(left, right, keys)

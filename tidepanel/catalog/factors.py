@@ -29,7 +29,7 @@ def _model(spark, sf):
 
 def _inputs(spark, sf):
     return {"target": b.segment_month(spark, sf).filter("series = 'BUILDING'"),
-            "target_sheet": b.segment_month(spark, sf).filter("series = 'MACHINERY'"),
+            "target_sheet": b.segment_month(spark, sf).filter("series <> 'BUILDING'"),
             "monthly": b.brand_month(spark, sf), "daily": b.flag_day(spark, sf), "weekly": b.nation_week(spark, sf)}
 
 
@@ -43,6 +43,19 @@ def r13_log(spark, sf):
     return rnd(pr.mixed_freq_panel(_inputs(spark, sf), "1996-01-05", "2001-06-29", {"monthly": 6, "weekly": 30})[1], 4)
 
 
+# A level above 1 keeps every series as it is, so the alignment has SQL.
+@query("r13_aligned_levels", oracle("""SELECT s.series, c.ts, round(v.value, 4) AS value, s.role FROM (SELECT DISTINCT series, role FROM every WHERE ts BETWEEN (SELECT a FROM bounds) AND (SELECT z FROM bounds)) s
+  CROSS JOIN (SELECT CAST(g AS DATE) AS ts FROM bounds, generate_series(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 7 DAY) t(g)) c LEFT JOIN every v ON v.series = s.series AND v.ts = c.ts""",
+  "segment_month", "brand_month", "flag_day", "nation_week", ctes={
+    "every": """SELECT series, CAST(date_trunc('week', ts) + INTERVAL 4 DAY AS DATE) AS ts, value, CASE WHEN series = 'BUILDING' THEN 'target' ELSE 'target_sheet' END AS role FROM segment_month
+  UNION ALL SELECT series, CAST(ts - CAST((isodow(ts) + 2) % 7 AS INTEGER) AS DATE), value, 'monthly' FROM brand_month
+  UNION ALL SELECT series, CAST(ts + CAST((12 - isodow(ts)) % 7 AS INTEGER) AS DATE), avg(value), 'daily' FROM flag_day GROUP BY 1, 2
+  UNION ALL SELECT series, ts, value, 'weekly' FROM nation_week""",
+    "bounds": """SELECT greatest(lo - CAST((isodow(lo) + 2) % 7 AS INTEGER), DATE '1996-01-05') AS a, least(hi, DATE '2001-06-29') AS z FROM (SELECT min(ts) AS lo, max(ts) AS hi FROM every)"""}))
+def r13_levels(spark, sf):
+    return rnd(pr.mixed_freq_panel(_inputs(spark, sf), "1996-01-05", "2001-06-29", alpha=1.1)[0], 4)
+
+
 @query("r14_check_alignment", oracle("""SELECT series, ts, value, status FROM (SELECT p.series, p.ts, max(p.value) AS value,
     CASE WHEN max(q.value) IS NULL THEN 'unexpected' WHEN NOT bool_or(abs(p.value - q.value) <= 1e-6 + 1e-6 * abs(q.value)) THEN 'misaligned' ELSE 'ok' END AS status
   FROM prep p LEFT JOIN rawf q USING (series, ts) GROUP BY 1, 2) WHERE status <> 'ok'

@@ -84,6 +84,33 @@ def j2f(spark, sf):
     return j.merge_as_daily(b.nation_week(spark, sf), b.flag_day(spark, sf), "inner")[1]
 
 
+_J2K = {"l0": "SELECT CAST(o_orderdate AS DATE) AS ts, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1",
+        "r0": "SELECT CAST(l_shipdate AS DATE) AS ts, CAST(count(*) // 4 AS DOUBLE) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem GROUP BY 1",
+        **{x: f"""SELECT CAST(c.g AS DATE) AS ts, n, total FROM (SELECT min(ts) AS lo, max(ts) AS hi FROM {x}0), generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY) c(g)
+  LEFT JOIN {x}0 d ON d.ts = CAST(c.g AS DATE)""" for x in "lr"}}
+
+
+def _order_and_ship_days(spark, sf):
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    left = o.groupBy(F.to_date("o_orderdate").alias("ts")).agg(F.count(F.lit(1)).cast("double").alias("n"), b.exact_sum("o_totalprice").alias("total"))
+    right = li.groupBy(F.to_date("l_shipdate").alias("ts")).agg(F.floor(F.count(F.lit(1)) / 4).cast("double").alias("n"), b.exact_sum("l_quantity").alias("total"))
+    return left, right
+
+
+@query("j2_merge_on_keys", oracle("""SELECT l.ts, l.n, l.total AS total_x, r.ts AS ts_y, r.total AS total_y FROM l
+  LEFT JOIN (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY n ORDER BY ts) = 1) r ON l.n IS NOT DISTINCT FROM r.n""", ctes=_J2K))
+def j2k(spark, sf):
+    """Days of orders meet the first day with as many shipments."""
+    return j.merge_as_daily_on(*_order_and_ship_days(spark, sf), ["n"], "left")[0]
+
+
+@query("j2_merge_on_time_and_keys", oracle("""SELECT coalesce(l.ts, r.ts) AS ts, coalesce(l.n, r.n) AS n, l.total AS total_x, r.total AS total_y
+  FROM l FULL JOIN r ON l.ts = r.ts AND l.n IS NOT DISTINCT FROM r.n
+  QUALIFY row_number() OVER (PARTITION BY coalesce(l.ts, r.ts) ORDER BY coalesce(l.n, r.n) NULLS FIRST) = 1""", ctes=_J2K))
+def j2t(spark, sf):
+    return j.merge_as_daily_on(*_order_and_ship_days(spark, sf), ["ts", "n"], "outer")[0]
+
+
 @query("j3_outer_time_join", oracle("""SELECT coalesce(l.ts, r.ts) AS ts, l.value AS value_left, r.series AS series_right, r.value AS value_right
   FROM (SELECT ts, sum(value) AS value FROM flag_day GROUP BY 1) l FULL JOIN nation_week r ON l.ts = r.ts""", "flag_day", "nation_week"))
 def j3(spark, sf):

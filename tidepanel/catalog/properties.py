@@ -38,6 +38,33 @@ def a2p(spark, sf):
     return rnd(panel)
 
 
+# Levels of 0 and above 1 fix every test's outcome, so the rest of the operators has SQL.
+
+@query("a1_adf_nothing_rejected", oracle("SELECT DISTINCT series, false AS stationary_original, 'diff1' AS method, false AS stationary FROM nation_week", "nation_week"))
+def a1n(spark, sf):
+    return q.adf_screen(b.nation_week(spark, sf), alpha=0.0, method="diff")[0].select("series", "stationary_original", "method", "stationary")
+
+
+def _signed(spark, sf):
+    """Segments by month; every second one has values below zero."""
+    return b.segment_month(spark, sf).withColumn("value", F.when(F.col("series") > "C", F.col("value") - 1000000).otherwise(F.col("value")))
+
+
+_SIGNED = {"signed": "SELECT series, ts, CASE WHEN series > 'C' THEN value - 1000000 ELSE value END AS value FROM segment_month",
+           "low": "SELECT series, min(value) > 0 AS pos FROM signed GROUP BY 1"}
+
+
+@query("a2_all_transformed", oracle("""SELECT series, ts, round(CASE WHEN pos THEN lv - lag(lv) OVER w ELSE value - lag(value) OVER w END, 6) AS value
+  FROM (SELECT *, ln(CASE WHEN pos THEN value END) AS lv FROM signed JOIN low USING (series)) WINDOW w AS (PARTITION BY series ORDER BY ts)""", "segment_month", ctes=_SIGNED))
+def a2t(spark, sf):
+    return rnd(q.ensure_stationary(_signed(spark, sf), 0.0)[0])
+
+
+@query("a2_all_transformed_log", oracle("""SELECT series, CASE WHEN pos THEN 'log_diff' ELSE 'diff' END || '_still_nonstat' AS status FROM low""", "segment_month", ctes=_SIGNED))
+def a2u(spark, sf):
+    return q.ensure_stationary(_signed(spark, sf), 0.0)[1].select("series", "status")
+
+
 _E = {"pos": "SELECT series, value, CAST(row_number() OVER (PARTITION BY series ORDER BY ts) AS DOUBLE) AS t FROM nation_week",
       "fit": "SELECT series, regr_slope(value, t) AS sl, regr_intercept(value, t) AS ic, count(*) AS n FROM pos GROUP BY 1",
       "e": "SELECT series, t, n, value - ic - sl * t AS e FROM pos JOIN fit USING (series)",

@@ -69,6 +69,39 @@ def merge_as_daily(left: DataFrame, right: DataFrame, how: str = "outer") -> tup
     return merged.orderBy(F.col("ts").desc(), "side", "series"), freq
 
 
+def _daily_table(d: DataFrame, ts: str) -> DataFrame:
+    """A wide table with one row per day of its range: means of the columns, NULL on days without rows."""
+    day = d.filter(F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias(ts)).agg(*[F.avg(c).alias(c) for c in d.columns if c != ts])
+    days = day.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).filter("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias(ts))
+    return days.join(day, ts, "left").select(d.columns)
+
+
+def merge_as_daily_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", ts: str = "ts",
+                      suffixes: tuple[str, str] = ("_x", "_y")) -> tuple[DataFrame, DataFrame]:
+    """(merged, frequency): two wide numeric tables, brought to days and merged on key columns, newest
+    date first, one row per date.
+
+    The merged dates are the left ones (``ts``; the right one's becomes ``ts_y``) unless ``ts`` is a key; rows
+    without one leave. Of several matches of a date the one of the earliest right date stays (with ``ts`` among several
+    keys: the one of the smallest keys). So the right side is reduced to its first row per key before the
+    join, and a frequent key (NULL on the filled days) never multiplies rows. Missing keys meet.
+    """
+    missing = [k for k in on if k not in left.columns or k not in right.columns]
+    if missing or not on:
+        raise ValueError(f"key columns not found: {missing}")
+    a, b = _daily_table(left, ts), _daily_table(right, ts)
+    if ts in on:
+        out = merge(a, b, how, on=on, suffixes=suffixes).filter(F.col(ts).isNotNull())
+        others = [k for k in on if k != ts]
+        if others:
+            out = keep_one(out.withColumn("_first", F.struct(*others)), [ts], "_first", "first").drop("_first")
+    else:
+        out = merge(a, keep_one(b, list(on), ts, "first"), "left" if how in ("left", "outer") else "inner", on=on, suffixes=suffixes)
+        out = out.withColumnsRenamed({ts + suffixes[0]: ts, ts + suffixes[1]: ts + "_y"})
+    freq = robust_infer(out.select(F.date_format(ts, "'merged'").alias("series"), ts, F.lit(1.0).alias("value")))
+    return out.orderBy(F.col(ts).desc()), freq
+
+
 def concat_panels(panels: Sequence[DataFrame]) -> DataFrame:
     """Union of panels; a series name belongs to the first panel that has it."""
     out = None
