@@ -1,8 +1,10 @@
 """Language identification (6) and WARC derivatives (7)."""
 
 import hashlib
+import html
 import math
 import random
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +108,55 @@ def test_warc_edges(spark):
     lost = warc.responses(df).withColumn("record_id", F.lit(None).cast("string"))
     assert all(r.refers_to is None and r.record_id for r in warc.derive(lost).collect())
     assert warc.derive(warc.responses(df.limit(0))).collect() == []
+
+
+def test_references_against_the_standard_library(spark):
+    rng = random.Random(5)
+    bits = ["&eacute;", "&mdash;", "&#8217;", "&#xE9;", "&#x1F600;", "&amp;lt;", "&lt;", "&unknown;", "&", "&&", "a;b", " & ", "&#;", "&#x;", "&#xD800;", "&#0;", "&#9999999;", "&frac12;", "x", "é", "&AMP", "&hellip;"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))).replace("&AMP", "& AMP") for _ in range(300)] + ["", "&", None, "&amp;" * 20000]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").orderBy("i").select(warc.unescaped(F.col("t")).alias("t")).collect()]
+    assert got == [None if t is None else html.unescape(t) for t in texts]
+
+
+class _Links(HTMLParser):
+    def __init__(self, page):
+        super().__init__(convert_charrefs=False)
+        self.found = []
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.found += [v for k, v in attrs if tag == "a" and k == "href"]
+
+
+def test_links_of_any_quoting_against_a_parser(spark):
+    rng = random.Random(6)
+    tags = ['<a href="/p?x=1">', "<a href='/q \"z\"'>", "<a class=k href=/r>", '<A\nTITLE="t" HREF = "/s">', '<a data-href="/no" href="/t">', '<link href="/no">', '<a name="n">', "<abbr href=/no>", '<a href="">']
+    pages = ["<body>" + "".join(rng.choices(tags, k=8)) + "</a>" for _ in range(60)]
+    df = spark.createDataFrame([(i, f"u{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.block for r in warc.derive(warc.responses(df)).collect() if r.record_type == "metadata"}
+    for i, page in enumerate(pages):
+        lines = [x for x in got[i].split("\r\n") if x.startswith("outlink")]
+        want = _Links(page).found
+        assert lines == [f"outlinks: {len(want)}"] + [f"outlink: {x}" for x in want]
+
+
+def test_other_payloads_of_an_address_have_other_ids(spark):
+    df = spark.createDataFrame([(1, "u", "a"), (1, "u", "b"), (1, "u", "a"), (1, None, "a"), (None, "u", "a")], "page_id long, url string, html string")
+    found = warc.responses(df)
+    assert len({r.record_id for r in found.collect()}) == 4 and len({r.record_id for r in warc.responses(df, "2025-01-01T00:00:00Z").union(found).collect()}) == 8
+    out = warc.derive(found).collect()
+    assert len({r.record_id for r in out}) == 8 and all(len({r.block for r in out if r.record_id == i}) == 1 for i in {r.record_id for r in out})
+
+
+def test_http_heads_reach_the_metadata(spark):
+    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=gbk\r\nSet-Cookie: a=1: b\r\nset-cookie:c\r\nno colon\r\n\r\n"
+    rows = [("r1", head + "<p>x\r\n\r\ny"), ("r2", "HTTP/1.0 404 Not Found\nX: 1"), ("r3", "no head: <p>z"), ("r4", None), ("r5", "")]
+    df = spark.createDataFrame(rows, "record_id string, block string").select("record_id", F.lit(1).alias("page_id"), F.lit("u").alias("target_uri"), F.lit("d").alias("date"), "block")
+    found = warc.parse_http(df)
+    got = {r.record_id: r for r in found.collect()}
+    assert [got[f"r{i}"].http_status for i in range(1, 6)] == [200, 404, None, None, None]
+    assert got["r1"].payload == "<p>x\r\n\r\ny" and got["r2"].payload == "" and got["r3"].payload == "no head: <p>z" and got["r4"].payload == ""
+    assert got["r1"].payload_digest == "sha256:" + hashlib.sha256(got["r1"].payload.encode()).hexdigest()
+    meta = {r.refers_to: r.block for r in warc.derive(found).collect() if r.record_type == "metadata"}
+    assert meta["r1"] == "source-content-type: text/html; charset=gbk\r\nsource-set-cookie: a=1: b\r\nsource-set-cookie: c\r\noutlinks: 0\r\n"
+    assert meta["r2"].startswith("source-x: 1\r\n") and meta["r3"] == "outlinks: 0\r\n"

@@ -7,6 +7,12 @@ address, date and payload digest; the conversion also names the metadata record
 ``WARC-Concurrent-To``. Digests are of the exact octets of each block. Everything is
 column expressions: one pass over the responses, no shuffle.
 
+Record ids are made from what a response is (page, address, date, payload digest), so different
+payloads of one address keep apart. Blocks that still hold their HTTP head go through
+:func:`parse_http` first; its headers then reach the metadata record. Links may be quoted either
+way or not at all; numeric references and the 252 named ones of HTML 4 are decoded when a
+semicolon ends them, others stay as they are.
+
 Edge cases: a NULL or empty payload gives an empty conversion and metadata without fields; a
 NULL address or date leaves out that header; responses without a record id refer to nothing
 (no header) and get an id from their content; repeated responses give repeated records with
@@ -15,28 +21,57 @@ equal ids; other columns of the input are ignored; an empty table gives no recor
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Patterns of the text conversion, in order, understood alike by Java and RE2.
 DROP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<title\b.*?</title\s*>"
 BREAK = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|footer|header|body|html|title|blockquote|pre)\b[^>]*>"
 TAG = r"<[^>]*>"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: Named references of HTML 4 (from the standard library); a no-break space is a space here.
+ENTITIES = {name: " " if code == 160 else chr(code) for name, code in sorted(name2codepoint.items())}
+DECIMAL, HEXADECIMAL, NAMED = r"^#([0-9]{1,7});", r"^#[xX]([0-9A-Fa-f]{1,6});", r"^([A-Za-z][A-Za-z0-9]*);"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 LANGUAGE = r"""(?is)<html[^>]*\slang\s*=\s*["']?([A-Za-z-]+)"""
 SPACES = r"[\t\x0b\f\r ]{2,}|[\t\x0b\f\r]"
-LINK = r"""(?i)<a\s[^>]*href="([^"]*)["]"""
+LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+QUOTES = r"""^["']|["']$"""
+HEAD_END = r"\r?\n\r?\n"
 DATE = "2024-01-01T00:00:00Z"
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point; U+FFFD for what is none."""
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    wide = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
+    return F.when(code == 160, " ").otherwise(F.coalesce(wide, F.lit("\ufffd")))
+
+
+def unescaped(text: Column) -> Column:
+    """References that a semicolon ends as their characters, each once."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def read(part, i):  # what stands behind an ampersand, worked out once
+        found = lambda pattern: F.regexp_extract(part, pattern, 1)
+        code = F.coalesce(found(DECIMAL).try_cast("long"), F.conv(F.nullif(found(HEXADECIMAL), F.lit("")), 16, 10).try_cast("long"))
+        return F.struct(part.alias("part"), F.when(i > 0, code).alias("code"), F.when(i > 0, F.try_element_at(names, found(NAMED))).alias("named"), (i == 0).alias("first"))
+
+    def written(p):
+        char = F.when(p.code.isNotNull(), _character(p.code)).otherwise(p.named)
+        whole = F.when(p.first, p.part).otherwise(F.concat(F.lit("&"), p.part))
+        return F.when(p.code.isNull() & p.named.isNull(), whole).otherwise(F.concat(char, F.regexp_replace(p.part, "^[^;]*;", "")))
+
+    return F.array_join(F.transform(F.transform(F.split(text, "&"), read), written), "")
+
+
 def plain_text(html: Column) -> Column:
     """Visible text: scripts, styles, head and comments dropped, block tags as line breaks,
     a line per block without blank ones."""
     out = F.regexp_replace(html, F.lit(DROP), F.lit(" "))
     out = F.regexp_replace(out, F.lit(BREAK), F.lit("\n"))
     out = F.regexp_replace(out, F.lit(TAG), F.lit(""))
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
+    out = unescaped(out)
     out = F.regexp_replace(out, F.lit(SPACES), F.lit(" "))
     return F.regexp_replace(F.regexp_replace(out, F.lit(r" ?\n[ \n]*"), F.lit("\n")), F.lit(r"^[ \n]+|[ \n]+$"), F.lit(""))
 
@@ -55,12 +90,31 @@ def record_id(*parts: Column) -> Column:
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """Response records of crawled pages (``page_id, url, html``)."""
     block = F.coalesce(F.col("html"), F.lit(""))
+    own = record_id(F.lit("response"), F.col("page_id").cast("string"), F.col("url"), F.lit(date), digest(block))
     return pages.select(
-        "page_id", record_id(F.lit("response"), F.col("page_id").cast("string"), F.col("url")).alias("record_id"),
+        "page_id", own.alias("record_id"),
         F.col("url").alias("target_uri"), F.lit(date).alias("date"), F.lit("text/html; charset=utf-8").alias("http_content_type"),
         block.alias("payload"), digest(block).alias("payload_digest"))
 
 
+def parse_http(found: DataFrame, block: str = "block") -> DataFrame:
+    """Responses as they were captured: the HTTP head in ``block`` becomes ``http_status``,
+    ``http_headers`` (array of name, value; names in lower case, in order, repeats kept) and ``http_content_type``, the rest ``payload``
+    with its digest. A block without a status line is all payload; a head without an end is all head."""
+    text = F.coalesce(F.col(block), F.lit(""))
+    has_head = text.rlike(r"^HTTP/[0-9.]+ +[0-9]{3}")
+    cut = F.split(text, HEAD_END, 2)
+    lines = F.filter(F.split(F.get(cut, F.lit(0)), r"\r?\n"), lambda x, i: (i > 0) & F.contains(x, F.lit(":")))
+    named = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"),
+                                                  F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
+    headers = F.when(has_head, named).otherwise(F.array().cast("array<struct<name: string, value: string>>"))
+    payload = F.when(has_head, F.coalesce(F.get(cut, F.lit(1)), F.lit(""))).otherwise(text)
+    out = found.withColumn("http_status", F.when(has_head, F.regexp_extract(text, r"^HTTP/[0-9.]+ +([0-9]{3})", 1).cast("int")))
+    out = out.withColumns({"http_headers": headers, "payload": payload})
+    kind = F.get(F.filter("http_headers", lambda h: h["name"] == "content-type"), F.lit(0)).getField("value")
+    return out.withColumns({"http_content_type": kind, "payload_digest": digest(F.col("payload"))})
+
+
 def _field(name: str, value: Column) -> Column:
     """``name: value`` and a line end, or nothing for a NULL or empty value."""
     return F.when(F.length(value) > 0, F.concat(F.lit(name + ": "), value, F.lit("\r\n"))).otherwise(F.lit(""))
@@ -70,12 +124,16 @@ def derive(found: DataFrame) -> DataFrame:
     """Metadata and conversion records of response records (columns of ``responses``)."""
     payload = F.coalesce(F.col("payload"), F.lit(""))
     one_line = lambda c: F.trim(F.regexp_replace(c, F.lit(r"\s+"), F.lit(" ")))
-    links = F.regexp_extract_all(payload, F.lit(LINK), F.lit(1))
+    links = F.transform(F.regexp_extract_all(payload, F.lit(LINK), F.lit(1)), lambda x: F.regexp_replace(x, QUOTES, ""))
+    others = F.lit("")
+    if "http_headers" in found.columns:  # the other headers of the source, as they came
+        rest = F.filter("http_headers", lambda h: h["name"] != "content-type")
+        others = F.array_join(F.transform(rest, lambda h: F.concat(F.lit("source-"), h["name"], F.lit(": "), one_line(h["value"]), F.lit("\r\n"))), "")
     base = found.select(
         "page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", "payload_digest",
-        F.coalesce(F.col("record_id"), record_id(F.lit("none"), F.col("target_uri"), F.col("payload_digest"))).alias("_of"),
+        F.coalesce(F.col("record_id"), record_id(F.lit("none"), F.col("target_uri"), F.col("date"), F.col("payload_digest"))).alias("_of"),
         plain_text(payload).alias("_text"),
-        F.concat(_field("source-content-type", F.col("http_content_type")), _field("title", one_line(F.regexp_extract(payload, TITLE, 1))),
+        F.concat(_field("source-content-type", F.col("http_content_type")), others, _field("title", one_line(F.regexp_extract(payload, TITLE, 1))),
                  _field("language", F.regexp_extract(payload, LANGUAGE, 1)), _field("outlinks", F.size(links).cast("string")),
                  F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), "")).alias("_fields"))
     kinds = F.explode(F.array(
