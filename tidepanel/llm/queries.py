@@ -121,9 +121,9 @@ def _sql_text(c: str) -> str:
     c = f"regexp_replace({c}, '{warc.DROP}', ' ', 'g')"
     c = f"regexp_replace(regexp_replace({c}, '{warc.BREAK}', chr(10), 'g'), '{warc.TAG}', '', 'g')"
     part = lambda pattern: f"regexp_extract(x, '{pattern}', 1)"
-    code = f"coalesce(TRY_CAST({part(warc.DECIMAL)} AS BIGINT), TRY_CAST('0x' || nullif({part(warc.HEXADECIMAL)}, '') AS BIGINT))"
+    code = f"""coalesce(TRY_CAST({part("^#([0-9]{1,7});")} AS BIGINT), TRY_CAST('0x' || nullif({part("^#[xX]([0-9A-Fa-f]{1,6});")}, '') AS BIGINT))"""
     char = (f"CASE WHEN {code} = 160 THEN ' ' WHEN {code} BETWEEN 1 AND 1114111 AND {code} NOT BETWEEN 55296 AND 57343 THEN chr(CAST({code} AS INTEGER)) "
-            f"WHEN {code} IS NOT NULL THEN chr(65533) ELSE entities[{part(warc.NAMED)}] END")
+            f"WHEN {code} IS NOT NULL THEN chr(65533) ELSE entities[{part('^([A-Za-z][A-Za-z0-9]*);')}] END")
     c = (f"array_to_string(list_transform(string_split({c}, '&'), lambda x, i: CASE WHEN i = 1 THEN x WHEN {char} IS NOT NULL "
          f"THEN {char} || regexp_replace(x, '^[^;]*;', '') ELSE '&' || x END), '')")
     c = f"regexp_replace({c}, '{warc.SPACES}', ' ', 'g')"
@@ -139,7 +139,7 @@ _LINE = "chr(13) || chr(10)"
 _WARC_SQL = f"""WITH r AS (SELECT page_id, {_sql_id("'response'", "CAST(page_id AS VARCHAR)", "url", f"'{warc.DATE}'", "'sha256:' || sha256(coalesce(html, ''))")} AS refers_to, url AS target_uri, '{warc.DATE}' AS date,
   coalesce(html, '') AS payload, {_ENTITIES_SQL} AS entities FROM pages),
 f AS (SELECT *, trim(regexp_replace(regexp_extract(payload, '{warc.TITLE}', 1), '\\s+', ' ', 'g')) AS title,
-  regexp_extract(payload, '{warc.LANGUAGE.replace("'", "''")}', 1) AS lang, list_transform(regexp_extract_all(payload, '{_quoted(warc.LINK)}', 1), lambda x: regexp_replace(x, '{_quoted(warc.QUOTES)}', '', 'g')) AS links FROM r),
+  regexp_extract(payload, '{warc.LANGUAGE.replace("'", "''")}', 1) AS lang, list_transform(regexp_extract_all(payload, '{_quoted(warc.LINK)}', 1), lambda x: regexp_replace(x, '^["'']|["'']$', '', 'g')) AS links FROM r),
 d AS (SELECT page_id, refers_to, target_uri, date, 'sha256:' || sha256(payload) AS source_digest, unnest([
   {{'record_type': 'metadata', 'content_type': 'application/warc-fields', 'block': 'source-content-type: text/html; charset=utf-8' || {_LINE}
     || CASE WHEN title <> '' THEN 'title: ' || title || {_LINE} ELSE '' END || CASE WHEN lang <> '' THEN 'language: ' || lang || {_LINE} ELSE '' END

@@ -31,12 +31,11 @@ BREAK = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|
 TAG = r"<[^>]*>"
 #: Named references of HTML 4 (from the standard library); a no-break space is a space here.
 ENTITIES = {name: " " if code == 160 else chr(code) for name, code in sorted(name2codepoint.items())}
-DECIMAL, HEXADECIMAL, NAMED = r"^#([0-9]{1,7});", r"^#[xX]([0-9A-Fa-f]{1,6});", r"^([A-Za-z][A-Za-z0-9]*);"
+DECIMAL, HEXADECIMAL = "^#[0-9]{1,7}$", "^#[xX][0-9A-Fa-f]{1,6}$"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 LANGUAGE = r"""(?is)<html[^>]*\slang\s*=\s*["']?([A-Za-z-]+)"""
 SPACES = r"[\t\x0b\f\r ]{2,}|[\t\x0b\f\r]"
-LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-QUOTES = r"""^["']|["']$"""
+LINK = r"""<[aA]\s(?:[^>]*?\s)?[hH][rR][eE][fF]\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 HEAD_END = r"\r?\n\r?\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -52,15 +51,18 @@ def unescaped(text: Column) -> Column:
     """References that a semicolon ends as their characters, each once."""
     names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
-    def read(part, i):  # what stands behind an ampersand, worked out once
-        found = lambda pattern: F.regexp_extract(part, pattern, 1)
-        code = F.coalesce(found(DECIMAL).try_cast("long"), F.conv(F.nullif(found(HEXADECIMAL), F.lit("")), 16, 10).try_cast("long"))
-        return F.struct(part.alias("part"), F.when(i > 0, code).alias("code"), F.when(i > 0, F.try_element_at(names, found(NAMED))).alias("named"), (i == 0).alias("first"))
+    def read(part, i):  # what stands behind an ampersand, worked out once; numbers only behind a number sign
+        ref = F.substring_index(part, ";", 1)
+        hexadecimal = F.when(ref.rlike(HEXADECIMAL), F.conv(F.substring(ref, 3, 6), 16, 10).cast("long"))
+        code = F.when(ref.startswith("#"), F.coalesce(F.when(ref.rlike(DECIMAL), F.substring(ref, 2, 7).cast("long")), hexadecimal))
+        known = (i > 0) & F.contains(part, F.lit(";"))
+        return F.struct(part.alias("part"), F.when(known, code).alias("code"), F.when(known, F.try_element_at(names, ref)).alias("named"),
+                        F.length(ref).alias("n"), (i == 0).alias("first"))
 
     def written(p):
         char = F.when(p.code.isNotNull(), _character(p.code)).otherwise(p.named)
         whole = F.when(p.first, p.part).otherwise(F.concat(F.lit("&"), p.part))
-        return F.when(p.code.isNull() & p.named.isNull(), whole).otherwise(F.concat(char, F.regexp_replace(p.part, "^[^;]*;", "")))
+        return F.when(p.code.isNull() & p.named.isNull(), whole).otherwise(F.concat(char, F.substr(p.part, p.n + 2)))
 
     return F.array_join(F.transform(F.transform(F.split(text, "&"), read), written), "")
 
@@ -124,7 +126,8 @@ def derive(found: DataFrame) -> DataFrame:
     """Metadata and conversion records of response records (columns of ``responses``)."""
     payload = F.coalesce(F.col("payload"), F.lit(""))
     one_line = lambda c: F.trim(F.regexp_replace(c, F.lit(r"\s+"), F.lit(" ")))
-    links = F.transform(F.regexp_extract_all(payload, F.lit(LINK), F.lit(1)), lambda x: F.regexp_replace(x, QUOTES, ""))
+    bare = lambda x: F.when(x.startswith('"') | x.startswith("'"), F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+    links = F.transform(F.regexp_extract_all(payload, F.lit(LINK), F.lit(1)), bare)
     others = F.lit("")
     if "http_headers" in found.columns:  # the other headers of the source, as they came
         rest = F.filter("http_headers", lambda h: h["name"] != "content-type")
