@@ -55,6 +55,26 @@ def test_against_brute_force(docs_of, seed, range_bytes, fan):
     assert rows_of(got) == brute(rows, 4, 50, 40)
 
 
+def test_united_groups_stay_as_small_as_a_range(docs_of, monkeypatch):
+    """With a few more ranges than parts per block, a task of the first level holds no large share of the text."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    docs = docs_of([(i, " ".join(rng.choices(words, k=100))) for i in range(200)]).repartition(4)
+    seen = []
+
+    def kept(df, *keys):
+        seen.append((df, keys))
+        return df
+
+    monkeypatch.setattr(collocations, "spread", kept)
+    collocations.mine(docs, range_bytes=2200, block_bytes=2200, fan=32)
+    size = Counter()
+    for r in next(df for df, keys in seen if keys == ("rng", "block")).select("rng", "block", "blob").collect():
+        size[r["rng"], r["block"]] += int(automaton.load(bytes(r["blob"]))[5].sum())
+    assert sum(size.values()) == 200 * 100
+    assert max(size.values()) <= 5 * 200 * 100 / 40  # about forty ranges
+
+
 def test_counts_beyond_64_bits_in_products(spark, docs_of, monkeypatch):
     """Scores multiply three large counts."""
     heads, words = [b"en\ta", b"en\tb"], [b"", b"b"]

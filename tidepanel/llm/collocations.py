@@ -7,7 +7,9 @@ sorted paths (see ``automaton``), cut at bounds of prefixes (lang, word, word);
 prefix range are united with sums of weights. Bounds come from the words of a bounded sample
 (``SAMPLE_DOCS`` documents) and only balance the ranges; a very frequent first word spreads
 over many of them. A block sends ``FAN`` parts at most: with more ranges than that, coarse
-ranges are united in groups first and cut again, so rows exchanged grow with the text.
+ranges are united in groups first and cut again, so rows exchanged grow with the text. A coarse
+range of s ranges is united in s groups of blocks, so that a task of any level holds about as
+much text as a range has.
 
 Lookups of a candidate's parts are a composition: a range sends the sorted phrases it needs to
 the ranges that hold them, there they run through the count transducer, and the counts come
@@ -155,14 +157,20 @@ def _unite(key: tuple, t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_parts([(key[0].as_py(), block, automaton.union(t.column("blob").to_pylist()).dump())])])
 
 
-def phrase_counts(docs: DataFrame, bounds: list, blocks: int, fan: int = FAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _steps(ranges: int, fan: int) -> list[int]:
+    """How many ranges a coarse range of each level holds: as few levels as ``fan`` allows, cut evenly."""
+    levels = 1
+    while fan ** levels < ranges:
+        levels += 1
+    width = next(w for w in range(1, fan + 1) if w ** levels >= ranges)
+    return [width ** i for i in range(levels)]
+
+
+def phrase_counts(docs: DataFrame, bounds: list, fan: int = FAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One count transducer per prefix range."""
-    steps = [1]
-    while (len(bounds) + 1) / steps[-1] > fan:
-        steps.append(steps[-1] * fan)
+    steps = _steps(len(bounds) + 1, fan)
     parts = shard_counts(docs, bounds[steps[-1] - 1::steps[-1]], block_bytes)
-    for step in steps[-2::-1]:  # unite coarse ranges in groups, cut each again
-        groups = by_bytes(blocks, fan)
+    for groups, step in zip(steps[:0:-1], steps[-2::-1]):  # unite coarse ranges in groups, cut each again
         grouped = parts.withColumn("block", F.pmod(F.xxhash64("block"), F.lit(groups)))
         united = spread(grouped, "rng", "block").groupBy("rng", "block").applyInArrow(_unite, _PART)
         held = docs.sparkSession.sparkContext.broadcast(bounds)
@@ -173,7 +181,7 @@ def phrase_counts(docs: DataFrame, bounds: list, blocks: int, fan: int = FAN, bl
                     for out in _cut(automaton.union([blob]), held.value[step - 1::step], rng * groups + block):
                         yield out
 
-        parts, blocks = united.mapInArrow(finer, _PART), groups
+        parts = united.mapInArrow(finer, _PART)
     return cut_lineage(spread(parts, "rng").groupBy("rng").applyInArrow(_unite, _PART).drop("block"))
 
 
@@ -298,7 +306,7 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     rows, size = text_total(docs, text)
     docs = _labelled(docs, text, lang)
     bounds = _bounds(docs, min(MOST_RANGES, by_bytes(size, range_bytes)), rows, size)
-    counts = phrase_counts(docs, bounds, by_bytes(size, block_bytes), fan, block_bytes)
+    counts = phrase_counts(docs, bounds, fan, block_bytes)
     held = docs.sparkSession.sparkContext.broadcast(bounds)  # MOST_RANGES prefixes at most
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
