@@ -17,12 +17,13 @@ DAYS = {"train_end": "1999-12-31", "oos_start": "2000-01-01", "oos_end": "2001-0
 
 
 def _obs(spark, sf):
-    return b.nation_week(spark, sf).select(F.lit("all").alias("panel"), "series", "ts", "value")
+    """The weekly panel, written once per query: what reads it again does not join the tables again."""
+    return cut_lineage(b.nation_week(spark, sf)).select(F.lit("all").alias("panel"), "series", "ts", "value")
 
 
-def _model(spark, sf):
+def _model(obs):
     """A fit with the default number of iterations; every query below fits anew."""
-    return fa.fit_dfm(_obs(spark, sf), K)
+    return fa.fit_dfm(obs, K)
 
 
 # ---------------------------------------------------------------- mixed-frequency panel
@@ -80,12 +81,13 @@ def n1(spark, sf):
 
 @query("n2_select_k")
 def n2(spark, sf):
-    pca = cut_lineage(fa.pca_variance(_obs(spark, sf)))
+    obs = _obs(spark, sf)
+    pca = cut_lineage(fa.pca_variance(obs))
     out = None
     for how in ("cumulative", "elbow", "kaiser", "bai_ng"):
         d = fa.select_k(pca, how).select(F.lit(how).alias("method"), F.col("k").cast("int").alias("k"))
         out = d if out is None else out.unionByName(d)
-    load = _model(spark, sf)["loadings"]
+    load = _model(obs)["loadings"]
     return out.unionByName(fa.select_k(pca, "common", None, load, TARGET).select(F.lit("common").alias("method"), F.col("k").cast("int").alias("k")))
 
 
@@ -123,18 +125,18 @@ def n3(spark, sf):
 
 @query("n4_kalman_smoother")
 def n4(spark, sf):
-    m = _model(spark, sf)
+    m = _model(_obs(spark, sf))
     return rnd(m["filtered"].select("panel", "ts", F.posexplode("x").alias("factor", "state")))
 
 
 @query("n5_fit_loadings")
 def n5(spark, sf):
-    return rnd(n.loading_rows(_model(spark, sf)["loadings"]), 4)
+    return rnd(n.loading_rows(_model(_obs(spark, sf))["loadings"]), 4)
 
 
 @query("n6_reconstruct")
 def n6(spark, sf):
-    m = _model(spark, sf)
+    m = _model(_obs(spark, sf))
     return rnd(fa.reconstruct(m["smoothed"], m["loadings"]), 2)
 
 
@@ -234,19 +236,18 @@ def n11(spark, sf):
 
 @query("n12_forecast_to_month_end")
 def n12(spark, sf):
-    return rnd(n.forecast_to_month_end(_model(spark, sf), TARGET, K), 2)
+    return rnd(n.forecast_to_month_end(_model(_obs(spark, sf)), TARGET, K), 2)
 
 
 @query("n13_state_forecast")
 def n13(spark, sf):
-    d = n.state_forecast(_model(spark, sf), K, 8)
+    d = n.state_forecast(_model(_obs(spark, sf)), K, 8)
     return rnd(d.select("panel", "h", "ts", F.posexplode("x").alias("factor", "state")))
 
 
-def _vintages(spark, sf):
+def _vintages(o):
     """The panel as known at the end and as known some weeks before, when one
     week's values were still preliminary."""
-    o = b.nation_week(spark, sf)
     new = o.select(F.lit("now").alias("panel"), "series", "ts", "value")
     old = o.filter(F.col("ts") <= F.lit("2001-09-28").cast("date"))
     soft = F.when(F.col("ts") == F.lit("2001-09-21").cast("date"), F.col("value") * 0.9).otherwise(F.col("value"))
@@ -255,29 +256,31 @@ def _vintages(spark, sf):
 
 @query("n14_apply_vintage")
 def n14(spark, sf):
-    new, old = _vintages(spark, sf)
-    out = n.apply_vintage(_model(spark, sf), new.unionByName(old), K)
+    obs = _obs(spark, sf)
+    new, old = _vintages(obs)
+    out = n.apply_vintage(_model(obs), new.unionByName(old), K)
     return rnd(out["filtered"].select("panel", "ts", F.posexplode("x").alias("factor", "state")))
 
 
 @query("n15_news")
 def n15(spark, sf):
-    new, old = _vintages(spark, sf)
-    m = _model(spark, sf)
+    obs = _obs(spark, sf)
+    new, old = _vintages(obs)
+    m = _model(obs)
     now, before = n.apply_vintage(m, new, K, interpolate=False), n.apply_vintage(m, old, K, interpolate=False)
     return rnd(n.news(now, before, TARGET, "2001-11-09", K), 4)
 
 
 @query("n16_nowcast_evolution")
 def n16(spark, sf):
-    return rnd(n.nowcast_evolution(n.forecast_to_month_end(_model(spark, sf), TARGET, K), "2001-10"), 2)
+    return rnd(n.nowcast_evolution(n.forecast_to_month_end(_model(_obs(spark, sf)), TARGET, K), "2001-10"), 2)
 
 
 @query("n17_news_by_industry")
 def n17(spark, sf):
     dim = b.nation_industry(spark, sf)
     names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-    return rnd(n.news_by_industry(_model(spark, sf), TARGET, 1.0, "2001-10", dim, names, K), 4)
+    return rnd(n.news_by_industry(_model(_obs(spark, sf)), TARGET, 1.0, "2001-10", dim, names, K), 4)
 
 
 # ---------------------------------------------------------------- attribution
@@ -379,7 +382,7 @@ def n23(spark, sf):
 
 @query("n24_loading_groups")
 def n24(spark, sf):
-    return n.loading_groups(_model(spark, sf)["loadings"], 4).select("series", "group")
+    return n.loading_groups(_model(_obs(spark, sf))["loadings"], 4).select("series", "group")
 
 
 @query("n24_clear_groups", oracle("SELECT series, min(series) OVER (PARTITION BY industry) AS first_of_group FROM nation_industry", "nation_industry"))
@@ -474,8 +477,7 @@ def _fixed_loadings(obs):
     return d.select("series", F.array("std").alias("l"), (F.col("v") / 2).alias("r"), "mean", "std")
 
 
-def _fixed_model(spark, sf):
-    obs = _obs(spark, sf)
+def _fixed_model(obs):
     m = fa.model_panel(obs)
     load = _fixed_loadings(obs).withColumn("panel", F.lit("all"))
     state = m.groupBy("panel").agg(F.max("n_t").alias("n_t")).select(
@@ -513,7 +515,7 @@ def _recursive(body, *panels, ctes):
 @query("n4_kalman_fixed_parameters", _recursive("""SELECT ts, round(x, 6) AS filtered, round(xm, 6) AS predicted, round(p, 6) AS variance, round(xs, 6) AS smoothed
   FROM st JOIN bwd USING (t)""", "nation_week", ctes={**_PAR, **_scan_sql("nation_week")}))
 def n4_fixed(spark, sf):
-    m = _fixed_model(spark, sf)
+    m = _fixed_model(_obs(spark, sf))
     one = lambda c: F.get(c, F.lit(0))
     d = m["filtered"].join(m["smoothed"].select("t", "f"), "t")
     return rnd(d.select("ts", one("x").alias("filtered"), one("x_minus").alias("predicted"), one("p").alias("variance"), one("f").alias("smoothed")))
@@ -523,7 +525,7 @@ def n4_fixed(spark, sf):
   FROM (SELECT *, greatest(ts, CAST(last_day(ts) - CAST((isodow(last_day(ts)) + 2) % 7 AS INTEGER) AS DATE)) AS tt FROM st) st CROSS JOIN (SELECT * FROM par WHERE series = 'NATION_0')""",
   "nation_week", ctes={**_PAR, **_scan_sql("nation_week")}))
 def n12_fixed(spark, sf):
-    d = n.forecast_to_month_end(_fixed_model(spark, sf), TARGET, 1)
+    d = n.forecast_to_month_end(_fixed_model(_obs(spark, sf)), TARGET, 1)
     return rnd(d.select("ts", "target_ts", "h", "nowcast"), 2)
 
 
@@ -531,7 +533,7 @@ def n12_fixed(spark, sf):
   round(pow({_A}, 2 * k) * p + (1 - pow({_A}, 2 * k)) / (1 - {_A * _A}), 6) AS variance FROM (SELECT * FROM st ORDER BY t DESC LIMIT 1) CROSS JOIN generate_series(1, 8) g(k)""",
   "nation_week", ctes={**_PAR, **_scan_sql("nation_week")}))
 def n13_fixed(spark, sf):
-    d = n.state_forecast(_fixed_model(spark, sf), 1, 8)
+    d = n.state_forecast(_fixed_model(_obs(spark, sf)), 1, 8)
     return rnd(d.select("h", "ts", F.get("x", F.lit(0)).alias("state"), F.get("p", F.lit(0)).alias("variance")))
 
 
@@ -539,7 +541,7 @@ def n13_fixed(spark, sf):
   FROM st CROSS JOIN (SELECT DATE '2001-10-26' AS tt) CROSS JOIN (SELECT l FROM par WHERE series = 'NATION_0') WHERE date_trunc('month', ts) = DATE '2001-10-01'""",
   "nation_week", ctes={**_PAR, **_scan_sql("nation_week")}))
 def n16_fixed(spark, sf):
-    d = n.nowcast_evolution(n.forecast_to_month_end(_fixed_model(spark, sf), TARGET, 1), "2001-10")
+    d = n.nowcast_evolution(n.forecast_to_month_end(_fixed_model(_obs(spark, sf)), TARGET, 1), "2001-10")
     return rnd(d.select("ts", "horizon_weeks", "nowcast_std"), 2)
 
 
@@ -553,7 +555,7 @@ _CONTRIB = {**_PAR, **_scan_sql("nation_week"),
   ", round(coalesce(sum(c) FILTER (industry = 'EUROPE' AND abs(c) > 1e-6), 0), 3) AS \"其他未分类\" FROM c GROUP BY 1", "nation_week", "nation_industry", ctes=_CONTRIB))
 def n17_fixed(spark, sf):
     names = ["AFRICA", "AMERICA", "ASIA", "MIDDLE EAST"]  # one industry is not listed and counts under the default
-    return rnd(n.news_by_industry(_fixed_model(spark, sf), TARGET, 1.0, "2001-10", b.nation_industry(spark, sf), names, 1), 3)
+    return rnd(n.news_by_industry(_fixed_model(_obs(spark, sf)), TARGET, 1.0, "2001-10", b.nation_industry(spark, sf), names, 1), 3)
 
 
 _VINT = {**_PAR, "oldv": "SELECT series, ts, CASE WHEN ts = DATE '2001-09-21' THEN value * 0.9 ELSE value END AS value FROM nation_week WHERE ts <= DATE '2001-09-28'",
@@ -568,8 +570,9 @@ _VINT = {**_PAR, "oldv": "SELECT series, ts, CASE WHEN ts = DATE '2001-09-21' TH
   round(lt * pow({_A}, (DATE '2001-11-09' - it.ts) // 7) * p * it.l / (it.r + 1e-4) * (y - it.l * xp), 2) AS impact
   FROM it JOIN st ON st.t = it.t JOIN par ON par.series = it.series CROSS JOIN (SELECT l AS lt FROM par WHERE series = 'NATION_0')""", "nation_week", ctes=_VINT))
 def n15_fixed(spark, sf):
-    new, old = _vintages(spark, sf)
-    m = _fixed_model(spark, sf)
+    obs = _obs(spark, sf)
+    new, old = _vintages(obs)
+    m = _fixed_model(obs)
     now, before = n.apply_vintage(m, new, 1, interpolate=False), n.apply_vintage(m, old, 1, interpolate=False)
     return rnd(n.news(now, before, TARGET, "2001-11-09", 1), 2, weight=6)
 
@@ -577,8 +580,9 @@ def n15_fixed(spark, sf):
 @query("n14_vintages_fixed_parameters", _recursive("""SELECT 'now' AS panel, ts, round(x, 6) AS state, round(p, 6) AS variance FROM st
   UNION ALL SELECT 'before', ts, round(x, 6), round(p, 6) FROM sto""", "nation_week", ctes=_VINT))
 def n14_fixed(spark, sf):
-    new, old = _vintages(spark, sf)
-    out = n.apply_vintage(_fixed_model(spark, sf), new.unionByName(old), 1, interpolate=False)["filtered"]
+    obs = _obs(spark, sf)
+    new, old = _vintages(obs)
+    out = n.apply_vintage(_fixed_model(obs), new.unionByName(old), 1, interpolate=False)["filtered"]
     return rnd(out.select("panel", "ts", F.get("x", F.lit(0)).alias("state"), F.get("p", F.lit(0)).alias("variance")))
 
 
@@ -594,8 +598,9 @@ _OLD = "1985-01-04"  # 879 weeks before the impact date
 def n15_old(spark, sf):
     """A revision far in the past still has its row."""
     extra = lambda v: spark.range(1).select(F.lit("NATION_3").alias("series"), F.lit(_OLD).cast("date").alias("ts"), F.lit(v).alias("value"))
-    new, old = (d.unionByName(extra(v).select(F.lit(x).alias("panel"), "series", "ts", "value")) for d, v, x in zip(_vintages(spark, sf), (1000.0, 900.0), ("now", "before")))
-    m = _fixed_model(spark, sf)
+    obs = _obs(spark, sf)
+    new, old = (d.unionByName(extra(v).select(F.lit(x).alias("panel"), "series", "ts", "value")) for d, v, x in zip(_vintages(obs), (1000.0, 900.0), ("now", "before")))
+    m = _fixed_model(obs)
     now, before = n.apply_vintage(m, new, 1, interpolate=False), n.apply_vintage(m, old, 1, interpolate=False)
     return rnd(n.news(now, before, TARGET, "2001-11-09", 1).select("ts", "series", "news", "weight"), 2, weight=6)
 
