@@ -319,6 +319,30 @@ def test_shared_rows_give_each_model_its_own_sums(toy):
     assert not got
 
 
+def test_candidates_in_tasks_are_those_of_the_shuffled_sums(spark):
+    d = selection_panel(spark)
+    s = fa.Selection(d, "target", ["good", "fair", "junk"], 1, *DAYS, n_iter=8)
+    assert s.buckets == 1
+    (a, n), (b, m) = (fa.warm_fit(s.rows, *s.models[1], s.keep, 1, 25, 1e-3, x) for x in (1, None))
+    assert n == m
+    a, b = ({r["panel"]: r for r in x.filter("t = -1").collect()} for x in (a, b))
+    assert a.keys() == b.keys() == set(s.keep)
+    for v in a:
+        for c in ("xs", "xf", "xm", "p", "f"):
+            assert np.allclose(a[v][c], b[v][c], atol=1e-7)
+
+
+def test_a_round_takes_few_jobs(spark):
+    """Candidates of a small panel need no job per iteration."""
+    s = fa.Selection(selection_panel(spark), "target", ["good", "fair", "junk"], 1, *DAYS, n_iter=12, tol=0.0)
+    spark.sparkContext.setJobGroup("one round", "one round")
+    try:
+        s.round()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one round")) < 40
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_warm_candidates_reach_the_cold_fit(spark):
     """Going on from the parent ends where a fit from scratch without the series ends."""
     d = selection_panel(spark)
@@ -357,3 +381,13 @@ def test_fit_end_keeps_later_data_out_of_the_fit(toy):
     c = loads(go(later)[1])
     assert not all(np.allclose(a[k], c[k]) for k in a)
     assert go(obs, fit_end=cut)[0].first().oos_rmse is not None
+
+
+def test_vintage_queries_join_the_tables_once(spark, monkeypatch):
+    from tidepanel.catalog import base, factors
+
+    calls, made = [], base.nation_week
+    monkeypatch.setattr(base, "nation_week", lambda *a: calls.append(a) or made(*a))
+    assert factors.n14_fixed(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
+    assert not any("lineitem" in f for f in factors._obs(spark, "/root/testdata/sf0.001").inputFiles())

@@ -41,6 +41,7 @@ INITIAL_FLOOR = 1e-6
 FIRST_STAGE_CAP = 10  # what the first estimate of a two-stage tuning allows, see select_k
 DEFAULT_ITERATIONS = 30
 SELECTION_TOLERANCE = 0.01  # change of the parameters at which a candidate's fit ends
+BUCKET_VALUES = 100_000  # observations that meet a round's candidate models in one group
 
 VEC = "array<double>"
 
@@ -247,9 +248,11 @@ def kalman_smoother(m: DataFrame, loadings: DataFrame, state: DataFrame, k: int)
     return _scan(information(m, loadings, k), state, k)
 
 
-def _scan(info: DataFrame, state: DataFrame, k: int) -> DataFrame:
+def _scan(info: DataFrame, state: DataFrame, k: int, panels: int | None = None) -> DataFrame:
+    """``panels``: their number, where it is known."""
     own = state.select(*[F.col(c).alias(c) for c in state.columns])  # fresh names: both sides may stem from m
-    return spread(info, "panel").groupBy("panel").cogroup(spread(own, "panel").groupBy("panel")).applyInPandas(_scan_panel(k), _SCAN)
+    info, own = (spread(d, "panel", groups=panels).groupBy("panel") for d in (info, own))
+    return info.cogroup(own).applyInPandas(_scan_panel(k), _SCAN)
 
 
 # ---------------------------------------------------------------- loadings
@@ -411,17 +414,18 @@ def fit_dfm(obs: DataFrame, k: int, n_iter: int = DEFAULT_ITERATIONS, rule: str
     before it."""
     m = cut_lineage(model_panel(cut_lineage(obs), rule))
     _, load, state = init_factors(m, k)
-    load, rows = cut_lineage(load), cut_lineage(series_rows(m))
+    load, rows, state = cut_lineage(load), cut_lineage(series_rows(m)), cut_lineage(state)
+    panels = state.count()
     scan = None
     for i in range(n_iter):
         info = rows_information(rows, k, loadings=load) if scan is None else rows_information(rows, k, scan=scan)
-        new = cut_lineage(_scan(info, state, k))
+        new = cut_lineage(_scan(info, state, k, panels))
         if scan is not None:
             discard(scan)
         scan, state = new, next_state(new)
     if scan is not None:
         load = cut_lineage(rows_loadings(rows, scan, k))
-    last = cut_lineage(_scan(rows_information(rows, k, loadings=load), state, k))
+    last = cut_lineage(_scan(rows_information(rows, k, loadings=load), state, k, panels))
     stamps = _stamps(m, rule)
     smooth = (scan if scan is not None else last).filter("t >= 0").select("panel", "t", F.col("xs").alias("f")).join(stamps, ["panel", "t"])
     filt = last.filter("t >= 0").select("panel", "t", F.col("xf").alias("x"), F.col("xm").alias("x_minus"), "p").join(stamps, ["panel", "t"])
@@ -538,14 +542,15 @@ def _weighted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return l, np.maximum(var, NOISE_FLOOR), True
 
 
-def shared_information(rows: DataFrame, factors: DataFrame, k: int, without: Sequence[str] | None = None) -> DataFrame:
+def shared_information(rows: DataFrame, factors: DataFrame, k: int, without: Sequence[str] | None = None, buckets: int | None = None) -> DataFrame:
     """(panel, t, j, h) of many models over the same gathered series, which are read once and not
     copied per model. ``factors(panel, f)``, dates by k in one array: a model named like a series
     goes without it.
 
     With ``without``, ``factors`` hold one parent model and the result has one model per name: the
     parent's sums minus that series' own share (downdating), so a whole round of candidates costs one
-    pass. ``rows`` carry a bucket ``_b``; the factors reach each bucket once."""
+    pass. ``rows`` carry a bucket ``_b`` below ``buckets`` (default: the shuffle partitions); the factors
+    reach each bucket once."""
     iu = np.triu_indices(k)
     names = [f"c{i}" for i in range(len(iu[0]) + k)]
     less = None if without is None else set(without)
@@ -576,8 +581,8 @@ def shared_information(rows: DataFrame, factors: DataFrame, k: int, without: Seq
             out.append(pd.DataFrame(total[c, at], columns=names).assign(panel=panel if less is None else None, t=at.astype(np.int32)))
         return pd.concat(out)[["panel", "t", *names]]
 
-    size = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread_out = factors.select("panel", "f", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("_b"))
+    buckets = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread_out = factors.select("panel", "f", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_b"))
     part = (rows.select("_b", "series", "t", "y").groupBy("_b").cogroup(spread_out.groupBy("_b"))
             .applyInPandas(add_up, "panel string, t int, " + ", ".join(f"{c} double" for c in names)))
     if less is not None:  # sums go to every candidate, a series' own share to its candidate only
@@ -586,22 +591,26 @@ def shared_information(rows: DataFrame, factors: DataFrame, k: int, without: Seq
     return part.groupBy("panel", "t").agg(F.array(*cols[:len(iu[0])]).alias("j"), F.array(*cols[len(iu[0]):]).alias("h"))
 
 
-def bucketed_rows(m: DataFrame) -> DataFrame:
+def bucketed_rows(m: DataFrame, buckets: int | None = None) -> DataFrame:
     """Gathered series with a bucket for :func:`shared_information`, written once per selection."""
-    size = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(series_rows(m).withColumn("_b", F.pmod(F.xxhash64("series"), F.lit(size)).cast("int")))
+    buckets = buckets or int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(series_rows(m).withColumn("_b", F.pmod(F.xxhash64("series"), F.lit(buckets)).cast("int")))
 
 
-def warm_fit(rows: DataFrame, parent: DataFrame, state: DataFrame, names: Sequence[str], k: int, n_iter: int, tol: float) -> tuple[DataFrame, int]:
+def warm_fit(rows: DataFrame, parent: DataFrame, state: DataFrame, names: Sequence[str], k: int, n_iter: int, tol: float,
+             buckets: int | None = None) -> tuple[DataFrame, int]:
     """Models without one of ``names`` each, by EM that goes on from the ``parent`` model's factors
     and ``state`` until no model's parameters move by ``tol`` (at most ``n_iter`` times).
-    Returns the last scan, written, and the number of iterations."""
+    Returns the last scan, written, and the number of iterations. Where one bucket holds all series
+    no sums cross tasks, so a candidate's iterations run in one task, candidates side by side."""
     state = state.drop("panel").withColumn("panel", F.explode(F.array(*map(F.lit, names)))).select("panel", "n_t", "a", "q", "x0", "p0")
+    if buckets == 1 and n_iter > 0:
+        return _warm_fit_in_tasks(rows, parent, state, names, k, n_iter, tol)
     scan, done = None, 0
     while done < n_iter:
-        info = shared_information(rows, parent, k, names) if scan is None else shared_information(rows, _factor_rows(scan), k)
+        info = shared_information(rows, parent, k, names, buckets) if scan is None else shared_information(rows, _factor_rows(scan), k, buckets=buckets)
         moved = Observation()
-        new = cut_lineage(_scan(info, state, k).observe(moved, F.max("moved").alias("moved")))
+        new = cut_lineage(_scan(info, state, k, len(names)).observe(moved, F.max("moved").alias("moved")))
         if scan is not None:
             discard(scan)
         scan, state, done = new, next_state(new), done + 1
@@ -610,6 +619,42 @@ def warm_fit(rows: DataFrame, parent: DataFrame, state: DataFrame, names: Sequen
     return scan, done
 
 
+def _warm_fit_in_tasks(rows: DataFrame, parent: DataFrame, state: DataFrame, names: Sequence[str], k: int, n_iter: int, tol: float) -> tuple[DataFrame, int]:
+    """:func:`warm_fit` of a panel of at most ``BUCKET_VALUES`` observations. A task writes its
+    candidate's state after every iteration, as all candidates end with the same one."""
+    smooth, iu = _scan_panel(k), np.triu_indices(k)
+
+    def run(mine: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        f, now, n_t = start["f"].iloc[0], start, int(start["n_t"].iloc[0])
+        own = [(np.asarray(t, dtype=int), np.asarray(y, dtype=float)) for t, y in zip(mine["t"], mine["y"])]
+        out = []
+        for i in range(1, n_iter + 1):
+            total, seen = np.zeros((n_t, len(iu[0]) + k)), np.zeros(n_t, bool)
+            for t, y in own:
+                l, r = _loading_of(t, y, f, k)
+                if l is not None:
+                    w = r + INNOVATION_JITTER
+                    total[t, :len(iu[0])] += np.outer(l, l)[iu] / w
+                    total[t, len(iu[0]):] += y[:, None] * (l / w)
+                    seen[t] = True
+            at = np.flatnonzero(seen)
+            scan = smooth(pd.DataFrame({"t": at, "j": list(total[at, :len(iu[0])]), "h": list(total[at, len(iu[0]):])}), now).iloc[:1]
+            f = scan["f"].iloc[0]
+            now = scan.rename(columns={"xs": "a", "xf": "q", "xm": "x0", "p": "p0"})
+            out.append(scan.assign(i=i))
+        return pd.concat(out)
+
+    each = rows.select("series", "t", "y", F.explode(F.array(*map(F.lit, names))).alias("panel")).filter("panel <> series")
+    start = state.join(parent.select("f"))  # one parent model, one row
+    each, start = (spread(d, "panel", groups=len(names)).groupBy("panel") for d in (each, start))
+    scans = cut_lineage(each.cogroup(start).applyInPandas(run, f"{_SCAN}, i int"))
+    moved = {r["i"]: r["moved"] for r in scans.groupBy("i").agg(F.max("moved").alias("moved")).collect()}
+    done = next((i for i in sorted(moved) if (moved[i] or 0.0) < tol), n_iter)
+    last = scans.filter(F.col("i") == done).drop("i")
+    last._scratch_path = scans._scratch_path
+    return last, done
+
+
 class Selection:
     """Greedy removal of predictors from one standardised panel, shared by all rounds and blocks.
 
@@ -630,8 +675,10 @@ class Selection:
         self.fits: dict[str, dict[int, DataFrame]] = {}
         fits = self._each([kk for kk in self.grid if kk < len(self.keep) + 1], lambda kk: fit_dfm(z, kk, n_iter))
         self.models = {kk: (fit["factors"], fit["state"]) for kk, fit in fits.items()}
+        size = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = min(size, max(1, -(-z.count() // BUCKET_VALUES)))
         for fit in list(fits.values())[:1]:
-            self.rows, self.stamps = bucketed_rows(fit["panel"]), _stamps(fit["panel"], "W-FRI").drop("panel")
+            self.rows, self.stamps = bucketed_rows(fit["panel"], self.buckets), _stamps(fit["panel"], "W-FRI").drop("panel")
         self.best = max(((*s, -kk) for kk, (f, _) in self.models.items() for s in self._scores(f, kk).values()), default=None)
 
     @staticmethod
@@ -668,7 +715,7 @@ class Selection:
         fresh = [v for v in self.keep if (v in trials or v in ahead) and v not in self.fits]
         if not self.fits.keys() >= set(trials):
             def fit(kk: int) -> tuple[DataFrame, dict]:
-                scan, _ = warm_fit(self.rows, *self.models[kk], fresh, kk, self.n_iter, self.tol)
+                scan, _ = warm_fit(self.rows, *self.models[kk], fresh, kk, self.n_iter, self.tol, self.buckets)
                 return scan, self._scores(_factor_rows(scan), kk)
             got = self._each([kk for kk in self.models if kk < len(self.keep)], fit)
             for v in fresh:

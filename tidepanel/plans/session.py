@@ -67,9 +67,14 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, groups: int | None = None) -> DataFrame:
     """Hash-partition by ``keys`` over all shuffle partitions before Python works
     on the groups. It is the shuffle the grouping needs anyway, but AQE does not
     fold it into a few partitions because the rows are small: the work per group
-    is, not the bytes."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    is, not the bytes. Where the number of ``groups`` is known and smaller, no
+    empty tasks are started."""
+    return df.repartition(min(_partitions(df), groups or _partitions(df)), *keys)
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
